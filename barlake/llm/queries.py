@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules
+from . import byte_bpe, jaccard_join, pii, quality_rules, source_mix
 from .common import documents
 
 
+#: Rank file of the byte-level BPE vocabulary; its place is a parameter of the operator.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "class_id", F.col("node").alias("same_text_id"), "n_copies", "n_links")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the personal data of every document."""
     found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
@@ -25,10 +35,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model).drop("text")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text that they decode to, as digests."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = source_mix.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op10_source_mix": op10_source_mix,
     }
 
 
