@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, pii, quality_rules, source_mix
+from . import byte_bpe, exact_topk, jaccard_join, pii, quality_rules, source_mix, url_filters
 from .common import documents
 
 
@@ -42,6 +42,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best other vectors of each vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return exact_topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = source_mix.mix(documents(spark, sf_dir))
@@ -54,9 +66,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_exact_topk": op7_exact_topk,
+        "op8_url_filters": op8_url_filters,
         "op10_source_mix": op10_source_mix,
     }
 
 
+TOPK_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+    select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as score
+    from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
+), ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as r from pairs
+)
+select query_id, cast(r as integer) as rank, vec_id, cast(score as bigint) as score from ranked where r <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_topk": TOPK_SQL}

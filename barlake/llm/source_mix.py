@@ -97,11 +97,9 @@ def multipliers(cells: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame
 
 def _round(rows: Iterator[dict], cap: int) -> Iterator[tuple]:
     """Copies of a cell's documents, largest first; what a document gets too much or too little goes to the next."""
-    first = True
+    carry = 0.0
     for r in rows:
         size, want = r["size"], r["rate"] * r["size"]
-        if first:  # a start between -1/2 and 1/2 of the largest keeps small cells fair on average
-            carry, first = r["start"] * size, False
         copies = min(cap, max(0, math.floor((want + carry) / size + 0.5))) if size else min(cap, round(r["rate"]))
         carry += want - copies * size
         yield r["row"], copies
@@ -154,8 +152,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
         "row", "source", "source_size", "target", "size", F.when(F.col("size") > 0, tilt).otherwise(1.0).alias("rate"),
         F.pmod(F.xxhash64("row", F.lit(11)), spread).alias("cell"),
     )
-    start = (F.pmod(F.xxhash64("source", "cell", F.lit(13)), F.lit(1 << 20)) + 0.5) / float(1 << 20) - 0.5
-    dealt = dealt.withColumn("start", start).repartition("source", "cell")
+    dealt = dealt.repartition("source", "cell")
     dealt = dealt.sortWithinPartitions("source", "cell", F.col("size").desc(), "row")
     fields = "row long, source string, source_size long, target double, size long, copies long"
     return dealt.mapInArrow(_rounder(cap), fields).withColumnRenamed("row", "doc_id")
