@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard_join, pii, quality_rules, source_mix, url_filters
+from . import byte_bpe, exact_topk, jaccard_join, katz_lm, pii, quality_rules, source_mix, url_filters
 from .common import documents
 
 
@@ -54,6 +54,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model of the training ones."""
+    return katz_lm.score(documents(spark, sf_dir))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = source_mix.mix(documents(spark, sf_dir))
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_exact_topk": op7_exact_topk,
         "op8_url_filters": op8_url_filters,
+        "op9_katz_lm": op9_katz_lm,
         "op10_source_mix": op10_source_mix,
     }
 
