@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard_join, katz_lm, pii, quality_rules, source_mix, suffix_dedup, url_filters
+from . import byte_bpe, exact_topk, jaccard_join, katz_lm, pii, quality_rules, source_mix, substring_dedup, suffix_dedup, url_filters
 from .common import documents
 
 
@@ -40,6 +40,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.find(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages of 50 words and more that two documents share."""
+    return substring_dedup.find(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text that they decode to, as digests."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_exact_topk": op7_exact_topk,
         "op8_url_filters": op8_url_filters,
