@@ -108,15 +108,15 @@ def _round(rows: Iterator[dict], cap: int) -> Iterator[tuple]:
 def _rounder(cap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = itertools.chain.from_iterable(b.to_pylist() for b in batches)
-        cells = itertools.groupby(rows, key=lambda r: (r["source"], r["cell"]))
-        for part in iter(lambda: list(itertools.islice(cells_rows(cells, cap), 4096)), []):
-            names = ["row", "source", "source_size", "target", "size", "copies"]
+        done = _cells(itertools.groupby(rows, key=lambda r: (r["source"], r["cell"])), cap)
+        names = _ROUNDED.names
+        while part := list(itertools.islice(done, 4096)):
             yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in part], schema=_ROUNDED)
 
     return run
 
 
-def cells_rows(cells, cap: int) -> Iterator[tuple]:
+def _cells(cells, cap: int) -> Iterator[tuple]:
     for _, cell in cells:
         cell = list(cell)
         for r, (row, copies) in zip(cell, _round(iter(cell), cap)):
