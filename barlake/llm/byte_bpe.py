@@ -21,27 +21,30 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, tune
 
 #: Chunks kept in each of the two cache generations of a Python worker.
-CACHE = 150_000
+CACHE = 300_000
 #: Bytes of pieces in one recursive query, and the length from which a piece goes its own way.
-SLICE, LONG = 120_000, 1000
+SLICE, LONG = 400_000, 1000
 #: A vocabulary file beyond this is not sent along with tasks.
 MAX_VOCABULARY = 64 << 20
 
-_STEP = """
-    select word, case when pos > low % 1048576 then pos - 1 else pos end as pos,
-           case when pos = low % 1048576 then low // 1048576 else tok end as tok, low is not null as live
-    from (select a.word, a.pos, a.tok, min(m.rank * 1048576 + a.pos) over (partition by a.word) as low
-          from (select word, pos, tok, lead(tok) over (partition by word order by pos) as nxt from {t} where live) a
-          left join merges m on m.l = a.tok and m.r = a.nxt)
-    where low is null or pos <> low % 1048576 + 1
-"""
+# A token is the character of its number plus SHIFT (past the surrogates), and a piece a string of them; its
+# positions are unnested to rows, which join the merge table on two characters.
+SHIFT = 0xE000
 _ENCODE = f"""
-    with recursive t(word, pos, tok, live) as (
-        select word, pos, tok, true from start
+    with recursive t(word, s, live) as (
+        select word, s, true from start
         union all
-        {_STEP.format(t="t")}
+        select t.word, case when b.low is null then t.s
+               else substr(t.s, 1, b.low % 4096 - 1) || chr(cast(b.low // 4096 + {SHIFT} as integer)) || substr(t.s, b.low % 4096 + 2) end,
+               b.low is not null
+        from t left join (
+            select word, min(m.rank * 4096 + x.pos) as low
+            from (select word, s, unnest(range(1, length(s))) as pos from t where live) x
+            join merges m on m.pair = substr(x.s, x.pos, 2) group by word
+        ) b on b.word = t.word
+        where t.live
     )
-    select word, pos, tok from t where not live order by word, pos
+    select word, s from t where not live order by word
 """
 # All occurrences of the least rank at once: in a run of overlapping ones, every second.
 _LONG_STEP = """
@@ -80,8 +83,10 @@ class Codec:
                     left.append(a), right.append(b), rank.append(r)
         self.db = duckdb.connect()
         self.db.execute("set threads = 1")
-        self._load("merges", {"l": left, "r": right, "rank": rank})
+        pair = [chr(SHIFT + a) + chr(SHIFT + b) for a, b in zip(left, right)]
+        self._load("merges", {"l": left, "r": right, "pair": pair, "rank": rank})
         self._load("vocabulary", {"tok": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
+        self.letters = {b: chr(SHIFT + self.ranks[bytes([b])]) for b in range(256)}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -117,15 +122,14 @@ class Codec:
         return out
 
     def _encode_slice(self, pieces: list[bytes], todo: list[int], out: list[bytes]) -> None:
-        lengths = np.array([len(pieces[k]) for k in todo])
-        raw = np.frombuffer(b"".join(pieces[k] for k in todo), dtype=np.uint8)
-        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self._load("start", {"word": np.repeat(np.arange(len(todo)), lengths), "pos": np.arange(len(raw)) - starts, "tok": self.bytes[raw]})
-        word, tok = self._rows(_ENCODE, "word", "tok")
-        cut = np.searchsorted(word, np.arange(len(todo) + 1)) * 4
-        ids = tok.astype("<u4").tobytes()
-        for n, k in enumerate(todo):
-            out[k] = ids[cut[n] : cut[n + 1]]
+        letters = self.letters
+        self._load("start", {"word": np.arange(len(todo)), "s": ["".join([letters[x] for x in pieces[k]]) for k in todo]})
+        merged = self.db.sql(_ENCODE).to_arrow_table().column("s").to_pylist()
+        ids = np.frombuffer("".join(merged).encode("utf-32-le"), "<u4") - np.uint32(SHIFT)
+        data, at = ids.astype("<u4").tobytes(), 0
+        for k, s in zip(todo, merged):
+            out[k] = data[at : at + 4 * len(s)]
+            at += 4 * len(s)
 
     def _encode_long(self, piece: bytes) -> bytes:
         """A very long piece: one contraction of all places of the least rank a step, as ranks only rise."""
@@ -177,19 +181,28 @@ class Codec:
                     else:
                         unknown[c] = None
         if unknown:
-            pieces: dict[str, int] = {}
-            parts = [[pieces.setdefault(p, len(pieces)) for p in self.pattern.findall(c)] for c in unknown]
-            ids = self.encode_pieces([p.encode() for p in pieces])
-            runs = [b"".join([ids[k] for k in p]) for p in parts]
-            new.update(zip(unknown, runs))
-            fresh = [r for r in dict.fromkeys(runs) if r not in self.texts]
-            self.texts.update(zip(fresh, self.decode_runs(fresh)))
+            parts = [self.pattern.findall(c) for c in unknown]
+            # a piece that is a known chunk by itself needs no query; the others become known that way too
+            fresh = [p for p in dict.fromkeys(p for ps in parts for p in ps) if p not in new]
+            for p in fresh:
+                if p in old:
+                    new[p] = old[p]
+                    self.texts[old[p]] = self.old_texts[old[p]]
+            fresh = [p for p in fresh if p not in new]
+            runs = self.encode_pieces([p.encode() for p in fresh])
+            new.update(zip(fresh, runs))
+            self.texts.update(zip(runs, self.decode_runs(runs)))
+            for c, ps in zip(unknown, parts):
+                if len(ps) > 1:
+                    some = [new[p] for p in ps]
+                    run = new[c] = b"".join(some)
+                    self.texts[run] = b"".join([self.texts[r] for r in some])
         return cut
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian 32-bit integers) of each text, and the bytes that they decode to."""
-        for i in range(0, len(texts), 32):
-            for chunks in self.learn(texts[i : i + 32]):
+        for i in range(0, len(texts), 256):
+            for chunks in self.learn(texts[i : i + 256]):
                 runs = [self.new[c] for c in chunks]
                 yield b"".join(runs), b"".join([self.texts[r] for r in runs])
 
