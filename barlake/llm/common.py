@@ -21,6 +21,7 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 20
 _CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
+_own: list[str] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -33,8 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="barlake-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="barlake-shared-"))
+        path = _own[0]
     return path.rstrip("/")
 
 
