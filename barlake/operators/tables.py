@@ -59,11 +59,17 @@ def nullified(rows: DataFrame) -> DataFrame:
 
 
 def save(rows: DataFrame, name: str, partition_by: Sequence[str] = ("vendor",), replace_partitions: bool = True) -> None:
-    """A managed Parquet table; only the partitions that rows touch are overwritten."""
-    writer = rows.write.format("parquet").mode("overwrite").partitionBy(*partition_by)
-    if replace_partitions:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.saveAsTable(name)
+    """A managed Parquet table; once it exists, only the partitions that rows touch are overwritten."""
+    if replace_partitions and rows.sparkSession.catalog.tableExists(name):
+        conf, key = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(key)
+        conf.set(key, "dynamic")
+        try:
+            rows.select(*rows.sparkSession.table(name).columns).write.insertInto(name, overwrite=True)
+        finally:
+            conf.set(key, before)
+    else:
+        rows.write.format("parquet").mode("overwrite").partitionBy(*partition_by).saveAsTable(name)
 
 
 def coverage(truth: DataFrame, board: DataFrame, key: str = "set_id") -> DataFrame:
