@@ -287,6 +287,10 @@ def test_align():
     like, a0, a1, b0, b1 = substring_dedup.align(a, b)
     assert (a0, a1, b0, b1) == (0, 100, 0, 96) and like == pytest.approx(95 / 100, abs=0.02)
     assert substring_dedup.align(a[:10], a[50:60])[0] == 0.0
+    c = np.concatenate(([7, 8, 9], a[20:])).astype(np.uint64)
+    c[30] = 5
+    assert substring_dedup.straight(a, c, -17) == (79 / 80, 20, 100, 3, 83)
+    assert substring_dedup.fitted(a, b, 0, 0.8)[1:] == (0, 100, 0, 96)
 
 
 def test_byte_bpe(docs, texts, empty):
