@@ -290,7 +290,10 @@ def test_align():
     c = np.concatenate(([7, 8, 9], a[20:])).astype(np.uint64)
     c[30] = 5
     assert substring_dedup.straight(a, c, -17) == (79 / 80, 20, 100, 3, 83)
-    assert substring_dedup.fitted(a, b, 0, 0.8)[1:] == (0, 100, 0, 96)
+    assert substring_dedup.fitted(a, b, 0, 0, 50, 0.8)[1:] == (0, 100, 0, 96)
+    # short slices at the ends of texts: a straight piece under the least length is no reason to stop
+    d = np.concatenate((a[:30], [999], a[30:60])).astype(np.uint64)
+    assert substring_dedup.fitted(a[:60], d, 0, 0, 50, 0.8)[1:] == (0, 60, 0, 61)
 
 
 def test_byte_bpe(docs, texts, empty):
