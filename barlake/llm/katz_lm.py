@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import joined_words, mix, table, texts_of, tune
 
 #: Tokens in a range and in a block of documents, and documents in a block.
-RANGE, BLOCK, BLOCK_DOCS = 3_000_000, 1_500_000, 50_000
+RANGE, BLOCK, BLOCK_DOCS = 2_000_000, 1_500_000, 50_000
 #: Counts above this are discounted by LARGE only.
 MAX_DISCOUNTED, LARGE = 5, 0.9995
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A2757A273)
@@ -171,7 +171,8 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 def _out(kind: str, rows: int, **columns) -> pa.Table:
     columns["kind"] = pa.DictionaryArray.from_arrays(pa.array(np.zeros(rows, np.int8)), pa.array([kind])).cast(pa.string())
-    return pa.table([pa.array(columns[f.name]) if f.name in columns else pa.nulls(rows, f.type) for f in _SCHEMA], schema=_SCHEMA)
+    empty = {t: pa.nulls(rows, t) for t in set(_SCHEMA.types)}  # one array of nulls a type, shared by its columns
+    return pa.table([pa.array(columns[f.name]) if f.name in columns else empty[f.type] for f in _SCHEMA], schema=_SCHEMA)
 
 
 def _range_counts(hot: np.ndarray, hot_counts: np.ndarray, unigram: list[float], total: int, unknown: float):
@@ -191,9 +192,10 @@ def _range_counts(hot: np.ndarray, hot_counts: np.ndarray, unigram: list[float],
         with np.errstate(over="ignore"):
             key = mix(mix(w) + h)
         _, one, which = np.unique(key, return_index=True, return_inverse=True)
-        del key
+        w, h, which = w[one], h[one], which.astype(np.int32)
         c = np.bincount(which, weights=trained).astype(np.int64)
-        tokens, token = np.unique(w[one], return_inverse=True)
+        del key, one, trained
+        tokens, token = np.unique(w, return_inverse=True)
         cw = np.bincount(token, weights=c).astype(np.int64)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
@@ -216,10 +218,10 @@ def _range_counts(hot: np.ndarray, hot_counts: np.ndarray, unigram: list[float],
             never = np.flatnonzero(level == 0)
             if len(never):
                 p = pair[never]
-                out.append(_out("backed", len(p), h=h[one][p].view(np.int64), block=np.full(len(p), block), idx=doc[never].astype(np.int32), n=n[never].astype(np.int64), x=prob[p]))
+                out.append(_out("backed", len(p), h=h[p].view(np.int64), block=np.full(len(p), block), idx=doc[never].astype(np.int32), n=n[never].astype(np.int64), x=prob[p]))
         order = np.flatnonzero(c > 0)
-        order = order[np.lexsort((h[one][order], w[one][order]))]
-        out.append(_out("pairs", len(order), h=h[one][order].view(np.int64), w=w[one][order].view(np.int64), c=c[order], cw=cw[order]))
+        order = order[np.lexsort((h[order], w[order]))]
+        out.append(_out("pairs", len(order), h=h[order].view(np.int64), w=w[order].view(np.int64), c=c[order], cw=cw[order]))
         return pa.concat_tables(out)
 
     return run
@@ -284,6 +286,8 @@ def score(docs: DataFrame) -> DataFrame:
     kept = F.element_at(F.array(*map(F.lit, unigram)), _levels(F.col("c")).cast("int")) * F.col("c")
     unknown = 1 - (tokens.where("w is not null and c > 0").agg(F.coalesce(F.sum(kept), F.lit(0.0))).first()[0] / total if total else 0.0)
     packed = docs.mapInArrow(_packer(hot, ranges), "side int, key long, block long, data binary")
+    # more partitions than keys, so that a task seldom sorts the rows of two ranges
+    packed = packed.repartition(4 * ranges, "side", "key")
     found = table(packed.groupBy("side", "key").applyInArrow(_range_counts(hot, hot_counts, unigram, total, unknown), _COLUMNS), "model", ["kind"])
 
     pairs = found.where("kind = 'pairs'").select("h", "w", "c", "cw")
