@@ -265,6 +265,26 @@ def test_substring_dedup(docs, texts, empty):
     assert substring_dedup.find(empty).count() == 0
 
 
+def test_substring_dedup_finds_edited_passages(spark):
+    rng = random.Random(15)
+    texts, pairs = {}, set()
+    for k in range(0, 240, 2):
+        n, share = rng.randrange(51, 101), rng.choice([0.82, 0.85, 0.9])
+        passage, edits = sentence(rng, n).split(), int((1 - share) * n)
+        other = list(passage)
+        spots = [int((i + 0.5) * n / edits) for i in range(edits)] if k % 4 else rng.sample(range(n), edits)
+        for p in sorted(spots, reverse=True):
+            other[p : p + 1] = [[f"new{k}n{p}"], [], [f"new{k}n{p}", other[p]]][0 if k % 3 else rng.randrange(3)]
+        for d, w in ((k, passage), (k + 1, other)):
+            texts[d] = " ".join([sentence(rng, rng.randrange(80)), *w, sentence(rng, rng.randrange(80))])
+        like, *at = substring_dedup.align(*(common.joined_words([" ".join(w).encode()])[0] for w in (passage, other)))
+        if like >= 0.8 and max(at[1] - at[0], at[3] - at[2]) >= 50:
+            pairs.add((k, k + 1))
+    rows = substring_dedup.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in rows}
+    assert len(pairs) > 100 and got == pairs
+
+
 def test_chain_is_the_best_by_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
