@@ -285,6 +285,20 @@ def test_substring_dedup_finds_edited_passages(spark):
     assert len(pairs) > 100 and got == pairs
 
 
+def test_substring_dedup_links_all_versions(spark):
+    rng = random.Random(16)
+    passage, versions = sentence(rng, 200).split(), {}
+    for k in range(40):
+        versions[k] = list(passage)
+        for p in rng.sample(range(200), 4):
+            passage[p] = f"new{k}n{p}"
+    texts = {k: " ".join([sentence(rng, 30), *w, sentence(rng, 30)]) for k, w in versions.items()}
+    truth = {(a, b) for a, b in combinations(versions, 2) if sum(x == y for x, y in zip(versions[a], versions[b])) >= 160}
+    rows = substring_dedup.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in rows}
+    assert len(truth) > 300 and not truth - got
+
+
 def test_chain_is_the_best_by_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
