@@ -6,7 +6,8 @@ key another text has too are sorted over the cluster by key and what follows, in
 very common key like any other. Each is compared with the nearest suffix of another text on either side, and
 the match extended to the left and right; once more in the order of what precedes. Matches of at least
 ``MIN_WORDS`` words are reported, joined over neighbouring anchors. The ends of ranges are compared in a
-second, small pass (four rows a range).
+second, small pass (four rows a range). A partner that is the nearest in neither order is found by the hashes of all
+windows of ``MIN_WORDS`` words around anchors, which are joined too.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, joined_words, pieces, table, texts_of, tune, windows
+from .common import _BASE, _BASE_INV, _power, arrow_map, joined_words, mix, pieces, table, texts_of, tune, windows
 from .seeds import copies, merged, occurrences, repeated, text_id, with_texts
 
 KEY, WINDOW, MIN_WORDS = 16, 16, 50
@@ -140,6 +141,38 @@ def _edge(rows: pa.Table, at: list[int], part: int) -> pa.RecordBatch:
     return _batch([(*(r[f] for f in _FIELDS), part, None, None) for r in picked], (pa.int32(), pa.int32(), pa.int32()))
 
 
+def _long_windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words in a row, from sums, so at the same cost for any n."""
+    if len(hashes) < n:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _power("base", _BASE, len(hashes))[: len(hashes)], dtype=np.uint64)))
+        return mix((sums[n:] - sums[:-n]) * _power("inverse", _BASE_INV, len(hashes))[: len(hashes) - n + 1])
+
+
+def _around(least: int):
+    """Hash, text and start of each window of that many words with a wanted position's key in it."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, tids, spots = texts_of(batch), batch.column("tid").to_pylist(), batch.column("spots").to_pylist()
+        key, tid, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in pieces(texts, 1 << 20):
+            hashes, at = joined_words(texts[i:j])
+            names = _long_windows(hashes, least)
+            for n in range(i, j):
+                begin, size = at[n - i], at[n - i + 1] - at[n - i]
+                if text_id(texts[n]) != tids[n] or size < least:
+                    continue
+                where, reach = np.array(spots[n]), max(0, least - KEY)
+                edge = np.bincount(np.maximum(where - reach, 0), minlength=size + 1) - np.bincount(where + 1, minlength=size + 1)
+                start = np.flatnonzero(np.cumsum(edge)[: size - least + 1])
+                key.append(names[begin + start]), tid.append(np.full(len(start), tids[n])), pos.append(start)
+        arrays = [pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(tid)), pa.array(np.concatenate(pos).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "tid", "pos"])
+
+    return run
+
+
 def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = itertools.chain.from_iterable(b.to_pylist() for b in batches)
     groups = itertools.groupby(rows, key=lambda r: r["tid"])
@@ -153,8 +186,7 @@ def find(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     spans: word positions, end exclusive, joined where they touch. Equal word sequences repeat as a whole. Null
     and empty texts and rows of null doc_id have none; a passage repeated within one text only is no match; a
-    doc_id that stands at two texts gets a row for each. Found for certain: passages of least + WINDOW - 1
-    words; shorter ones unless both neighbours of every anchor in them match worse on the other side.
+    doc_id that stands at two texts gets a row for each. All passages of at least KEY + WINDOW - 1 words are found.
     """
     tune(docs.sparkSession)
     found = table(occurrences(docs, KEY, WINDOW), "anchors")
@@ -168,6 +200,10 @@ def find(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     spans = hits.where("part is null").select("tid", "start", "end").union(
         ends.mapInArrow(_matcher(least, False), shape).select("tid", "start", "end")
     )
+    around = arrow_map(with_texts(docs, wanted).select("text", "tid", "spots"), _around(least), "key long, tid long, pos int")
+    around = table(around, "windows")
+    both = around.groupBy("key").agg(F.min("tid").alias("x"), F.max("tid").alias("y")).where("x <> y").select("key")
+    spans = spans.union(around.join(both, "key", "left_semi").select("tid", F.col("pos").alias("start"), (F.col("pos") + least).alias("end")))
     joined = spans.distinct().repartition("tid").sortWithinPartitions("tid", "start")
     joined = joined.mapInArrow(_join_spans, "tid long, spans array<struct<start:int,end:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))

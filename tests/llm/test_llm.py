@@ -254,6 +254,21 @@ def test_suffix_dedup_over_many_ranges(spark):
     assert got == windows_truth(texts)
 
 
+def test_suffix_dedup_behind_better_neighbours(spark):
+    rng = random.Random(17)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(20):
+        before, passage, behind = word(8), word(50), word(8)
+        rows += [word(30) + before + passage + behind + word(30), word(30) + passage + word(30)]
+        for i in range(2, 34):  # under 50 words each, but longer on one side than the passage
+            more = min(8, i - 1)
+            rows += [word(20) + passage[i:] + behind[:more] + word(20), word(20) + before[8 - more :] + passage[: 50 - i] + word(20)]
+    texts = {k: " ".join(w) for k, w in enumerate(rows)}
+    got = {r["doc_id"]: {x for s in r["spans"] for x in range(s["start"], s["end"])} for r in suffix_dedup.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == windows_truth(texts)
+
+
 def test_substring_dedup(docs, texts, empty):
     truth = windows_truth(texts)
     rows = substring_dedup.find(docs).collect()
