@@ -175,6 +175,12 @@ def test_pii_base_spans(spark):
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
 
 
+def test_pii_long_secrets():
+    for n in (24, 256, 257, 5000):
+        text = "token = " + "a1" * (n // 2) + "b" * (n % 2) + "== end"
+        assert pii.find(text)[2].endswith(f"secret:8:{8 + n + 2}") and "a1" not in pii.redact(text, pii.find(text)[0])
+
+
 def test_pii_random_texts():
     rng = random.Random(4)
     for _ in range(3000):
