@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +31,49 @@ def minimisers(keys: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def sequences(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, n_words): a row a document; documents of null id or without a word give nothing."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("doc_id").to_pylist()
+        rows = [(d, text_id(t), len(t.split())) for d, t in zip(ids, texts_of(batch)) if d is not None and t.strip()]
+        columns = list(zip(*rows)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "tid", "n_words"])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, tid long, n_words int")
+
+
+def bucketed(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(bucket, data): the columns' values of each bucket, compressed into one row."""
+    import zstandard
+
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    columns = [c[order] for c in columns]
+    names, starts = np.unique(bucket[order], return_index=True)
+    ends = [*starts[1:], len(order)]
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for k in range(0, len(names), 64):
+        data = [squeeze(len(columns[0][a:b]).to_bytes(8, "little") + b"".join(c[a:b].tobytes() for c in columns)) for a, b in zip(starts[k : k + 64], ends[k : k + 64])]
+        yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 64], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def unbucketed(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket of rows sorted by bucket; kinds: their numpy types."""
+    import zstandard
+
+    rows = itertools.chain.from_iterable(zip(b.column("bucket").to_pylist(), b.column("data")) for b in batches)
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        parts: list[list[np.ndarray]] = []
+        for _, data in group:
+            raw, at = zstandard.decompress(data.as_buffer()), 8
+            n, one = int.from_bytes(raw[:8], "little"), []
+            for _, kind in kinds:
+                one.append(np.frombuffer(raw, kind, n, at))
+                at += one[-1].nbytes
+            parts.append(one)
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
 def occurrences(docs: DataFrame, k: int, window: int) -> DataFrame:
     """(key, tid, doc_id, pos): minimisers of k-word keys of each text, and a row a document with a null key, whose pos is its words.
 
@@ -69,8 +115,8 @@ def repeated(found: DataFrame) -> DataFrame:
 
 
 def copies(found: DataFrame, least: int) -> DataFrame:
-    """(doc_id, tid, n_words, copied): one row a document; copied: another document of that word sequence and enough words."""
-    docs = found.where("key is null").select("doc_id", "tid", F.col("pos").alias("n_words"))
+    """(doc_id, tid, n_words, copied) of sequences(); copied: another document of that word sequence and enough words."""
+    docs = found
     same = docs.groupBy("tid").agg((F.min("doc_id") != F.max("doc_id")).alias("copied"))
     return docs.join(same, "tid").select("doc_id", "tid", "n_words", (F.col("copied") & (F.col("n_words") >= least)).alias("copied"))
 

@@ -207,7 +207,7 @@ def find(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     joined = spans.distinct().repartition("tid").sortWithinPartitions("tid", "start")
     joined = joined.mapInArrow(_join_spans, "tid long, spans array<struct<start:int,end:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
-    out = copies(found, least).join(joined, "tid", "left").where("copied or spans is not null")
+    out = copies(found.where("key is null").select("doc_id", "tid", F.col("pos").alias("n_words")), least).join(joined, "tid", "left").where("copied or spans is not null")
     out = out.withColumn("spans", F.when(F.col("copied"), whole).otherwise(F.col("spans")))
     n = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
     return out.select("doc_id", "n_words", n.alias("n_repeated"), "spans")
