@@ -20,15 +20,21 @@ def text_id(text: bytes) -> int:
 
 
 def minimisers(keys: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least key of each window of keys (the last of equal ones); all in order, each once."""
-    if not len(keys):
-        return np.zeros(0, dtype=np.int64)
+    """Positions that hold the least key of some window of keys (all of equal ones); all in order, each once."""
     if len(keys) <= window:
-        return np.array([len(keys) - 1 - int(np.argmin(keys[::-1]))])
-    view = np.lib.stride_tricks.sliding_window_view(keys, window)
-    step = 1 << 14
-    found = [k + window - 1 - np.argmin(view[k : k + step, ::-1], axis=1) + np.arange(min(step, len(view) - k)) for k in range(0, len(view), step)]
-    return np.unique(np.concatenate(found))
+        return np.flatnonzero(keys == keys.min()) if len(keys) else np.zeros(0, dtype=np.int64)
+    least = _sliding(keys, window, np.minimum)
+    pad = np.zeros(window - 1, keys.dtype)
+    return np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), window, np.maximum) == keys)
+
+
+def _sliding(x: np.ndarray, window: int, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest of each window, by doubling."""
+    n, width = len(x) - window + 1, 1
+    while 2 * width <= window:
+        x = pick(x[:-width], x[width:])
+        width *= 2
+    return pick(x[:n], x[window - width : window - width + n])
 
 
 def sequences(docs: DataFrame) -> DataFrame:
@@ -74,44 +80,68 @@ def unbucketed(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]])
         yield [np.concatenate(c) for c in zip(*parts)]
 
 
-def occurrences(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """(key, tid, doc_id, pos): minimisers of k-word keys of each text, and a row a document with a null key, whose pos is its words.
+_ANCHORS = [("key", "<i8"), ("tid", "<i8"), ("pos", "<i4")]
 
-    Documents of null id or without a word give nothing.
-    """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
-        key, tid, doc, pos = [], [], [], []
-        for i, j in pieces(texts, 1 << 20):
-            hashes, at = joined_words(texts[i:j])
-            for n in range(i, j):
-                words = hashes[at[n - i] : at[n - i + 1]]
-                if ids[n] is None or not len(words):
-                    continue
-                keys = windows(words, k)
-                where = minimisers(keys, window)
-                key += [pa.nulls(1, pa.int64()), pa.array(keys[where].view(np.int64))]
-                pos += [[len(words)], where]
-                tid.append(np.full(len(where) + 1, text_id(texts[n])))
-                doc.append(np.full(len(where) + 1, ids[n]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.nulls(0, pa.int64()), *key]), pa.array(np.concatenate(empty + tid)), pa.array(np.concatenate(empty + doc)), pa.array(np.concatenate(empty + pos).astype(np.int32))],
-            ["key", "tid", "doc_id", "pos"],
-        )
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "key long, tid long, doc_id long, pos int")
-
-
-def repeated(found: DataFrame) -> DataFrame:
-    """(tid, doc_id, spots) for texts with keys that another text has too: their least document and these positions.
-
-    The groups of a key are combined before the shuffle, so a very common key costs a row a task.
+def new_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Texts and their ids, of each batch those that the task has not met; rows of null doc_id have none.
+
+    So copies of a text cost a task one, however many there are; what other tasks have is sorted out by text id.
     """
-    keys = found.where("key is not null").groupBy("key").agg(F.min("tid").alias("x"), F.max("tid").alias("y")).where("x <> y").select("key")
-    shared = found.where("key is not null").join(keys, "key", "left_semi")
-    return shared.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.collect_set("pos").alias("spots"))
+    met: set[int] = set()
+    for batch in batches:
+        texts = [t for t, d in zip(texts_of(batch), batch.column("doc_id").to_pylist()) if d is not None]
+        tids = [text_id(t) for t in texts]
+        new = [k for k, t in enumerate(tids) if t not in met and not met.add(t)]
+        if len(met) > 1_000_000:
+            met.clear()
+        yield [texts[k] for k in new], np.array([tids[k] for k in new], np.int64)
+
+
+def _anchors(k: int, window: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, tids in new_texts(batches):
+            for i, j in pieces(texts, 4 << 20):
+                hashes, at = joined_words(texts[i:j])
+                parts = []
+                for n in range(j - i):
+                    keys = windows(hashes[at[n] : at[n + 1]], k)
+                    where = minimisers(keys, window)
+                    parts.append((keys[where], np.full(len(where), tids[i + n]), where.astype("<i4")))
+                key, tid, pos = (np.concatenate(c) for c in zip(*parts))
+                yield from bucketed((key % np.uint64(buckets)).astype(np.int32), [key, tid, pos])
+
+    return run
+
+
+def shared_places(key: np.ndarray, tid: np.ndarray) -> np.ndarray:
+    """Numbers of the places whose key another text has too."""
+    order = np.argsort(key, kind="stable")
+    if not len(order):
+        return order
+    begin = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    sorted_tid = tid[order]
+    several = np.minimum.reduceat(sorted_tid, begin) != np.maximum.reduceat(sorted_tid, begin)
+    return order[np.repeat(several, np.diff(np.append(begin, len(order))))]
+
+
+def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, tid, pos in unbucketed(batches, _ANCHORS):
+        at = shared_places(key, tid)
+        for k in range(0, len(at), 1 << 16):
+            some = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(tid[some]), pa.array(pos[some])], ["tid", "pos"])
+
+
+def repeated(docs: DataFrame, texts: DataFrame, k: int, window: int, buckets: int) -> DataFrame:
+    """(tid, doc_id, spots) for texts with minimiser keys of k words that another text has too: their least document and these positions.
+
+    texts: (tid, doc_id), a row a text. Places meet in packed buckets of keys.
+    """
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_anchors(k, window, buckets), "bucket int, data binary")
+    packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    places = packed.mapInArrow(_shared_anchors, "tid long, pos int")
+    return places.groupBy("tid").agg(F.collect_set("pos").alias("spots")).join(texts, "tid")
 
 
 def copies(found: DataFrame, least: int) -> DataFrame:
@@ -125,14 +155,3 @@ def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Joins wanted (doc_id, ...) with the texts of its documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.join(wanted, "doc_id")
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
