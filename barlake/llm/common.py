@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,9 +32,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset, a local one if all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="barlake-shared-"))
         path = _own[0]
@@ -174,17 +177,13 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     for _ in range(rounds):
         if not seen[0]:
             break
+        # the least neighbours are tables of their own, so that each join stands alone between its exchanges
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = table(large, name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = (
-            small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b"))).distinct()
-        )
-        cur = table(small, name)
+        low = table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), name)
+        large = table(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        low = table(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        cur = table(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name)
         now = stat(cur)
         if now == seen:
             break

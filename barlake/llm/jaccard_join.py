@@ -1,14 +1,15 @@
 """N-gram Jaccard join of near-duplicate texts by a MinHash LSH forest, with exact verification.
 
 1. Every text becomes a hash of its word sequence, the number of its distinct five-word shingles and a
-   MinHash signature, the labels of ``TREES`` tries of depth ``DEPTH``. Equal word sequences are one node.
-2. In each trie, texts match whose labels share a prefix. The prefix is shortened from the full depth
-   until a pair at the threshold meets in some trie with the target probability.
-3. Trie nodes link their members to the least one; connected components bound where links can be.
-4. A component's members, in blocks of at most two chunks of ``CHUNK`` (so a large component is split
-   over many tasks), are compared: pairs that share a prefix in any trie are verified on their whole
-   shingle sets. A task returns link counts and a spanning forest, never pairs.
-5. Components of the verified links are the classes.
+   MinHash signature, the labels of ``TREES`` prefix tries of depth ``DEPTH``. Equal word sequences are one node.
+2. In each trie, texts that share a prefix of the least depth that may be needed are linked to the least of
+   them; connected components bound where links can be.
+3. A component's members, in blocks of at most two chunks of ``CHUNK`` (so a large component is split
+   over many tasks), are sorted in each trie, and the common prefixes of neighbours tell who meets at what depth. From the
+   full depth on, pairs that meet are verified on their whole shingle sets, and the prefix is shortened until the recall
+   reaches the target: as estimated from the pairs found, whose similarity tells how often such pairs meet at that
+   depth, and as guaranteed for pairs at the threshold. A task returns link counts and a spanning forest, never pairs.
+4. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, components, joined_words, mix, pieces, table, texts_of, tune, windows
+from .seeds import text_id
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -35,12 +36,14 @@ _XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def meeting(similarity: float, depth: int) -> float:
+    """How likely a pair of that similarity shares a prefix of that depth in some trie."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
 def prefix_depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """The longest prefix at which a pair of that similarity meets in some trie with the target probability."""
-    for depth in range(DEPTH, 1, -1):
-        if 1 - (1 - threshold**depth) ** TREES >= target:
-            return depth
-    return 1
+    """The shortest prefix that any search can come to: there a pair at the threshold meets with the target probability."""
+    return next((d for d in range(DEPTH, 1, -1) if meeting(threshold, d) >= target), 1)
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -76,49 +79,52 @@ def _labels(sig: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _word_hash(text: bytes) -> bytes | None:
-    words = text.split()
-    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
-
-
 def _features(depth: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
         labels: list[np.ndarray | None] = [None] * len(texts)
+        node: list[int | None] = [None] * len(texts)
         for k, _, sig in _signature_runs(texts):
-            labels[k] = _labels(sig[None, :], depth)[0].view(np.int64)
+            labels[k], node[k] = _labels(sig[None, :], depth)[0].view(np.int64), text_id(texts[k])
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array([_word_hash(t) for t in texts], pa.binary()), pa.array(labels, pa.list_(pa.int64()))],
-            ["doc_id", "words", "labels"],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(node, pa.int64()), pa.array(labels, pa.list_(pa.int64()))],
+            ["doc_id", "row_key", "node", "labels"],
         )
 
     return run
 
 
 def _block_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Signature and shingle set of each member, and whether it is the text that the node stands for."""
+    """Signature and shingle set of each member."""
     texts = texts_of(batch)
     sig: list[bytes | None] = [None] * len(texts)
     sets: list[bytes | None] = [None] * len(texts)
     for k, s, g in _signature_runs(texts):
         sig[k], sets[k] = g.tobytes(), s.tobytes()
-    keep = pa.array([_word_hash(t) == w for t, w in zip(texts, batch.column("words").to_pylist())])
     names = ["node", "copies", "comp", "chunk", "chunks"]
-    out = pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [*(batch.column(n) for n in names), pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], [*names, "sig", "sets"]
     )
-    return out.filter(keep)
 
 
-def _verify(rows: list[dict], depth: int, threshold: float) -> Iterator[tuple[int, int | None, int | None]]:
+def _common_prefixes(sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each trie the order of its labels, and how long a prefix each shares with the one before it."""
+    for labels in sig.reshape(len(sig), TREES, DEPTH).transpose(1, 0, 2):
+        order = np.lexsort(labels.T[::-1])
+        same = labels[order][1:] == labels[order][:-1]
+        yield order, np.concatenate(([0], np.minimum.accumulate(same, axis=1).sum(axis=1)))
+
+
+def _verify(rows: list[dict], floor: int, threshold: float, target: float) -> Iterator[tuple[int, int | None, int | None]]:
     """(node, other, null) for a spanning forest of the verified links in a block, (node, null, links) for counts."""
     seen: dict[int, dict] = {}
     for r in rows:
         seen.setdefault(r["node"], r)
     rows = sorted(seen.values(), key=lambda r: r["node"])
+    if len(rows) < 2:
+        return
     i, j = rows[0]["i"], rows[0]["j"]
-    sig = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint32).reshape(len(rows), -1)
-    names = _labels(sig, depth)
+    tries = list(_common_prefixes(np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint32).reshape(len(rows), -1)))
     chunk = np.array([r["chunk"] for r in rows])
     size = np.array([len(r["sets"]) // 8 for r in rows])
     sets = [np.frombuffer(r["sets"], dtype=np.uint64) for r in rows]
@@ -131,32 +137,45 @@ def _verify(rows: list[dict], depth: int, threshold: float) -> Iterator[tuple[in
             x = parent[x]
         return x
 
-    for a in range(len(rows) - 1):
-        rest = np.arange(a + 1, len(rows))
-        meet = (names[rest] == names[a]).any(axis=1) & (np.minimum(size[rest], size[a]) >= threshold * np.maximum(size[rest], size[a]))
-        if i != j:
-            meet &= chunk[rest] != chunk[a]
-        for b in rest[meet]:
+    # pairs still to be looked at: the larger set is not too large for the threshold, and both chunks have a say
+    open_ = np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size)
+    if i != j:
+        open_ &= chunk[:, None] != chunk[None, :]
+    open_ = np.triu(open_, 1)
+    like: list[float] = []
+    for depth in range(DEPTH, floor - 1, -1):
+        meet = np.zeros_like(open_)
+        for order, shared in tries:
+            group = np.empty(len(rows), np.int64)
+            group[order] = np.cumsum(shared < depth)
+            meet |= group[:, None] == group[None, :]
+        for a, b in zip(*(x.tolist() for x in np.nonzero(meet & open_))):
             # both arrays hold distinct values, so repeats in the merged one are common shingles
             both = np.concatenate((sets[a], sets[b]))
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             if common >= threshold * (len(both) - common):
+                like.append(common / (len(both) - common))
                 links[a] += rows[b]["copies"]
                 links[b] += rows[a]["copies"]
-                x, y = root(a), root(int(b))
+                x, y = root(a), root(b)
                 if x != y:
                     parent[y] = x
-                    yield rows[a]["node"], rows[int(b)]["node"], None
+                    yield rows[a]["node"], rows[b]["node"], None
+        open_ &= ~meet
+        # a pair found stands for as many as its similarity lets meet
+        estimate = len(like) / sum(1 / meeting(s, depth) for s in like) if like else 1.0
+        if not open_.any() or min(estimate, meeting(threshold, depth)) >= target:
+            break
     for k in np.flatnonzero(links):
         yield rows[k]["node"], None, int(links[k])
 
 
-def _verifier(depth: int, threshold: float):
+def _verifier(floor: int, threshold: float, target: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = itertools.chain.from_iterable(b.to_pylist() for b in batches)
         for _, block in itertools.groupby(rows, key=lambda r: (r["comp"], r["i"], r["j"])):
-            out = list(_verify(list(block), depth, threshold))
+            out = list(_verify(list(block), floor, threshold, target))
             if out:
                 a, b, n = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "links"])
@@ -165,47 +184,51 @@ def _verifier(depth: int, threshold: float):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """(doc_id, words, node, class_id, n_copies, n_links) for each row of docs (doc_id, text, ...).
+    """(doc_id, row_key, text_key, node, class_id, n_copies, n_links) for each row of docs (doc_id, text, ...).
 
     class_id: least doc_id of the rows connected by links of at least the threshold; node: least doc_id
-    with the same word sequence; n_copies: rows with it; n_links: other rows linked directly, copies
-    included. Texts that are null or without a word stand alone, as do rows of null doc_id. Words are
-    taken as they stand. A doc_id given to two different texts makes one node of each, which may
-    join their classes.
+    with the same word sequence, text_key: a 64-bit hash of it; class_key: the least text_key of the class; n_copies: rows with that sequence; n_links: other rows
+    linked directly, copies included; row_key: xxhash64 of all columns of the row. Texts that are null or without a word stand alone
+    (text_key null). Words are taken as they stand. Rows of null doc_id take part like others; a doc_id given to
+    several texts stands in the class of each.
     """
     tune(docs.sparkSession)
-    depth = prefix_depth(threshold, target)
-    docs = docs.select("doc_id", "text")
-    found = table(arrow_map(docs, _features(depth), "doc_id long, words binary, labels array<long>"), "forest")
-    nodes = table(
-        found.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes"
-    )
-    # one row of labels a node: the copies' labels are the same, so any row with the node's doc_id will do
-    known = nodes.where("node is not null")
-    leaves = found.where("words is not null").join(known.select("words", "node"), "words").where("doc_id = node")
+    floor = prefix_depth(threshold, target)
+    docs = docs.select("doc_id", "text", F.xxhash64(*docs.columns).alias("row_key"))
+    found = table(arrow_map(docs, _features(floor), "doc_id long, row_key long, node long, labels array<long>"), "forest")
+    texts = found.where("node is not null")
+    nodes = table(texts.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row"), F.count("*").alias("copies")), "nodes")
+    # one row of labels a node
+    leaves = texts.select("row_key", "labels").join(nodes.select("node", F.col("row").alias("row_key")), "row_key")
     leaves = leaves.select("node", F.explode("labels").alias("label")).distinct()
     first = leaves.groupBy("label").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     star = leaves.join(first, "label").where("node <> b").select(F.col("node").alias("a"), "b")
     comp = table(components(star, "candidates"), "members")
     sizes = comp.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    members = comp.join(sizes, "root").join(known, "node").select(
-        "node", "copies", "words", F.col("root").alias("comp"), "chunks",
+    members = comp.join(sizes, "root").join(nodes, "node").select(
+        "node", "copies", "row", F.col("root").alias("comp"), "chunks",
         F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int").alias("chunk"),
     )
-    texts = docs.join(members, docs["doc_id"] == members["node"]).select("text", "node", "copies", "words", "comp", "chunk", "chunks")
-    rows = arrow_map(texts, _block_rows, "node long, copies long, comp long, chunk int, chunks int, sig binary, sets binary")
+    members = docs.join(members, docs["row_key"] == members["row"]).select("text", "node", "copies", "comp", "chunk", "chunks")
+    rows = arrow_map(members, _block_rows, "node long, copies long, comp long, chunk int, chunks int, sig binary, sets binary")
     blocks = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "comp", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), "node", "copies", "chunk", "sig", "sets"
     )
     blocks = blocks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    verified = table(blocks.mapInArrow(_verifier(depth, threshold), "a long, b long, links long"), "verified")
+    verified = table(blocks.mapInArrow(_verifier(floor, threshold, target), "a long, b long, links long"), "verified")
     classes = components(verified.where("b is not null").select("a", "b"), "classes")
     links = verified.where("links is not null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     named = nodes.join(classes, "node", "left").join(links, "node", "left").select(
-        "words", "node", "copies", "links", F.coalesce("root", "node").alias("root")
+        "node", "first_id", "copies", "links", F.coalesce("root", "node").alias("class_key")
     )
-    return found.select("doc_id", "words").join(named, "words", "left").select(
-        "doc_id", "words", F.coalesce("node", "doc_id").alias("node"), F.coalesce("root", "doc_id").alias("class_id"),
-        F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"),
-        (F.coalesce("copies", F.lit(1).cast("long")) - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links"),
+    named = table(named, "named")
+    least = named.groupBy("class_key").agg(F.min("first_id").alias("class_id"))
+    named = named.join(least, "class_key")
+    one = F.lit(1).cast("long")
+    return found.select("doc_id", "row_key", "node").join(named, "node", "left").select(
+        "doc_id", "row_key", F.col("node").alias("text_key"), "class_key",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first_id")).alias("node"),
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("copies", one).alias("n_copies"),
+        (F.coalesce("copies", one) - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links"),
     )
