@@ -28,10 +28,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one of the least doc_id; rows of null doc_id stay as they are."""
-    found = jaccard_join.join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document of each class stays: the one of the least doc_id (null last), of several the one of the least row hash.
+
+    Rows are told apart by a hash of all their columns, so different texts under one doc_id, and rows of null doc_id,
+    are judged like others; equal rows count once. Texts without a word have no class and stay.
+    """
+    key = F.xxhash64(*docs.columns)
+    found = jaccard_join.join(docs).where("text_key is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
+    kept = found.groupBy("class_key").agg(first.alias("kept_key")).select("kept_key")
+    once = docs.withColumn("kept_key", key).join(kept, "kept_key").dropDuplicates(["kept_key"]).select(*docs.columns)
+    return once.unionByName(docs.where(source_mix.word_count() == 0))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
