@@ -91,20 +91,25 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 def _score(text: str, kind: str, start: int, end: int, sure: float) -> float:
     near = text[max(0, start - NEAR) : start].lower() + " " + text[end : end + NEAR].lower()
-    words = set(re.findall(r"[a-z_]+", near))
-    return sure + 0.3 * any(w in words for w in CONTEXT[kind]) - 0.3 * any(w in near for w in AGAINST)
+    words = re.findall(r"[a-z_]+", near)
+    line = f" {' '.join(words)} "
+    return sure + 0.3 * any(w in words for w in CONTEXT[kind]) - 0.3 * any(f" {w} " in line for w in AGAINST)
 
 
 def added_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans of the kinds that the method adds: iban, ssn, secret."""
     iban, ssn, secret = [], [], []
-    for m in _IBAN.finditer(text):
-        span = m.group()
-        while len(span) >= 15:  # a following capitalised word may have been taken along
-            if mod97(span) and _score(text, "iban", m.start(), m.start() + len(span), 0.7) >= MIN_SCORE - 0.2:
-                iban.append((m.start(), m.start() + len(span)))
+    m = _IBAN.search(text)
+    while m:
+        span, after = m.group(), m.start() + 2
+        while len(span) >= 15:  # a following capitalised word, or the next number, may have been taken along
+            if mod97(span):
+                after = m.start() + len(span)
+                if _score(text, "iban", m.start(), after, 0.7) >= MIN_SCORE:
+                    iban.append((m.start(), after))
                 break
             span = span.rpartition(" ")[0]
+        m = _IBAN.search(text, after)
     for m in _SSN.finditer(text):
         a, b, c = m.group().split("-")
         if a not in ("000", "666") and a < "900" and b != "00" and c != "0000":
