@@ -8,6 +8,8 @@ threshold is fixed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ BITS = 16
 DIM = 1 << BITS
 #: Bound on the labelled rows that training uses, least hash of the id first.
 MAX_ROWS = 2000
+#: Words and bytes of a long text that are looked at at once.
+PART = 1 << 21
 #: A document is rejected if its calibrated probability of being good is below this.
 THRESHOLD = 0.2
 SYMBOLS = "#*$%&|<>"
@@ -49,30 +53,40 @@ def base_rules(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeat, n < 50 or 100 * repeat > 50 * n
 
 
-def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, weight) triples of a run of texts; each family's weights sum to 1 in a text."""
-    hashes, at = joined_words(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
-    found = []
+def _families(hashes: np.ndarray, at: np.ndarray, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(text, feature, family) of a run of texts: word hashes and where each text's begin, bytes and where each text's begin."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[: len(data)]
     for n in (1, 2):
         h = windows(hashes, n)
         ok = owner[: len(h)] == owner[n - 1 :][: len(h)]
-        found.append((owner[: len(h)][ok], h[ok], n))
-    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8).astype(np.uint64)
-    place = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(data)]
+        yield owner[: len(h)][ok], _slot(h[ok], n), n
+    data = data.astype(np.uint64)
     for n in (3, 5):
         if len(data) >= n:
             h = np.zeros(len(data) - n + 1, dtype=np.uint64)
             for k in range(n):
                 h |= data[k : len(data) - n + 1 + k] << np.uint64(8 * k)
             ok = place[: len(h)] == place[n - 1 :]
-            found.append((place[: len(h)][ok], mix(h[ok] + np.uint64(n)), n + 10))
+            yield place[: len(h)][ok], _slot(mix(h[ok] + np.uint64(n)), n + 10), n
+
+
+def _slot(h: np.ndarray, salt: int) -> np.ndarray:
+    return (mix(h ^ np.uint64(salt)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def _families_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    hashes, at = joined_words(texts)
+    yield from _families(hashes, at, np.frombuffer(b"\n".join(texts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+
+
+def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, weight) triples of a run of texts; each family's weights sum to 1 in a text."""
     docs, feats, weights = [], [], []
-    for doc, h, salt in found:
-        count = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+    for doc, feat, _ in _families_of(texts):
         docs.append(doc)
-        feats.append((mix(h ^ np.uint64(salt)) >> np.uint64(64 - BITS)).astype(np.int32))
-        weights.append((1.0 / count)[doc].astype(np.float32))
+        feats.append(feat)
+        weights.append((1.0 / np.maximum(np.bincount(doc, minlength=len(texts)), 1))[doc].astype(np.float32))
     return np.concatenate(docs), np.concatenate(feats), np.concatenate(weights)
 
 
@@ -90,16 +104,17 @@ def _sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
             part = slice(cut[k], cut[k + 1])
             out.append(((uniq[part] & (DIM - 1)).astype(np.int32).tobytes(), total[part].tobytes()))
     return pa.RecordBatch.from_arrays(
-        [batch.column("quality").cast(pa.int32()), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())],
-        ["quality", "feats", "weights"],
+        [batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())],
+        ["doc_id", "quality", "feats", "weights"],
     )
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 7) -> dict:
     """Weights, bias and calibration. With fewer than 20 rows or one class only: a model that keeps all.
 
-    Rows with a null text or label take no part. The sample holds at most max_rows rows; what comes to
-    the driver is their hashed features, under 16 thousand numbers for a usual text and never over 2**16.
+    Rows with a null text or label take no part. The sample holds at most max_rows documents, each with one text (of several under
+    an id the one of the least features); what comes to the driver is their hashed features, under 16 thousand numbers for a usual text
+    and never over 2**16.
     """
     spark = docs.sparkSession
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
@@ -107,10 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: in
         labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(key, "doc_id").limit(max_rows)
     )
-    rows = arrow_map(
-        docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text"),
-        _sparse, "quality int, feats binary, weights binary",
-    ).toLocalIterator()
+    sparse = arrow_map(
+        docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "quality", "text"),
+        _sparse, "doc_id long, quality int, feats binary, weights binary",
+    )
+    least = F.min(F.struct("feats", "weights", "quality"))
+    rows = sparse.groupBy("doc_id").agg(least.alias("one")).select("one.*").toLocalIterator()
     y, counts, feats, weights = [], [], [], []
     for r in rows:
         y.append(1.0 if r["quality"] > 0 else 0.0)
@@ -122,27 +139,36 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: in
         return {"w": np.zeros(DIM, np.float32), "a": 0.0, "b": 20.0, "rows": len(y)}
     order = sorted(range(len(y)), key=lambda i: (counts[i], feats[i][:8].tobytes(), weights[i][:8].tobytes(), y[i]))
     y = np.array([y[i] for i in order])
-    feats, weights = [feats[i] for i in order], [weights[i] for i in order]
-    doc = np.repeat(np.arange(len(y)), [len(f) for f in feats])
-    feat, weight = np.concatenate(feats), np.concatenate(weights).astype(np.float64)
-    scale = 1.0 / np.sqrt(np.bincount(feat, weights=weight**2, minlength=DIM) / len(y) + 1e-6)
-    x = weight * scale[feat]
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [counts[i] for i in order])
+    feat, x = np.concatenate([feats[i] for i in order]), np.concatenate([weights[i] for i in order])
+    del feats, weights
+    scale = 1.0 / np.sqrt(np.bincount(feat, weights=x * x, minlength=DIM) / len(y) + 1e-6)
+    x *= scale.astype(np.float32)[feat]
     held = np.arange(len(y)) % 5 == 0
     sample = np.where(held, 0.0, 1.0)
     sample *= np.where(y == 1, 0.5 / max(1, sample[y == 1].sum()), 0.5 / max(1, sample[y == 0].sum()))
     w, m, v, bias = np.zeros(DIM), np.zeros(DIM + 1), np.zeros(DIM + 1), 0.0
     for step in range(1, 81):
-        z = np.bincount(doc, weights=x * w[feat], minlength=len(y)) + bias
+        z = _sums(doc, x, w, feat, len(y)) + bias
         g = sample * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = np.append(np.bincount(feat, weights=x * g[doc], minlength=DIM) + 1e-4 * w, g.sum())
+        grad = np.append(_sums(feat, x, g, doc, DIM) + 1e-4 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, bias = w - move[:DIM], bias - move[DIM]
-    z = np.bincount(doc, weights=x * w[feat], minlength=len(y))
+    z = _sums(doc, x, w, feat, len(y))
     a, b = _platt(z[held] + bias, y[held])
     return {"w": (w * scale).astype(np.float32), "a": a, "b": a * bias + b, "rows": len(y)}
 
 
+def _sums(to: np.ndarray, x: np.ndarray, values: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """Sums of x * values[of] by to, in parts, so that no copy of all the features is made."""
+    out = np.zeros(size)
+    for k in range(0, len(x), 1 << 20):
+        part = slice(k, k + (1 << 20))
+        out += np.bincount(to[part], weights=x[part] * values[of[part]], minlength=size)
+    return out
+
+
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic calibration, by Newton steps, with Platt's smoothed targets."""
     n1, n0 = y.sum(), len(y) - y.sum()
@@ -159,22 +185,37 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def probabilities(texts: list[bytes], model: dict) -> np.ndarray:
-    """Calibrated probability of each text being good. Very long texts go in parts whose scores are averaged."""
-    w, out = model["w"], np.empty(len(texts))
+    """Calibrated probability of each text being good; one of any length is scored as a whole."""
+    w, out = model["w"].astype(np.float64), np.empty(len(texts))
     for i, j in pieces(texts, 1 << 20):
-        if j == i + 1 and len(texts[i]) > 1 << 21:
-            t = texts[i]
-            parts = [t[k : k + (1 << 20)] for k in range(0, len(t), 1 << 20)]
-            z = np.average([_raw([p], w)[0] for p in parts], weights=[len(p) for p in parts])
-            out[i] = z
+        if len(texts[i]) > PART:
+            out[i] = _raw_long(texts[i], w)
         else:
-            out[i:j] = _raw(texts[i:j], w)
+            out[i:j] = sum(np.bincount(doc, weights=w[feat], minlength=j - i) / np.maximum(np.bincount(doc, minlength=j - i), 1) for doc, feat, _ in _families_of(texts[i:j]))
     return 1 / (1 + np.exp(-np.clip(model["a"] * out + model["b"], -40, 40)))
 
 
-def _raw(texts: list[bytes], w: np.ndarray) -> np.ndarray:
-    doc, feat, weight = _features(texts)
-    return np.bincount(doc, weights=weight * w[feat], minlength=len(texts))
+def _raw_long(text: bytes, w: np.ndarray) -> float:
+    """The sums of all n-grams of a text, taken part by part; parts overlap by the words and bytes that n-grams reach over."""
+    hashes, _ = joined_words([text])
+    data = np.frombuffer(text, dtype=np.uint8)
+    none = np.zeros(0, np.uint64), np.zeros(2, np.int64)
+    total, count = np.zeros(6), np.zeros(6)
+    for i in range(0, max(len(hashes), 1), PART):
+        for n in (1, 2):
+            part = hashes[i : i + PART + n - 1]
+            for _, feat, family in _families(part, np.array([0, len(part)]), data[:0], none[1]):
+                if family == n:
+                    total[n] += w[feat].sum()
+                    count[n] += len(feat)
+    for i in range(0, len(data), PART):
+        for n in (3, 5):
+            part = data[i : i + PART + n - 1]
+            for _, feat, family in _families(*none, part, np.array([0, len(part)])):
+                if family == n:
+                    total[n] += w[feat].sum()
+                    count[n] += len(feat)
+    return float((total / np.maximum(count, 1)).sum())
 
 
 def judge(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
