@@ -3,8 +3,9 @@
 A text is cut into chunks at blanks where the split pattern can never match across, each chunk into
 pieces by the pattern. A task sends the pieces it has not met yet to an in-process DuckDB: rows of
 (piece, position, token) join the merge table, and every recursion contracts each piece's leftmost
-pair of least rank until none is left. Decoding joins the token table and strings the bytes together in
-order. What has been met stays in a two-generation cache of bounded size. Texts of any length are taken
+pair of least rank until none is left; where that pair cannot compete with another, its further places, which would be
+the next ones, go in the same step. Decoding joins the token table with the ids of each document and strings the bytes together in
+order. Pieces that have been met stay in a two-generation cache of bounded size. Texts and pieces of any length are taken
 whole; memory follows the longest text.
 """
 
@@ -22,40 +23,32 @@ from .common import arrow_map, tune
 
 #: Chunks kept in each of the two cache generations of a Python worker.
 CACHE = 300_000
-#: Bytes of pieces in one recursive query, and the length from which a piece goes its own way.
-SLICE, LONG = 400_000, 1000
+#: Bytes of pieces in one recursive query, and tokens in one that decodes.
+SLICE, TOKENS = 400_000, 400_000
 #: A vocabulary file beyond this is not sent along with tasks.
 MAX_VOCABULARY = 64 << 20
 
 # A token is the character of its number plus SHIFT (past the surrogates), and a piece a string of them; its
-# positions are unnested to rows, which join the merge table on two characters.
-SHIFT = 0xE000
+# positions are unnested to rows, which join the merge table on two characters. A rank can belong to several pairs: alt numbers them,
+# and last is LAST - alt where all places of the pair may go at once; alt and last add up to LAST if the rank stands for one such pair only.
+SHIFT, LAST = 0xE000, 1023
 _ENCODE = f"""
-    with recursive t(word, s, live) as (
+    with recursive t(word, s, live) using key (word) as (
         select word, s, true from start
-        union all
-        select t.word, case when b.low is null then t.s
-               else substr(t.s, 1, b.low % 4096 - 1) || chr(cast(b.low // 4096 + {SHIFT} as integer)) || substr(t.s, b.low % 4096 + 2) end,
+        union
+        select t.word,
+               case when b.low is null then t.s
+               when b.alt + b.last = {LAST} then replace(t.s, substr(t.s, b.low % 4294967296, 2), chr(cast(b.low // 4294967296 + {SHIFT} as integer)))
+               else substr(t.s, 1, b.low % 4294967296 - 1) || chr(cast(b.low // 4294967296 + {SHIFT} as integer)) || substr(t.s, b.low % 4294967296 + 2) end,
                b.low is not null
         from t left join (
-            select word, min(m.rank * 4096 + x.pos) as low
-            from (select word, s, unnest(range(1, length(s))) as pos from t where live) x
-            join merges m on m.pair = substr(x.s, x.pos, 2) group by word
+            select word, min(m.rank * 4294967296 + x.pos) as low, min(m.rank * {LAST + 1} + m.alt) % {LAST + 1} as alt, min(m.rank * {LAST + 1} + m.last) % {LAST + 1} as last
+            from (select word, unnest(range(1, len(l))) as pos, unnest(l) as a, unnest(l[2:]) as b from (select word, string_split(s, '') as l from t where live)) x
+            join merges m on m.pair = x.a || x.b group by word
         ) b on b.word = t.word
         where t.live
     )
-    select word, s from t where not live order by word
-"""
-# All occurrences of the least rank at once: in a run of overlapping ones, every second.
-_LONG_STEP = """
-    select row_number() over (order by pos) - 1 as pos, case when hit then rank else tok end as tok
-    from (select *, coalesce(lag(hit) over (order by pos), false) as gone
-          from (select *, best and (pos - min(pos) over (partition by best, island)) % 2 = 0 as hit
-                from (select *, pos - row_number() over (partition by best order by pos) as island
-                      from (select a.pos, a.tok, m.rank, coalesce(m.rank = min(m.rank) over (), false) as best
-                            from (select pos, tok, lead(tok) over (order by pos) as nxt from long_piece) a
-                            left join merges m on m.l = a.tok and m.r = a.nxt))))
-    where not gone
+    select word, s from t order by word
 """
 _DECODE = """
     select word, string_agg(v.hex, '' order by r.pos) as hex
@@ -75,33 +68,32 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.blanks = regex.compile(r"\s*\S+|\s+")
         self.doubled = regex.compile(r"\s ")
-        left, right, rank = [], [], []
+        pair, rank, alt = [], [], []
+        below: dict[int, int] = {}  # the least rank of a pair that a token is part of
         for token, r in self.ranks.items():
+            alike = 0
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
-                    left.append(a), right.append(b), rank.append(r)
+                    pair.append(chr(SHIFT + a) + chr(SHIFT + b)), rank.append(r), alt.append(min(alike, LAST - 1))
+                    alike += 1
+                    for part in (a, b):
+                        below[part] = min(below.get(part, r), r)
+        # a token that could go on to a pair of no higher rank must do so before the pair's next place
+        last = [LAST - x - (below.get(r, r + 1) <= r) for x, r in zip(alt, rank)]
         self.db = duckdb.connect()
         self.db.execute("set threads = 1")
-        pair = [chr(SHIFT + a) + chr(SHIFT + b) for a, b in zip(left, right)]
-        self._load("merges", {"l": left, "r": right, "pair": pair, "rank": rank})
+        self._load("merges", {"pair": pair, "rank": np.array(rank, np.int64), "alt": np.array(alt, np.int64), "last": np.array(last, np.int64)})
         self._load("vocabulary", {"tok": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
         self.letters = {b: chr(SHIFT + self.ranks[bytes([b])]) for b in range(256)}
-        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.texts: dict[bytes, bytes] = {}
-        self.old_texts: dict[bytes, bytes] = {}
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def _rows(self, sql: str, *names: str) -> list[np.ndarray]:
-        got = self.db.sql(sql).to_arrow_table()
-        return [got.column(n).to_numpy() for n in names]
-
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
@@ -109,8 +101,6 @@ class Codec:
         for k, piece in enumerate(pieces):
             if piece in self.ranks:
                 out[k] = self.ranks[piece].to_bytes(4, "little")
-            elif len(piece) > LONG:
-                out[k] = self._encode_long(piece)
             else:
                 todo.append(k)
                 size += len(piece)
@@ -131,23 +121,13 @@ class Codec:
             out[k] = data[at : at + 4 * len(s)]
             at += 4 * len(s)
 
-    def _encode_long(self, piece: bytes) -> bytes:
-        """A very long piece: one contraction of all places of the least rank a step, as ranks only rise."""
-        tok = self.bytes[np.frombuffer(piece, dtype=np.uint8)]
-        while True:
-            self._load("long_piece", {"pos": np.arange(len(tok)), "tok": tok})
-            (after,) = self._rows(f"select tok from ({_LONG_STEP}) order by pos", "tok")
-            if len(after) == len(tok):
-                return tok.astype("<u4").tobytes()
-            tok = after
-
     def decode_runs(self, runs: list[bytes]) -> list[bytes]:
         """Bytes of each run of ids."""
         out: list[bytes] = []
         i = 0
         while i < len(runs):
             j, size = i, 0
-            while j < len(runs) and (j == i or size + len(runs[j]) <= 400_000):
+            while j < len(runs) and (j == i or size + len(runs[j]) <= 4 * TOKENS):
                 size += len(runs[j])
                 j += 1
             lengths = np.array([len(r) // 4 for r in runs[i:j]])
@@ -169,15 +149,14 @@ class Codec:
         """Chunks of each text; afterwards both caches know them all."""
         cut = [self.chunks(t) for t in texts]
         if len(self.new) > CACHE:
-            self.old, self.new, self.old_texts, self.texts = self.new, {}, self.texts, {}
+            self.old, self.new = self.new, {}
         new, old = self.new, self.old
         unknown = {}
         for chunks in cut:
             for c in chunks:
                 if c not in new:
                     if c in old:
-                        run = new[c] = old[c]
-                        self.texts[run] = self.old_texts[run]
+                        new[c] = old[c]
                     else:
                         unknown[c] = None
         if unknown:
@@ -187,24 +166,18 @@ class Codec:
             for p in fresh:
                 if p in old:
                     new[p] = old[p]
-                    self.texts[old[p]] = self.old_texts[old[p]]
             fresh = [p for p in fresh if p not in new]
-            runs = self.encode_pieces([p.encode() for p in fresh])
-            new.update(zip(fresh, runs))
-            self.texts.update(zip(runs, self.decode_runs(runs)))
+            new.update(zip(fresh, self.encode_pieces([p.encode() for p in fresh])))
             for c, ps in zip(unknown, parts):
                 if len(ps) > 1:
-                    some = [new[p] for p in ps]
-                    run = new[c] = b"".join(some)
-                    self.texts[run] = b"".join([self.texts[r] for r in some])
+                    new[c] = b"".join([new[p] for p in ps])
         return cut
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids (little-endian 32-bit integers) of each text, and the bytes that they decode to."""
+        """Ids (little-endian 32-bit integers) of each text, and the bytes that these ids decode to."""
         for i in range(0, len(texts), 256):
-            for chunks in self.learn(texts[i : i + 256]):
-                runs = [self.new[c] for c in chunks]
-                yield b"".join(runs), b"".join([self.texts[r] for r in runs])
+            runs = [b"".join([self.new[c] for c in chunks]) for chunks in self.learn(texts[i : i + 256])]
+            yield from zip(runs, self.decode_runs(runs))
 
 
 def codec(ranks_file: bytes, pattern: str) -> Codec:
