@@ -21,11 +21,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, ROUNDS = 0.85, 20
-#: A host is blocked if its distrust exceeds this many times its trust.
-RATIO = 1.0
+#: Share of the mass that goes on at each step; it is followed until less than TOLERANCE of it is under way.
+DAMPING, TOLERANCE = 0.85, 1e-6
+#: A host is blocked if its distrust exceeds this many times its trust; both are rounded to DIGITS places first, so that equal ones stay equal in any order of adding up.
+RATIO, DIGITS = 1.0, 9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)href\s{0,8}=\s{0,8}["']?(?:[a-z][a-z0-9+.-]{0,15}:)?//([^/?#"'\s>]+)"""
+_LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -54,34 +55,33 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst) and seeds (host, good, bad), whose columns each sum to 1 or 0.
 
-    Hosts that no mass reaches are absent. Mass at hosts without further links ends there.
+    The rank is the sum of what the seeds send over paths of 0, 1, 2... links; each step is a table of the mass still under way, which
+    shrinks at least by the damping. Hosts that no mass reaches are absent. Mass at hosts without further links ends there.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("n"))
     into = edges.groupBy("dst").agg(F.count("*").alias("n"))
     forward = edges.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (1 / F.col("n")).alias("wt"), F.lit(0.0).alias("wd"))
     back = edges.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), (1 / F.col("n")).alias("wd"))
     steps = table(forward.union(back), "steps")
-    start = table(seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "seeds")
-    if steps.isEmpty():
-        return start
-    rank = start
-    base = start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
-    for _ in range(rounds):
-        moved = steps.join(rank, "host").select(
+    moving = table(seeds.select("host", ((1 - damping) * F.col("good")).alias("trust"), ((1 - damping) * F.col("bad")).alias("distrust")), "rank")
+    whole = moving
+    while (moving.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 0.0) > tolerance * (1 - damping):
+        moved = steps.join(moving, "host").select(
             F.col("to").alias("host"), (damping * F.col("trust") * F.col("wt")).alias("trust"), (damping * F.col("distrust") * F.col("wd")).alias("distrust")
         )
-        rank = table(moved.union(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "rank")
-    return rank
+        moving = table(moved.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).where("trust > 0 or distrust > 0"), "rank")
+        whole = whole.union(moving)
+    return whole.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html") -> DataFrame:
     """pages' rows and columns with host, path, rule and verdict added (columns of these names are replaced).
 
     A null url, or one without ``://``, has empty host and path and is allowed, as is any host that no
-    distrust reaches. Repeated rows each get the same. Null html has no links.
+    distrust reaches or whose trust equals it. Repeated rows each get the same. Null html has no links.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "trust", "distrust")
     seen = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
@@ -93,5 +93,5 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html") -
     total = by_host.agg(F.coalesce(F.sum("good"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
     seeds = by_host.select("host", (F.col("good") / max(total[0], 1.0)).alias("good"), (F.col("bad") / max(total[1], 1.0)).alias("bad"))
     rank = propagate(table(host_edges(pages, url, html), "edges"), seeds)
-    judged = seen.join(rank.where(F.col("distrust") > RATIO * F.col("trust")).select("host", F.lit("block").alias("spread")), "host", "left")
+    judged = seen.join(rank.where(F.round("distrust", DIGITS) > RATIO * F.round("trust", DIGITS)).select("host", F.lit("block").alias("spread")), "host", "left")
     return judged.withColumn("verdict", F.coalesce("said", "spread", F.lit("allow"))).select(*pages.columns, "host", "path", "rule", "verdict")
