@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Documents in a rounding cell, about.
 CELL = 64
-ROUNDS = 40
+ROUNDS = 100
 
 
 def word_count(text: str = "text") -> Column:
@@ -91,8 +91,8 @@ def multipliers(cells: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame
             ).coalesce(1), "dual",
         )
         if state.where("open").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError("entropy balancing did not settle")
 
 
 def _round(rows: Iterator[dict], cap: int) -> Iterator[tuple]:
@@ -102,13 +102,13 @@ def _round(rows: Iterator[dict], cap: int) -> Iterator[tuple]:
         size, want = r["size"], r["rate"] * r["size"]
         copies = min(cap, max(0, math.floor((want + carry) / size + 0.5))) if size else min(cap, round(r["rate"]))
         carry += want - copies * size
-        yield r["row"], copies
+        yield r["row"], r["salt"], r["source"], r["source_size"], r["target"], size, copies
 
 
 def _rounder(cap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = itertools.chain.from_iterable(b.to_pylist() for b in batches)
-        done = _cells(itertools.groupby(rows, key=lambda r: (r["source"], r["cell"])), cap)
+        done = itertools.chain.from_iterable(_round(cell, cap) for _, cell in itertools.groupby(rows, key=lambda r: (r["source"], r["cell"])))
         names = _ROUNDED.names
         while part := list(itertools.islice(done, 4096)):
             yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in part], schema=_ROUNDED)
@@ -116,26 +116,19 @@ def _rounder(cap: int):
     return run
 
 
-def _cells(cells, cap: int) -> Iterator[tuple]:
-    for _, cell in cells:
-        cell = list(cell)
-        for r, (row, copies) in zip(cell, _round(iter(cell), cap)):
-            yield row, r["source"], r["source_size"], r["target"], r["size"], copies
-
-
 _ROUNDED = pa.schema(
-    [("row", pa.int64()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("size", pa.int64()), ("copies", pa.int64())]
+    [("row", pa.int64()), ("row_key", pa.int64()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("size", pa.int64()), ("copies", pa.int64())]
 )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of docs (doc_id, text, source), one row for each.
+    """(doc_id, row_key, source, size, source_size, target, copies) of docs (doc_id, text, source, ...), one row for each.
 
     size: words of the text (null: 0). Null is a source of its own. Rows without words get copies that
-    take no words. Repeated rows are documents of their own. An empty table gives no rows.
+    take no words. row_key: xxhash64 of all columns of the row; cells are dealt by it. Repeated rows are documents of their own. An empty table gives no rows.
     """
     tune(docs.sparkSession)
-    sized = table(docs.select(F.col("doc_id").alias("row"), "source", word_count().alias("size")), "sizes")
+    sized = table(docs.select(F.col("doc_id").cast("long").alias("row"), "source", word_count().alias("size"), F.xxhash64(*docs.columns).alias("salt")), "sizes")
     cells = table(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     by_source = cells.groupBy("source").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs")
@@ -150,9 +143,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     spread = F.greatest(F.ceil(F.col("docs") / CELL), F.lit(1))
     dealt = sized.join(lam, F.col("source").eqNullSafe(F.col("s"))).select(
         "row", "source", "source_size", "target", "size", F.when(F.col("size") > 0, tilt).otherwise(1.0).alias("rate"),
-        F.pmod(F.xxhash64("row", F.lit(11)), spread).alias("cell"),
+        F.pmod(F.xxhash64("salt", F.lit(11)), spread).alias("cell"), "salt",
     )
     dealt = dealt.repartition("source", "cell")
-    dealt = dealt.sortWithinPartitions("source", "cell", F.col("size").desc(), "row")
-    fields = "row long, source string, source_size long, target double, size long, copies long"
+    dealt = dealt.sortWithinPartitions("source", "cell", F.col("size").desc(), "row", "salt")
+    fields = "row long, row_key long, source string, source_size long, target double, size long, copies long"
     return dealt.mapInArrow(_rounder(cap), fields).withColumnRenamed("row", "doc_id")
