@@ -22,7 +22,7 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go: those that fail the rules (null, empty and short texts do) or the model. Repeated rows are judged alike."""
     model = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.judge(docs, model).where("kept").select(*docs.columns)
 
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans give way to their kind; n_chars follows the new text."""
+    """Spans give way to their kind; n_chars follows the new text. Null texts stay null; every row stays."""
     found = pii.detect(docs)
     text = F.col("redacted")
     changed = found.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
@@ -50,15 +50,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = source_mix.mix(docs).select(F.col("doc_id").alias("mixed_id"), "copies").where("copies > 0")
-    once = mixed.groupBy("mixed_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(once, docs["doc_id"].eqNullSafe(once["mixed_id"]))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it. Equal rows are told apart by nothing, so together they stand as often as the mix takes them all."""
+    taken = source_mix.mix(docs).groupBy("row_key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    once = docs.withColumn("row_key", F.xxhash64(*docs.columns)).dropDuplicates(["row_key"])
+    return once.join(taken, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, checked by decoding them."""
+    """Token ids of every row, checked by decoding them; null and empty texts have none."""
     coded = byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     intact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", intact.alias("round_trip"))
