@@ -125,10 +125,17 @@ def anchored_velocity(t: np.ndarray, a: np.ndarray, anchors) -> np.ndarray:
     return area - np.interp(np.arange(len(t)), bounds, area[bounds])
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products of a and b at all shifts, the last of b against the first of a first; by Fourier transform."""
+    n = len(a) + len(b) - 1
+    size = 1 << (n - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b[::-1], size), size)[:n]
+
+
 def correlate_lags(x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
     """Greatest cross-correlation of the standardised series by size, over their length, and its lag."""
     a, b = (x - x.mean()) / (x.std() + 1e-9), (y - y.mean()) / (y.std() + 1e-9)
-    c = np.correlate(a, b, "full") / min(len(a), len(b))
+    c = products(a, b) / min(len(a), len(b))
     k = int(np.argmax(np.abs(c)))
     return float(c[k]), k - (len(b) - 1)
 
@@ -143,6 +150,6 @@ def periodicity(y: np.ndarray, least: int = 3) -> tuple[float, int]:
     power = float(y @ y)
     if power <= 1e-12:
         return 0.0, 0
-    r = np.correlate(y, y, "full")[n - 1 :] / power
+    r = products(y, y)[n - 1 :] / power
     k = least + int(np.argmax(r[least : max(least + 1, n // 2 + 1)]))
     return max(0.0, float(r[k])), k

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import usable
 
 KEYS = ("set_id", "vendor")
+#: Most values of a set whose pairwise slopes are taken.
+MAX_SET = 5000
 
 
 def loss_of(values: Column, k: int = 2, tail: Column | None = None) -> Column:
@@ -33,20 +35,51 @@ def _ordered(value: Column, condition: Column, order: str = "rep") -> Column:
     return F.transform(rows, lambda r: r["v"])
 
 
+def _from_end(condition: Column, by: Sequence[str], order: str = "rep") -> Column:
+    """How many rows that fulfil the condition a group has from this one on."""
+    w = Window.partitionBy(*by).orderBy(F.col(order).desc(), F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(condition.cast("int")).over(w)
+
+
+def _loss(good: Column, tail: Column, k: int, least: int = 3) -> tuple[Column, Column, Column]:
+    """(count, best, loss) as aggregates of rows with good and tail (flags) and _n and _m (their counts from the end).
+
+    The last min(k, n - 1) values are the last k, or all but the first, or (of a shorter tail) all.
+    """
+    def parts(flag: str, at: str) -> tuple[Column, Column, Column]:
+        x = F.when(F.col(flag), F.col("value"))
+        return F.count(x), F.sum(F.when(F.col(flag) & (F.col(at) <= k), F.col("value"))), F.sum(x)
+
+    (n, last, every), (m, tail_last, tail_every) = parts("_good", "_n"), parts("_tail", "_m")
+    best, first = F.max(F.when(good, F.col("value"))), F.min_by("value", F.when(good, F.struct("rep", "value")))
+    plain = F.when(n > k, last / k).otherwise((every - first) / (n - 1))
+    short = F.when((m >= k) & (n > k), tail_last / k).when(m < n, tail_every / m).otherwise(plain)
+    mean = F.when(m >= least, short).otherwise(plain)
+    return n.cast("int"), best, F.when((n >= 3) & (best > 0), (best - mean) / best * 100)
+
+
+def _with_loss(reps: DataFrame, by: Sequence[str], k: int, good: Column, tail: Column, *more: Column) -> DataFrame:
+    rows = reps.withColumn("_good", good).withColumn("_tail", tail)
+    rows = rows.withColumn("_n", _from_end(F.col("_good"), by)).withColumn("_m", _from_end(F.col("_tail"), by))
+    n, best, loss = _loss(F.col("_good"), F.col("_tail"), k)
+    return rows.groupBy(*by).agg(n.alias("n_reps"), best.alias("best"), loss.alias("velocity_loss"), *more)
+
+
 def velocity_loss(reps: DataFrame, by: Sequence[str] = KEYS, k: int = 2, exclude_partial: bool = False) -> DataFrame:
-    """(by..., n_reps, best, velocity_loss). exclude_partial drops partial reps from the terminal window only, if three or more remain."""
-    good = reps.groupBy(*by).agg(
-        _ordered(F.col("value"), usable()).alias("v"), _ordered(F.col("value"), usable() & (F.coalesce("flag", F.lit("")) != "partial_rom")).alias("w")
-    )
-    tail = F.when(F.size("w") >= 3, F.col("w")).otherwise(F.col("v")) if exclude_partial else None
-    return good.select(*by, F.size("v").alias("n_reps"), F.array_max("v").alias("best"), loss_of(F.col("v"), k, tail).alias("velocity_loss"))
+    """(by..., n_reps, best, velocity_loss). exclude_partial drops partial reps from the terminal window only, if three or more remain.
+
+    One shuffle and one sort on the key, then a hash aggregate.
+    """
+    tail = usable() & (F.coalesce("flag", F.lit("")) != "partial_rom") if exclude_partial else usable()
+    return _with_loss(reps, by, k, usable(), tail).select(*by, "n_reps", "best", "velocity_loss")
 
 
 def set_summary(reps: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Summary of a set whose loss is 0 where undefined; confidence is the mean of the reps', 0 for none (column confidence optional)."""
     conf = F.avg("confidence") if "confidence" in reps.columns else F.lit(None).cast("double")
-    rows = reps.groupBy(*by).agg(_ordered(F.col("value"), F.lit(True)).alias("v"), conf.alias("c"))
-    return rows.select(*by, F.size("v").alias("n_reps"), F.coalesce(loss_of(F.col("v")), F.lit(0.0)).alias("velocity_loss"), F.coalesce("c", F.lit(0.0)).alias("confidence"))
+    some = F.col("value").isNotNull()
+    rows = _with_loss(reps, by, 2, some, some, F.count("*").cast("int").alias("_all"), conf.alias("c"))
+    return rows.select(*by, F.col("_all").alias("n_reps"), F.coalesce("velocity_loss", F.lit(0.0)).alias("velocity_loss"), F.coalesce("c", F.lit(0.0)).alias("confidence"))
 
 
 def numbered(reps: DataFrame, by: Sequence[str] = KEYS, order: str = "rep", descending: bool = False, name: str = "pos") -> DataFrame:
@@ -56,11 +89,17 @@ def numbered(reps: DataFrame, by: Sequence[str] = KEYS, order: str = "rep", desc
 
 
 def theil_sen(reps: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """(by..., slope): median of all pairwise slopes over positions; null under two. Groups stay."""
-    rows = numbered(reps, by).select(*by, "pos", "value")
-    later = rows.select(*by, F.col("pos").alias("pos2"), F.col("value").alias("value2"))
-    slopes = rows.join(later, list(by)).where("pos2 > pos").groupBy(*by).agg(F.percentile((F.col("value2") - F.col("value")) / (F.col("pos2") - F.col("pos")), 0.5).alias("slope"))
-    return reps.select(*by).distinct().join(slopes, list(by), "left")
+    """(by..., slope): median of all pairwise slopes over positions; null under two. Groups stay.
+
+    The values of a set become one sorted array, whose pairs are made row by row where it lies: no join, and no second
+    shuffle. A set of more than MAX_SET values raises, since its pairs grow with the square.
+    """
+    sets = reps.groupBy(*by).agg(_ordered(F.col("value"), usable()).alias("v"))
+    size = F.size("v")
+    checked = F.when(size <= MAX_SET, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("a set of more than "), F.lit(MAX_SET), F.lit(" values"))).cast("array<double>"))
+    one = sets.select(*by, checked.alias("v")).select(*by, "v", F.posexplode_outer("v").alias("p", "x"))
+    later = F.transform(F.slice("v", F.coalesce("p", F.lit(0)) + 2, F.greatest(F.size("v"), F.lit(0))), lambda y, j: (y - F.col("x")) / (j + 1))
+    return one.select(*by, F.explode_outer(later).alias("s")).groupBy(*by).agg(F.percentile("s", 0.5).alias("slope"))
 
 
 def paired(reps: DataFrame, source: str, reference: str, key: str = "set_id") -> DataFrame:
@@ -211,12 +250,14 @@ def leave_one_out(items: DataFrame, group: str, value: str = "value") -> DataFra
     )
 
 
-def leave_one_out_with(items: DataFrame, group: str, fit, score) -> DataFrame:
+def leave_one_out_with(items: DataFrame, group: str, fit, score, most: int = 64) -> DataFrame:
     """The general form: fit(DataFrame) gives parameters of any kind, score(DataFrame, parameters) a DataFrame of held-out scores.
 
-    One pass a group on the driver's plan, so meant for a few groups (lifts, athletes), as its callers have.
+    One pass a group on the driver's plan, so meant for a few groups (lifts, athletes), as its callers have; more than `most` raise.
     """
-    names = [r[0] for r in items.select(group).distinct().orderBy(group).toLocalIterator()]
+    names = [r[0] for r in items.select(group).distinct().orderBy(group).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} groups; leave_one_out takes any number")
     out = None
     for name in names:
         held = items.where(F.col(group).eqNullSafe(F.lit(name)))

@@ -98,7 +98,7 @@ def trajectory_reps(rows: DataFrame, scale: str = "m_per_px", key: str = "clip",
         part = part.sort_values("t", kind="stable")
         got = trajectory_rows(*(part[c].to_numpy(float) for c in ("t", "cx", "cy")), float(part[scale].iloc[0]), transit=transit, **options)
         out = pd.DataFrame(got, columns=names)
-        out.insert(0, key, [group[0]] * len(out))
+        out.insert(0, key, pd.Series([group[0]] * len(out), dtype=object))
         return out
 
     reps = rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {VIDEO_REP}")
@@ -213,7 +213,7 @@ def bilateral_reps(rows: DataFrame, key: str = "clip", mode: str = "avg", tolera
         out = pd.DataFrame(reps, columns=names)
         cut = [(np.searchsorted(grid, a), np.searchsorted(grid, b)) for a, b in zip(out["t"], out["t_end"])]
         out["lr_rms_m"] = [round(float(np.sqrt(np.mean(apart[a : max(b, a + 1)] ** 2))), 4) for a, b in cut]
-        out.insert(0, key, [group[0]] * len(out))
+        out.insert(0, key, pd.Series([group[0]] * len(out), dtype=object))
         return out
 
     reps = rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {VIDEO_REP}, lr_rms_m double")
@@ -354,4 +354,4 @@ def boxes(rows: DataFrame, step: int, width: int, height: int, key: str = "clip"
         c = c.withColumn(name, F.least(F.greatest(F.col(name), F.lit(0.0)), F.lit(float(most))))
     c = c.where("x1 - x0 >= 4 and y1 - y0 >= 4")
     text = F.format_string("0 %.6f %.6f %.6f %.6f", (F.col("x0") + F.col("x1")) / 2 / width, (F.col("y0") + F.col("y1")) / 2 / height, (F.col("x1") - F.col("x0")) / width, (F.col("y1") - F.col("y0")) / height)
-    return c.select(key, "i", text.alias("label"), F.when(F.pmod(F.xxhash64(key), F.lit(5)) == 0, "val").otherwise("train").alias("split"))
+    return c.select(key, "i", text.alias("label"), F.when(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0, "val").otherwise("train").alias("split"))

@@ -55,10 +55,10 @@ def p06(spark, sf):
 
 
 @query("p07_plate_diameter", """select q, cast(case when q / 2.2046226 >= 9.5 then 0.45 else 0.3 end as double) as bumper, cast(case when q / 2.2046226 >= 9.5 then 0.95 else 0.6 end as double) as confidence,
-    cast(case when q <= 3.75 then 0.16 when q <= 7.5 then 0.205 when q < 17.5 then 0.25 when q < 30 then 0.39 when q < 40 then 0.415 else 0.45 end as double) as iron from (select distinct cast(l_quantity as double) as q from lineitem where l_quantity not in (17.5, 30, 40))""", NONE)
+    (select first(m::double order by abs(k - q), n) from (values (45.0, 1, 0.45), (35.0, 2, 0.415), (25.0, 3, 0.39), (10.0, 4, 0.25), (5.0, 5, 0.205), (2.5, 6, 0.16)) p(k, n, m)) as iron from (select distinct cast(l_quantity as double) as q from lineitem)""", NONE)
 def p07(spark, sf):
     q = F.col("l_quantity").cast("double")
-    rows = read(spark, sf, "lineitem").where(~F.col("l_quantity").isin(30, 40)).select(q.alias("q")).distinct()
+    rows = read(spark, sf, "lineitem").select(q.alias("q")).distinct()
     b = fn.plate_diameter(F.col("q"), F.lit("bumper"), F.lit("lb"))
     return rows.select("q", b["m"].alias("bumper"), b["confidence"].alias("confidence"), fn.plate_diameter(F.col("q"), F.lit("iron"), F.lit("lb"))["m"].alias("iron"))
 

@@ -56,7 +56,7 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ("reps", "u
         if sql:
             head = ", ".join(CTES[c] for c in ctes)
             body = nudged(sql.strip())
-            _oracles[name] = (f"with {head}{',' if not body.startswith('select') else ''} " if head else "") + body
+            _oracles[name] = (f"with {head}{',' if not body.startswith('select') else ''} " if head else "" if body.startswith("select") else "with ") + body
         return fn
 
     return register

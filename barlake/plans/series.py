@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import recordings as rec
 from ..operators import series as ops
 from ..views import reps, series
 from .registry import query
@@ -50,11 +51,11 @@ def w05(spark, sf):
     return ops.crossings(series(spark, sf), margin=0.05).where("crossing").select("recording_id", "i")
 
 
-@query("w06_greedy_separation")
+@query("w06_greedy_separation", f"""s as (select *, case when a < 0 then -1 else 1 end as s from series), c as (select *, lead(s) over ({K}) as n from s), m as (select recording_id, i from c where n <> s)
+    select recording_id, i from (with recursive kept as (select recording_id, min(i) as i from m group by recording_id union all
+        select k.recording_id, min(m.i) as i from kept k join m on m.recording_id = k.recording_id and m.i >= k.i + 3 group by k.recording_id, k.i) select * from kept)""", ONE)
 def w06(spark, sf):
-    from ..operators.recordings import separated
-
-    return separated(w04(spark, sf), 3)
+    return rec.separated(w04(spark, sf), 3)
 
 
 SEGMENTS = """ends as (select recording_id, m, lead(m) over (partition by recording_id order by m) as e, row_number() over (partition by recording_id order by m) - 1 as segment from marked where m is not null),
@@ -102,19 +103,7 @@ def a25(spark, sf):
     r as (select u.recording_id, v.i - u.i as lag, sum(u.y * v.y) / max(p.p) as r, max(u.n) as n from d u join d v on u.recording_id = v.recording_id and v.i - u.i between 3 and greatest(3, floor(u.n / 2)) join p on u.recording_id = p.recording_id group by u.recording_id, v.i - u.i),
     k as (select *, row_number() over (partition by recording_id order by r desc, lag) as k from r) select recording_id, round(greatest(r, 0), 6) as periodicity, lag as period_lag from k where k = 1 and n >= 8""", ONE)
 def a28(spark, sf):
-    n = F.count("*").over(ops.whole())
-    x = F.col("i") - (n - 1) / F.lit(2.0)
-    rows = series(spark, sf).withColumn("n", n).withColumn("x", x)
-    fit = rows.groupBy("recording_id").agg((F.sum(F.col("x") * F.col("a")) / F.sum(F.col("x") * F.col("x"))).alias("b"), F.avg("a").alias("m"))
-    flat = rows.join(fit, "recording_id").select("recording_id", "i", "n", (F.col("a") - F.col("m") - F.col("b") * F.col("x")).alias("y"))
-    # a lag is one of at most n / 2, so a sample meets that many others of its own recording: sums of products, no pairs leave
-    arrays = flat.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("i", "y"))).alias("s")).select("recording_id", F.transform("s", lambda s: s["y"]).alias("y"))
-    size = F.size("y")
-    lags = arrays.where(size >= 8).withColumn("lag", F.explode(F.sequence(F.lit(3), F.greatest(F.lit(3), F.floor(size / 2).cast("int")))))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    r = dot(F.slice("y", F.lit(1), F.size("y") - F.col("lag")), F.slice("y", F.col("lag") + 1, F.size("y") - F.col("lag"))) / dot(F.col("y"), F.col("y"))
-    best = lags.withColumn("r", r).groupBy("recording_id").agg(F.min_by(F.struct("r", "lag"), F.struct(-F.col("r"), F.col("lag"))).alias("b"))
-    return best.select("recording_id", F.greatest(F.col("b.r"), F.lit(0.0)).alias("periodicity"), F.col("b.lag").alias("period_lag"))
+    return rec.periodicities(series(spark, sf))
 
 
 @query("w08_renumbered", "select set_id, vendor, rep, row_number() over (partition by set_id, vendor order by rep) as new_rep from usable", ("reps", "usable"))

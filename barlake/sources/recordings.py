@@ -14,28 +14,24 @@ _FILE = "_metadata.file_name"
 
 
 def read_motion(spark: SparkSession, path: str) -> DataFrame:
-    """(recording_id, columns of a motion sample) of headed CSV files; columns by name, optional ones 0 where absent.
+    """(recording_id, columns of a motion sample) of CSV files, each by its own header, so files of different columns or orders may lie in one folder.
 
-    A missing required column is an error that names it; a required cell that is no number too.
+    A file without a header has the fixed order, 11 columns or more. Optional columns are 0 where absent; blank lines are
+    skipped. A missing required column is an error that names it; a required cell that is no number too.
     """
-    lines = spark.read.option("header", "true").csv(path)
-    missing = [c for c in IMU_REQUIRED if c not in lines.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
+    name = F.col("_metadata.file_path")
+    lines = spark.read.text(path).select(name.alias("file"), "value").where("trim(value) <> ''")
+    split = F.transform(F.split("value", ","), lambda c: F.trim(c))
+    heads = lines.where("value like '%ua_x%'").groupBy("file").agg(F.min(split).alias("head"))
+    odd = heads.where(~F.forall(F.array(*map(F.lit, IMU_REQUIRED)), lambda c: F.array_contains("head", c))).first()
+    if odd:
+        raise ValueError(f"missing columns in {odd['file']}: {[c for c in IMU_REQUIRED if c not in odd['head']]}")
+    fixed = F.array(*map(F.lit, IMU_COLUMNS))
+    rows = lines.where("value not like '%ua_x%'").join(heads, "file", "left").select("file", F.coalesce("head", fixed).alias("head"), split.alias("cells"))
     bad = F.raise_error(F.lit("bad required cell")).cast("double")
-    cells = [F.coalesce(F.col(c).try_cast("double"), bad).alias(c) for c in IMU_REQUIRED]
-    cells += [(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in lines.columns else F.lit(0.0)).alias(c) for c in IMU_OPTIONAL]
-    return lines.select(F.regexp_replace(_FILE, r"\.csv$", "").alias("recording_id"), *cells)
-
-
-def read_motion_positional(spark: SparkSession, path: str) -> DataFrame:
-    """As read_motion for files without a header: 11 columns or more in the fixed order; blank lines are skipped."""
-    parts = F.split("value", ",")
-    lines = spark.read.text(path).where("trim(value) <> '' and value not like '%ua_x%'")
-    bad = F.raise_error(F.lit("bad required cell")).cast("double")
-    at = lambda k: F.try_element_at(parts, F.lit(k + 1)).try_cast("double")
-    cells = [F.coalesce(at(k), bad if c in IMU_REQUIRED else F.lit(0.0)).alias(c) for k, c in enumerate(IMU_COLUMNS)]
-    return lines.select(F.regexp_replace(_FILE, r"\.csv$", "").alias("recording_id"), *cells)
+    at = lambda c: F.try_element_at("cells", F.nullif(F.array_position("head", F.lit(c)), F.lit(0)).cast("int")).try_cast("double")
+    cells = [F.coalesce(at(c), bad if c in IMU_REQUIRED else F.lit(0.0)).alias(c) for c in IMU_COLUMNS]
+    return rows.select(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.csv$", "").alias("recording_id"), *cells)
 
 
 def motion_line() -> Column:
@@ -69,6 +65,22 @@ def heart_rate_line() -> Column:
     return F.concat_ws(",", F.format_string("%.3f", "t"), F.date_format("utc", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.format_string("%.1f", "bpm"))
 
 
+def write_heart_rate(rows: DataFrame, path: str, key: str = "workout_id") -> None:
+    """A folder a workout with its beats (key, t, utc, bpm) in time order, under the header of the format."""
+    out = rows.select(key, F.col("t").alias("_t"), heart_rate_line().alias("line"))
+    heads = rows.select(key).distinct().select(key, F.lit(None).cast("double").alias("_t"), F.lit("t,utc,bpm").alias("line"))
+    both = heads.unionByName(out).repartition(key).sortWithinPartitions(key, F.col("_t").asc_nulls_first())
+    both.select(key, F.col("line").alias("value")).write.partitionBy(key).mode("overwrite").text(path)
+
+
+def write_session(samples: DataFrame, sidecars: DataFrame, folder: str, key: str = "recording_id") -> None:
+    """A recording's samples and its envelope under the same stem: folder/samples and folder/sidecars, a file a recording."""
+    write_motion(samples, f"{folder}/samples", key)
+    names = sorted(c for c in sidecars.columns if c != key)
+    lines = sidecars.select(key, F.to_json(F.struct(*names), {"pretty": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"}).alias("value"))
+    lines.repartition(key).write.partitionBy(key).mode("overwrite").text(f"{folder}/sidecars")
+
+
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """Recording envelopes, one JSON object a file: start and stop as timestamps whether written as text or as seconds since 2001."""
     rows = spark.read.schema(RECORDING).option("multiLine", "true").json(path).withColumn("recording_id", F.regexp_replace(_FILE, r"\.json$", ""))
@@ -118,6 +130,17 @@ def files_with_hash(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def resolved_clips(spark: SparkSession, manifest: DataFrame, folders: list[str]) -> DataFrame:
+    """(filename, path, sha256, found, intact) of each manifest row (filename, sha256): the first folder that has the file; intact: the hash agrees, null where none is on record."""
+    seen = None
+    for rank, folder in enumerate(folders):
+        one = files_with_hash(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(rank).alias("rank"), "path", F.col("sha256").alias("actual"))
+        seen = one if seen is None else seen.unionByName(one)
+    best = seen.groupBy("filename").agg(F.min_by(F.struct("path", "actual"), "rank").alias("f"))
+    rows = manifest.select("filename", "sha256").join(best, "filename", "left")
+    return rows.select("filename", "f.path", "sha256", F.col("f").isNotNull().alias("found"), (F.col("f.actual") == F.nullif("sha256", F.lit(""))).alias("intact"))
+
+
 def synthetic_set(spark: SparkSession, n_reps: int = 5, peak: float = 0.8, period: float = 2.0, fs: float = 200.0, noise_g: float = 0.0, seed: int = 0) -> DataFrame:
     """A motion recording of known velocity: v = peak sin(wt) upwards, gravity along -z, unit attitude."""
     w = 2 * math.pi / period
@@ -132,4 +155,4 @@ def synthetic_set(spark: SparkSession, n_reps: int = 5, peak: float = 0.8, perio
     )
 
 
-__all__ = ["HEART_RATE", "discover", "files_with_hash", "has_gyro", "heart_rate_line", "landing", "motion_line", "motion_text", "read_heart_rate", "read_motion", "read_motion_positional", "read_sidecar", "synthetic_set", "with_utc", "write_motion", "write_sidecar"]
+__all__ = ["HEART_RATE", "discover", "files_with_hash", "has_gyro", "heart_rate_line", "landing", "motion_line", "motion_text", "read_heart_rate", "read_motion", "read_sidecar", "resolved_clips", "synthetic_set", "with_utc", "write_heart_rate", "write_motion", "write_session", "write_sidecar"]

@@ -43,6 +43,23 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, i, t, cx, cy, m_per_px, target_px): a cosine lift at 15 frames a second, its period by the user, on which the values lie as noise."""
+    t = F.col("i") / F.lit(15.0)
+    lift = 50 * (1 - F.cos(2 * F.pi() * t / (1.5 + 0.3 * (F.col("recording_id") % 5))))
+    noise = F.col("a") * 0.05
+    return series(spark, sf_dir).select(
+        F.col("recording_id").alias("clip"), "i", t.alias("t"), (320 + noise).alias("cx"), (400 - lift + noise).alias("cy"), F.lit(0.005).alias("m_per_px"), F.lit(90.0).alias("target_px")
+    )
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, i, t, a): acceleration of a swing at 20 Hz, its period by the user, on which the values lie as noise."""
+    t = F.col("i") / F.lit(20.0)
+    swing = 3 * F.cos(2 * F.pi() * t / (1.6 + 0.2 * (F.col("recording_id") % 5)))
+    return series(spark, sf_dir).select("recording_id", "i", t.alias("t"), (swing + F.col("a") * 0.002).alias("a"))
+
+
 #: The same views for DuckDB, as common table expressions.
 CTES = {
     "reps": """reps as (
@@ -54,4 +71,7 @@ CTES = {
     "series": """series as (
         select user_id as recording_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, epoch_us(ts) / 1e6 as t,
                value - avg(value) over (partition by user_id) as a from events)""",
+    "tracks": """tracks as (
+        select recording_id as clip, i, i / 15.0 as t, 320 + a * 0.05 as cx, 400 - 50 * (1 - cos(2 * pi() * (i / 15.0) / (1.5 + 0.3 * (recording_id % 5)))) + a * 0.05 as cy
+        from series)""",
 }

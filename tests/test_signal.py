@@ -13,14 +13,23 @@ from barlake.operators import trajectories as traj
 from barlake.sources.recordings import synthetic_set
 
 
-def bobs(n, amp, period, fs=50.0, dwell=0.2):
-    one = amp / 2 * (1 - np.cos(2 * np.pi * np.arange(int(period * fs)) / (period * fs)))
-    return np.concatenate([np.concatenate((one, np.zeros(int(dwell * fs)))) for _ in range(n)])
+def hill(height, seconds, fs=40.0):
+    """Up and down along a fifth-degree step, at rest at both ends."""
+    u = np.linspace(0, 1, max(4, int(seconds * fs / 2)))
+    up = height * u**3 * (10 - 15 * u + 6 * u * u)
+    return np.concatenate((up, up[::-1]))
 
 
-def padded(*parts, fs=50.0):
-    rest = np.full(int(fs), 0.25)
-    return np.concatenate((rest, *parts, rest))
+def session(hills, pauses, fs=40.0):
+    """Hills (height, seconds) behind pauses of so many seconds, with rest halfway up before and behind; and where each has its bottom."""
+    rest = np.full(int(fs), hills[0][0] / 2)
+    parts, bottoms, at = [rest], [], int(fs)
+    for (height, seconds), pause in zip(hills, pauses):
+        parts += [np.zeros(int(pause * fs)), hill(height, seconds, fs)]
+        at += int(pause * fs)
+        bottoms.append(at)
+        at += len(parts[-1])
+    return np.concatenate([*parts, rest]), bottoms
 
 
 def test_filter_keeps_a_passed_sine_and_drops_a_stopped_one():
@@ -56,19 +65,51 @@ def test_anchored_velocity_is_zero_at_anchors_and_like_the_windows(spark):
     assert np.abs(got - v).max() < 1e-9
 
 
-@pytest.mark.parametrize("n, amp, period", [(8, 0.5, 2.0), (10, 0.6, 3.0), (10, 0.30, 1.8), (8, 0.45, 1.4)])
-def test_clean_waves(n, amp, period):
-    assert len(rec.wave_pairs(padded(bobs(n, amp, period)), 50.0)) == n
-
-
-def test_wave_ends():
-    tail = padded(bobs(8, 0.5, 2.0), bobs(1, 0.35, 2.0))
-    assert len(rec.wave_pairs(tail, 50.0)) == 8 and len(rec.wave_pairs(tail, 50.0, strip=False)) == 9
-    assert len(rec.wave_pairs(padded(bobs(9, 0.5, 2.0), np.zeros(400), bobs(1, 0.5, 2.0)), 50.0)) == 10
-    assert len(rec.wave_pairs(padded(bobs(3, 0.5, 2.0), bobs(1, 0.10, 2.0), bobs(3, 0.5, 2.0)), 50.0)) == 6
-    assert len(rec.wave_pairs(padded(bobs(1, 0.3, 2.0), bobs(8, 0.5, 2.0)), 50.0)) == 8
-    assert len(rec.wave_pairs(padded(bobs(1, 0.5, 2.0), np.zeros(250), bobs(8, 0.5, 2.0)), 50.0)) == 8
-    assert rec.wave_reps(np.arange(8.0), np.zeros(8)) == []
+def test_excursions_of_random_sessions_are_all_found():
+    rng = np.random.default_rng(21)
+    for _ in range(40):
+        n = int(rng.integers(4, 13))
+        height, seconds = rng.uniform(0.2, 0.7), rng.uniform(1.6, 3.5)
+        hills = [(height * rng.uniform(0.9, 1.1), seconds * rng.uniform(0.9, 1.1)) for _ in range(n)]
+        wave, bottoms = session(hills, rng.uniform(0.1, 0.3, n))
+        pairs = rec.wave_pairs(wave, 40.0, strip=False)
+        assert len(pairs) == n
+        tops = [b + np.argmax(wave[b : b + int(seconds * 50)]) for b in bottoms]
+        assert all(abs(got - top) <= 2 for (_, got), top in zip(pairs, tops))
+
+
+def test_ends_are_stripped_and_the_middle_is_not():
+    rng = np.random.default_rng(22)
+    for _ in range(20):
+        n, height = int(rng.integers(5, 10)), rng.uniform(0.3, 0.6)
+        body = [(height, 2.2)] * n
+        short = (0.62 * height, 2.2)
+        last, _ = session([*body, short], [0.2] * (n + 1))
+        assert len(rec.wave_pairs(last, 40.0)) == n and len(rec.wave_pairs(last, 40.0, strip=False)) == n + 1
+        first, _ = session([short, *body], [0.2] * (n + 1))
+        assert len(rec.wave_pairs(first, 40.0)) == n
+        lone, _ = session([(height, 2.2), *body], [0.2, 7.0, *[0.2] * (n - 1)])
+        assert len(rec.wave_pairs(lone, 40.0)) == n
+        late, _ = session([*body, (height, 2.2)], [*[0.2] * n, 7.0])
+        assert len(rec.wave_pairs(late, 40.0)) == n + 1
+        inner, _ = session([*body[:2], (0.15 * height, 1.6), *body[2:]], [0.2] * (n + 1))
+        assert len(rec.wave_pairs(inner, 40.0)) == n
+    assert rec.wave_pairs(np.ones(50), 40.0) == [] and rec.wave_reps(np.arange(12.0), np.ones(12)) == []
+
+
+def test_amplitude_gate_against_the_rule_step_by_step():
+    rng = np.random.default_rng(23)
+    for _ in range(200):
+        v = rng.normal(size=60) * rng.choice([0.05, 1.0], 60)
+        marks = sorted(rng.choice(np.arange(1, 59), int(rng.integers(0, 9)), replace=False).tolist())
+        want = list(marks)
+        while len(want) > 1:
+            peaks = rec.stretch_peaks(v, want)
+            if peaks.min() >= 0.25 * np.median(peaks[peaks > 0]):
+                break
+            want.pop(min(int(peaks.argmin()), len(want) - 1))
+        assert rec.amplitude_gate(v, marks) == want
+    assert rec.at_rest(np.array([3.0, 1, 2, -0.5, 4, 0.5]), [1, 4], 1) == [1, 3] and rec.apart([1, 2, 5, 6, 9], 4) == [1, 5, 9]
 
 
 def test_signed_mean_cancels_rings():
@@ -166,3 +207,35 @@ def test_bilateral_mean_cancels_tilt(spark):
 def test_separated_fold(spark):
     frame = spark.createDataFrame([("r", i) for i in (1, 3, 4, 9, 10, 14)], "recording_id string, i long")
     assert sorted(r["i"] for r in rec.separated(frame, 3).collect()) == [1, 4, 9, 14]
+
+
+def test_products_are_all_shifted_sums():
+    rng = np.random.default_rng(24)
+    for n, m in ((1, 1), (5, 9), (64, 64), (100, 7)):
+        a, b = rng.normal(size=n), rng.normal(size=m)
+        assert np.allclose(s.products(a, b), np.correlate(a, b, "full"))
+
+
+def test_periodicities(spark):
+    t = np.arange(200)
+    data = pd.concat([pd.DataFrame({"recording_id": name, "i": t[:n], "a": y[:n]}) for name, n, y in (("wave", 200, np.sin(2 * np.pi * t / 20)), ("flat", 50, np.ones(200)), ("short", 7, t * 1.0))])
+    got = {r["recording_id"]: r for r in rec.periodicities(spark.createDataFrame(data)).collect()}
+    assert set(got) == {"wave", "flat"} and got["wave"]["period_lag"] == 20 and got["wave"]["periodicity"] > 0.85 and got["flat"]["periodicity"] == 0
+
+
+def test_cycles_find_the_number_asked_for(spark):
+    wave, _ = session([(0.5, 2.0)] * 6, [0.3] * 6)
+    rows = spark.createDataFrame(pd.DataFrame({"recording_id": "r", "t": np.arange(len(wave)) / 40, "pos": -0.2 * np.cos(np.arange(len(wave)) / 40 * 2 * np.pi / 2.5), "v": 1.0}))
+    found = rec.cycles(rows).count()
+    assert found >= 5 and rec.cycles(rows, counts=spark.createDataFrame([("r", 3)], "recording_id string, count int")).count() == 3
+
+
+def test_alignment_needs_a_bound(spark, monkeypatch):
+    left = spark.createDataFrame([(k, k // 2, t / 10, float(np.sin(t / 5 + k))) for k in range(4) for t in range(60)], "recording_id int, session int, t double, y double")
+    right = left.withColumnRenamed("recording_id", "clip")
+    got = rec.align_all(left, right, 10.0, "session").collect()
+    assert len(got) == 8 and all(r["r"] > 0.95 and r["lag"] == 0 for r in got if r["recording_id"] == r["clip"])
+    assert rec.align_all(left.drop("session"), right.drop("session"), 10.0).count() == 16
+    monkeypatch.setattr(rec, "MAX_PAIRS", 10)
+    with pytest.raises(ValueError, match="16 pairs"):
+        rec.align_all(left.drop("session"), right.drop("session"), 10.0)

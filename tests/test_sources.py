@@ -29,7 +29,7 @@ def test_motion_files(spark, tmp_path):
         recordings.read_motion(spark, str(cell)).collect()
     bare = tmp_path / "bare.csv"
     bare.write_text("\n" + ",".join(str(k) for k in range(11)) + "\n")
-    assert recordings.read_motion_positional(spark, str(bare)).first()["q_z"] == 10.0
+    assert recordings.read_motion(spark, str(bare)).first()["q_z"] == 10.0
     found = {(r["set_id"], r["vendor"]) for r in recordings.discover(spark, str(tmp_path)).collect()}
     assert found == {("20260615-SQ-1", "watch_imu")}
 
