@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, joined_words, pieces, texts_of, windows
+from .common import arrow_map, joined_words, pieces, table, texts_of, windows
 
 
 def text_id(text: bytes) -> int:
@@ -141,14 +141,18 @@ def repeated(docs: DataFrame, texts: DataFrame, k: int, window: int, buckets: in
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_anchors(k, window, buckets), "bucket int, data binary")
     packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     places = packed.mapInArrow(_shared_anchors, "tid long, pos int")
-    return places.groupBy("tid").agg(F.collect_set("pos").alias("spots")).join(texts, "tid")
+    return places.groupBy("tid").agg(F.collect_set("pos").alias("spots")).join(texts.select("tid", "doc_id"), "tid")
 
 
-def copies(found: DataFrame, least: int) -> DataFrame:
-    """(doc_id, tid, n_words, copied) of sequences(); copied: another document of that word sequence and enough words."""
-    docs = found
-    same = docs.groupBy("tid").agg((F.min("doc_id") != F.max("doc_id")).alias("copied"))
-    return docs.join(same, "tid").select("doc_id", "tid", "n_words", (F.col("copied") & (F.col("n_words") >= least)).alias("copied"))
+def texts_and_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (tid, doc_id, n_words, several) of texts and (doc_id, tid) of rows: a text's least document and whether others have it too.
+
+    A text that very many rows have is one row of the first, so that a join with it can be split on the side of the rows.
+    """
+    found = table(sequences(docs), "rows")
+    several = (F.min("doc_id") != F.max("doc_id")).alias("several")
+    texts = table(found.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), several), "texts")
+    return texts, found.select("doc_id", "tid")
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BASE, _BASE_INV, _power, arrow_map, joined_words, mix, pieces, table, texts_of, tune, windows
-from .seeds import bucketed, copies, repeated, sequences, shared_places, text_id, unbucketed, with_texts
+from .seeds import bucketed, repeated, shared_places, text_id, texts_and_rows, unbucketed, with_texts
 
 KEY, WINDOW, MIN_WORDS = 16, 16, 50
 #: Words in a bucket.
@@ -253,9 +253,8 @@ def find(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     doc_id that stands at two texts gets a row for each. All passages of at least KEY + WINDOW - 1 words are found.
     """
     tune(docs.sparkSession)
-    found = table(sequences(docs), "texts")
-    texts = found.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
-    buckets = max(8, int(found.agg(F.sum("n_words")).first()[0] or 0) // BUCKET)
+    texts, rows = texts_and_rows(docs)
+    buckets = max(8, int(texts.agg(F.sum("n_words")).first()[0] or 0) // BUCKET)
     wanted = repeated(docs, texts, KEY, WINDOW, buckets)
     suffixes = arrow_map(with_texts(docs, wanted).select("text", "tid", "spots"), _suffixes(least, buckets), _SHAPE)
     suffixes = table(suffixes, "suffixes", ["side"])
@@ -273,8 +272,10 @@ def find(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     confirmed = around.mapInArrow(_shared_windows(least, buckets), "bucket int, data binary")
     joined = proposed.union(confirmed).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     joined = joined.mapInArrow(_join_spans, "tid long, spans array<struct<start:int,end:int>>, n_rest int")
+    copied = F.col("several") & (F.col("n_words") >= least)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
-    out = copies(found, least).join(joined, "tid", "left").where("copied or spans is not null")
-    out = out.withColumn("spans", F.when(F.col("copied"), whole).otherwise(F.col("spans")))
+    spans = F.when(copied, whole).otherwise(F.col("spans"))
     n = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
-    return out.select("doc_id", "n_words", n.alias("n_repeated"), "spans", F.when(F.col("copied"), 0).otherwise(F.col("n_rest")).alias("n_rest"))
+    each = texts.join(joined, "tid", "left").select("tid", "n_words", spans.alias("spans"), F.when(copied, 0).otherwise(F.col("n_rest")).alias("n_rest"))
+    each = table(each.where("spans is not null"), "spans")
+    return rows.join(each, "tid").select("doc_id", "n_words", n.alias("n_repeated"), "spans", "n_rest")
