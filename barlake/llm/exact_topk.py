@@ -1,9 +1,9 @@
 """Exact top-k search by inner product: ball trees by branch and bound, one a shard.
 
-Candidates are dealt over shards of about ``SHARD`` rows by a hash. A first round asks each query of one
-shard only; its k-th score there goes along as the bound when the second round asks all other shards, so
-that most of their nodes are never opened. Within a shard, blocks of queries open nodes in falling
-order of the upper bound q.c + |q| r and skip those below every query's k-th score. Only hits that
+Candidates are clustered about at most ``CENTRES`` of them, and clusters of more than about ``SHARD`` rows dealt over several shards by a hash. A
+first round asks each query of one shard of the cluster that it points to; its k-th score there goes along as the bound when the second round
+asks the shards of those clusters whose ball could hold a better one, and most of their nodes are never opened. Within a shard,
+blocks of queries open nodes in falling order of the upper bound q.c + |q| r and skip those below every query's k-th score. Only hits that
 can still be in the result leave a shard.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table, tune
 
 SHARD = 16_384
+CENTRES = 1024
 LEAF, BLOCK = 256, 64
 SCALE = 256
 
@@ -141,6 +142,45 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows, padded with zeros."""
+    out = np.zeros((len(column), width))
+    for n, v in enumerate(column.to_pylist()):
+        x = np.frombuffer(v, dtype=np.float64)[:width]
+        out[n, : len(x)] = x
+    return out
+
+
+def _placed(centres: np.ndarray):
+    """Each vector's nearest centre and how far it is."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = _matrix(batch.column("v"), centres.shape[1])
+        far = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)[None, :], 0))
+        near = far.argmin(axis=1)
+        # by subtraction, as the difference of squares may be off by more than a bound can bear
+        dist = np.sqrt(((x - centres[near]) ** 2).sum(axis=1))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(dist)], [*batch.schema.names, "cluster", "dist"])
+
+    return run
+
+
+def _reached(centres: np.ndarray, radius: np.ndarray):
+    """The clusters that a query's best k may come from: its home alone without a floor, else all whose ball can beat it."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        q = _matrix(batch.column("v"), centres.shape[1])
+        middle, reach = q @ centres.T, np.sqrt((q**2).sum(axis=1))[:, None] * radius[None, :]
+        slack = 1e-9 * (1 + np.abs(reach) + np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((centres**2).sum(axis=1))[None, :])
+        floor = np.array([-np.inf if f is None else float(f) for f in batch.column("floor").to_pylist()])
+        home = np.where(radius[None, :] >= 0, middle, -np.inf).argmax(axis=1)
+        open_ = (radius[None, :] >= 0) & (middle + reach + slack >= floor[:, None])
+        clusters = [np.flatnonzero(r).astype(np.int32) for r in open_]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(clusters, pa.list_(pa.int32()))], [*batch.schema.names, "home", "clusters"])
+
+    return run
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows of vectors for each row of queries, by other ids.
 
@@ -154,23 +194,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     rows = table(arrow_map(vectors.select(*shape), _integers, "id long, v binary"), "vectors")
     asked = arrow_map(queries.select(*shape), _integers, "id long, v binary").withColumn("query", F.xxhash64("id", "v"))
     asked = table(asked.dropDuplicates(["query"]), "queries")
-    shards = max(1, -(-rows.count() // SHARD))
-    home = F.pmod(F.xxhash64("query", F.lit(3)), F.lit(shards)).cast("int")
+    total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.length("v")), F.lit(0))).first()
     none = F.lit(None).cast("long")
-    candidates = rows.select(
-        F.pmod(F.xxhash64("id", "v", F.lit(5)), F.lit(shards)).cast("int").alias("shard"),
-        none.alias("query"), "id", "v", none.alias("floor"),
-    )
+    # the centres are a few of the rows, the least by hash; no more come to the driver, however many rows there are
+    some = rows.orderBy(F.xxhash64("v", "id"), "id").limit(max(1, min(CENTRES, -(-total // SHARD)))).collect()
+    centres = np.zeros((max(1, len(some)), max(1, width // 8)))
+    for n, r in enumerate(some):
+        x = np.frombuffer(r["v"], dtype=np.float64)
+        centres[n, : len(x)] = x
+    placed = table(arrow_map(rows, _placed(centres), "id long, v binary, cluster int, dist double"), "placed")
+    radius, parts = np.full(len(centres), -1.0), [1] * len(centres)
+    for r in placed.groupBy("cluster").agg(F.max("dist").alias("far"), F.count("*").alias("n")).collect():  # a row a centre
+        radius[r["cluster"]], parts[r["cluster"]] = r["far"], max(1, -(-r["n"] // SHARD))
+    offset = [0, *itertools.accumulate(parts)]
+    shards = offset[-1]
+    of = lambda numbers, cluster: F.element_at(F.array(*map(F.lit, numbers)), F.col(cluster) + 1)
+    deal = lambda cluster, *key: (of(offset[:-1], cluster) + F.pmod(F.xxhash64(*key), of(parts, cluster).cast("long"))).cast("int")
+    candidates = placed.select(deal("cluster", "id", "v").alias("shard"), none.alias("query"), "id", "v", none.alias("floor"))
+
+    def reached(part: DataFrame) -> DataFrame:
+        fields = "query long, id long, v binary, floor long, home int, clusters array<int>"
+        return arrow_map(part.select("query", "id", "v", "floor"), _reached(centres, radius), fields).withColumn("first", deal("home", "query"))
 
     def ask(part: DataFrame) -> DataFrame:
-        both = candidates.unionByName(part).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
+        both = candidates.unionByName(part.select("shard", "query", "id", "v", "floor")).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
         return table(both.mapInArrow(_shards(k), "query long, query_id long, vec_id long, score long"), "hits")
 
-    first = ask(asked.select(home.alias("shard"), "query", "id", "v", none.alias("floor")))
+    first = ask(reached(asked.withColumn("floor", none)).withColumn("shard", F.col("first")))
     if shards == 1:
         return _best(first, k).select("query_id", "rank", "vec_id", "score")
     floors = _best(first, k).groupBy("query").agg(F.min("score").alias("low"), F.count("*").alias("n"))
     floors = floors.select("query", F.when(F.col("n") == k, F.col("low")).alias("floor"))
-    others = asked.join(floors, "query", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-    second = ask(others.select("shard", "query", "id", "v", "floor"))
+    others = reached(asked.join(floors, "query", "left")).withColumn("cluster", F.explode("clusters"))
+    others = others.withColumn("shard", F.explode(F.sequence(of(offset[:-1], "cluster"), of(offset[1:], "cluster") - 1))).where("shard <> first")
+    second = ask(others)
     return _best(first.unionByName(second), k).select("query_id", "rank", "vec_id", "score")
