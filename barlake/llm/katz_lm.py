@@ -5,8 +5,8 @@ have to move some seventeen bytes for nearly every token of the corpus.)
 
 1. Token counts of the training documents: a table of (token, count), each a 64-bit hash.
 2. Blocks of documents pack their (token, context, document) counts by token into one compressed row for
-   each of P ranges; words of more than a quarter of a range are spread by their context, and
-   their counts go along (at most 4 P of them). One exchange brings all that concerns a pair together.
+   each of P ranges that it has any of (so never more rows than pairs); words of more than a quarter of a range are spread by their context, and
+   their counts go along (at most ``HOT`` of them). One exchange brings all that concerns a pair together.
 3. A range adds up its pairs' counts, writes them to the partitioned table of the model, and sends back
    sums by document: of logarithms of counts, and how many tokens have each discount. Pairs that
    training never saw are written with their context, for step 4.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from .common import joined_words, mix, table, texts_of, tune
 
 #: Tokens in a range and in a block of documents, and documents in a block.
 RANGE, BLOCK, BLOCK_DOCS = 2_000_000, 1_500_000, 50_000
-#: Counts above this are discounted by LARGE only.
+#: Most tokens that are spread by their contexts; what is less frequent than all these has at most one in HOT of all tokens.
+HOT = 1 << 16
+#: Counts above this, which Katz leaves alone, are discounted by LARGE: else a context of such counts only would leave nothing to back off to.
 MAX_DISCOUNTED, LARGE = 5, 0.9995
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A2757A273)
 _COLUMNS = "kind string, h long, w long, c long, cw long, block long, idx int, n long, x double, data binary"
@@ -261,12 +264,31 @@ def _counts_of_counts(df: DataFrame, column: str) -> dict[int, int]:
     return {r[0]: r[1] for r in rows}
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each of docs (doc_id, text, ...).
+class Model(NamedTuple):
+    """A trained model: tables in the shared folder and a handful of numbers.
 
-    Null text: empty, whose only token is the end. Repeated rows are documents of their own. With no
-    training document every token is unknown. The score is the sum of log10 probabilities.
+    unigrams (w, c), bigrams (h, w, c), contexts (h, weight, follow): weight and follow are log10 of the backoff weight and of the
+    context's count. Tokens are 64-bit hashes. blocks: what score() needs of the counted documents themselves.
     """
+
+    unigrams: DataFrame
+    bigrams: DataFrame
+    contexts: DataFrame
+    blocks: DataFrame
+    total: int
+    kinds: int
+    documents: int
+    unknown: float
+    unigram_discounts: list[float]
+    bigram_discounts: list[float]
+
+
+def _levelled(discount: list[float], counts: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, discount)), _levels(counts).cast("int"))
+
+
+def train(docs: DataFrame) -> Model:
+    """Counts the training documents of docs (doc_id, text, ...), discounts them and stores the weights that make each context's probabilities sum to 1."""
     tune(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     counted = docs.mapInArrow(_token_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
@@ -278,33 +300,77 @@ def score(docs: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("w") == int(END.view(np.int64)), F.col("c"))), F.lit(0)),
     ).first()
     total, kinds, everything, trained_docs = stat
+    unigrams = tokens.where(F.col("w").isNotNull())
     ranges = max(1, -(-everything // RANGE))
     limit = max(1, total // (4 * ranges))
-    hot_rows = sorted((np.int64(r["w"]).view(np.uint64), r["c"]) for r in tokens.where((F.col("c") > limit) & F.col("w").isNotNull()).collect())
+    frequent = unigrams.where(F.col("c") > limit).orderBy(F.col("c").desc(), "w").limit(HOT).collect()
+    hot_rows = sorted((np.int64(r["w"]).view(np.uint64), r["c"]) for r in frequent)
     hot, hot_counts = np.array([w for w, _ in hot_rows], np.uint64), np.array([c for _, c in hot_rows], np.int64)
-    unigram = discounts(_counts_of_counts(tokens.where("w is not null"), "c"))
-    kept = F.element_at(F.array(*map(F.lit, unigram)), _levels(F.col("c")).cast("int")) * F.col("c")
-    unknown = 1 - (tokens.where("w is not null and c > 0").agg(F.coalesce(F.sum(kept), F.lit(0.0))).first()[0] / total if total else 0.0)
+    unigram = discounts(_counts_of_counts(unigrams, "c"))
+    kept = _levelled(unigram, F.col("c")) * F.col("c")
+    unknown = 1 - (unigrams.where("c > 0").agg(F.coalesce(F.sum(kept), F.lit(0.0))).first()[0] / total if total else 0.0)
     packed = docs.mapInArrow(_packer(hot, ranges), "side int, key long, block long, data binary")
     # more partitions than keys, so that a task seldom sorts the rows of two ranges
     packed = packed.repartition(4 * ranges, "side", "key")
     found = table(packed.groupBy("side", "key").applyInArrow(_range_counts(hot, hot_counts, unigram, total, unknown), _COLUMNS), "model", ["kind"])
-
     pairs = found.where("kind = 'pairs'").select("h", "w", "c", "cw")
     bigram = discounts(_counts_of_counts(pairs, "c"))
-    keep = F.element_at(F.array(*map(F.lit, bigram)), _levels(F.col("c")).cast("int")) * F.col("c")
-    lower = F.element_at(F.array(*map(F.lit, unigram)), _levels(F.col("cw")).cast("int")) * F.col("cw") / float(max(total, 1))
+    keep = _levelled(bigram, F.col("c")) * F.col("c")
+    lower = _levelled(unigram, F.col("cw")) * F.col("cw") / float(max(total, 1))
     contexts = pairs.groupBy("h").agg(F.sum("c").alias("ch"), F.sum(keep).alias("kept"), F.sum(lower).alias("lower"))
     weight = F.log10((1 - F.col("kept") / F.col("ch")) / F.greatest(1 - F.col("lower"), F.lit(1e-300)))
     follow = F.when(F.col("h") != int(START.view(np.int64)), F.log10(F.col("ch").cast("double"))).otherwise(F.lit(float(np.log10(max(trained_docs, 1)))))
-    contexts = contexts.select("h", weight.alias("weight"), follow.alias("follow"))
+    contexts = table(contexts.select("h", weight.alias("weight"), follow.alias("follow")), "weights")
+    return Model(unigrams, pairs.select("h", "w", "c"), contexts, found, int(total), int(kinds), int(trained_docs), float(unknown), unigram, bigram)
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, h, w, n) of the texts of rows (doc_id: their key, text)."""
+    for ids, counts, tokens, contexts in _blocks(batches):
+        row = np.repeat(np.array(ids, np.int64), counts + 1)
+        order = np.lexsort((tokens, contexts, row))
+        r, h, w = row[order], contexts[order], tokens[order]
+        begin = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1]))))
+        n = np.diff(np.append(begin, len(r)))
+        for k in range(0, len(begin), 1 << 16):
+            at = begin[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.array(h[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["key", "h", "w", "n"])
+
+
+def apply(model: Model, docs: DataFrame) -> DataFrame:
+    """docs' rows and columns with n_tokens and score (log10) added, from the stored tables; any documents, not only those that were counted.
+
+    A pair that was counted has its discounted share; else its context's weight goes to the token alone, and
+    what no table knows to the mass left for unknown tokens. A context that was never met weighs 1.
+    """
+    tune(docs.sparkSession)
+    docs = docs.drop("n_tokens", "score")
+    key = F.xxhash64(F.col("text"))
+    texts = docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    rows = texts.mapInArrow(_pairs_of, "key long, h long, w long, n long")
+    rows = rows.join(model.bigrams, ["h", "w"], "left").join(model.unigrams.withColumnRenamed("c", "cw"), "w", "left").join(model.contexts, "h", "left")
+    alone = F.when(F.col("cw") > 0, F.log10(_levelled(model.unigram_discounts, F.col("cw")) * F.col("cw") / float(max(model.total, 1)))).otherwise(F.lit(float(np.log10(model.unknown)) if model.unknown > 0 else float("-inf")))
+    pair = F.log10(_levelled(model.bigram_discounts, F.col("c")) * F.col("c")) - F.col("follow")
+    logp = F.when(F.col("c") > 0, pair).otherwise(F.coalesce("weight", F.lit(0.0)) + alone)
+    sums = rows.groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * logp).alias("score"))
+    return docs.withColumn("_key", key).join(sums, F.col("_key") == F.col("key")).drop("_key", "key")
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each of docs (doc_id, text, ...).
+
+    Trains on the training documents and scores all in the same pass. Null text: empty, whose only token is the end. Repeated rows are documents
+    of their own. With no training document every token is unknown. The score is the sum of log10 probabilities.
+    """
+    model = train(docs)
+    found, contexts, total, trained_docs = model.blocks, model.contexts, model.total, model.documents
     backed = found.where("kind = 'backed'").select("h", "block", "idx", "n", "x").join(contexts, "h", "left")
     backed = backed.groupBy("block", "idx").agg(
         F.sum(F.col("n") * (F.col("x") + F.coalesce("weight", F.lit(0.0)) + F.coalesce("follow", F.lit(0.0)))).alias("backed")
     )
-    norm = float(np.log10(total + 0.1 * (kinds + 1)))
+    norm = float(np.log10(total + 0.1 * (model.kinds + 1)))
     shape = "block long, idx int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, seen_score double"
-    logs = [float(np.log10(d)) for d in bigram]
+    logs = [float(np.log10(d)) for d in model.bigram_discounts]
     start_log = float(np.log10(max(trained_docs, 1)))
     sums = found.where("kind in ('docs', 'sums')").select("kind", "block", "data").groupBy("block").applyInArrow(_doc_sums(logs, norm, start_log), shape)
     return sums.join(backed, ["block", "idx"], "left").select(

@@ -476,6 +476,11 @@ def test_katz(docs, texts, empty, monkeypatch, span):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
     assert katz_lm.score(empty).count() == 0
+    model = katz_lm.train(docs)
+    again = {r["doc_id"]: r for r in katz_lm.apply(model, docs.withColumn("score", F.lit("clash"))).collect()}
+    assert set(again) == set(truth)
+    for k, (_, n, _, _, _, score) in truth.items():
+        assert again[k]["n_tokens"] == n and again[k]["score"] == pytest.approx(score)
 
 
 def targets_truth(sizes):
