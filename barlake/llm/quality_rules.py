@@ -53,10 +53,12 @@ def base_rules(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeat, n < 50 or 100 * repeat > 50 * n
 
 
-def _families(hashes: np.ndarray, at: np.ndarray, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(text, feature, family) of a run of texts: word hashes and where each text's begin, bytes and where each text's begin."""
+def _families(hashes: np.ndarray, at: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(text, feature, family) of a run of texts: word hashes and where each text's begin, bytes (a line feed between texts) and their numbers."""
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    place = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[: len(data)]
+    place = np.repeat(np.arange(len(sizes)), sizes + 1)
+    place[np.cumsum(sizes + 1) - 1] = -1  # what stands between texts is in none
+    place = place[: len(data)]
     for n in (1, 2):
         h = windows(hashes, n)
         ok = owner[: len(h)] == owner[n - 1 :][: len(h)]
@@ -67,7 +69,7 @@ def _families(hashes: np.ndarray, at: np.ndarray, data: np.ndarray, begins: np.n
             h = np.zeros(len(data) - n + 1, dtype=np.uint64)
             for k in range(n):
                 h |= data[k : len(data) - n + 1 + k] << np.uint64(8 * k)
-            ok = place[: len(h)] == place[n - 1 :]
+            ok = (place[: len(h)] == place[n - 1 :]) & (place[: len(h)] >= 0)
             yield place[: len(h)][ok], _slot(mix(h[ok] + np.uint64(n)), n + 10), n
 
 
@@ -77,7 +79,8 @@ def _slot(h: np.ndarray, salt: int) -> np.ndarray:
 
 def _families_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     hashes, at = joined_words(texts)
-    yield from _families(hashes, at, np.frombuffer(b"\n".join(texts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+    sizes = np.array([len(t) for t in texts])
+    yield from _families(hashes, at, np.frombuffer(b"\n".join(texts), dtype=np.uint8), sizes)
 
 
 def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,18 +203,19 @@ def _raw_long(text: bytes, w: np.ndarray) -> float:
     hashes, _ = joined_words([text])
     data = np.frombuffer(text, dtype=np.uint8)
     none = np.zeros(0, np.uint64), np.zeros(2, np.int64)
+    nothing = np.zeros(1, np.int64)
     total, count = np.zeros(6), np.zeros(6)
     for i in range(0, max(len(hashes), 1), PART):
         for n in (1, 2):
             part = hashes[i : i + PART + n - 1]
-            for _, feat, family in _families(part, np.array([0, len(part)]), data[:0], none[1]):
+            for _, feat, family in _families(part, np.array([0, len(part)]), data[:0], nothing):
                 if family == n:
                     total[n] += w[feat].sum()
                     count[n] += len(feat)
     for i in range(0, len(data), PART):
         for n in (3, 5):
             part = data[i : i + PART + n - 1]
-            for _, feat, family in _families(*none, part, np.array([0, len(part)])):
+            for _, feat, family in _families(*none, part, np.array([len(part)])):
                 if family == n:
                     total[n] += w[feat].sum()
                     count[n] += len(feat)
