@@ -27,17 +27,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model).where("kept").select(*docs.columns)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or a longer one that docs has no column of."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one of the least doc_id (null last), of several the one of the least row hash.
 
     Rows are told apart by a hash of all their columns, so different texts under one doc_id, and rows of null doc_id,
     are judged like others; equal rows count once. Texts without a word have no class and stay.
     """
-    key = F.xxhash64(*docs.columns)
+    key = _free("kept_key", docs)
     found = jaccard_join.join(docs).where("text_key is not null")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
-    kept = found.groupBy("class_key").agg(first.alias("kept_key")).select("kept_key")
-    once = docs.withColumn("kept_key", key).join(kept, "kept_key").dropDuplicates(["kept_key"]).select(*docs.columns)
+    kept = found.groupBy("class_key").agg(first.alias(key)).select(key)
+    once = docs.withColumn(key, F.xxhash64(*docs.columns)).join(kept, key).dropDuplicates([key]).select(*docs.columns)
     return once.unionByName(docs.where(source_mix.word_count() == 0))
 
 
@@ -51,9 +58,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Equal rows are told apart by nothing, so together they stand as often as the mix takes them all."""
-    taken = source_mix.mix(docs).groupBy("row_key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    once = docs.withColumn("row_key", F.xxhash64(*docs.columns)).dropDuplicates(["row_key"])
-    return once.join(taken, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    key, copies, copy = (_free(n, docs) for n in ("row_key", "copies", "copy"))
+    taken = source_mix.mix(docs).groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    once = docs.withColumn(key, F.xxhash64(*docs.columns)).dropDuplicates([key])
+    return once.join(taken, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
