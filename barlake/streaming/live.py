@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HEART = "workout_id string, utc timestamp, bpm double"
 MOTION = "recording_id string, t double, ua_x double, ua_y double, ua_z double"
+#: How long the state of a silent recording or of an open set is kept.
+IDLE_MS = 6 * 3600 * 1000
 EVENT = "workout_id string, at timestamp, kind string, set_id string"
 
 
@@ -28,14 +30,31 @@ def heart_rate(stream: DataFrame, wall: str = "1970-01-01T00:00:00Z", uptime: fl
     return stream.withColumn("t", F.unix_micros("utc") / F.lit(1e6) - F.unix_micros(F.lit(wall).cast("timestamp")) / F.lit(1e6) + F.lit(uptime))
 
 
+def _rate(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Count, first and last time of a recording; forgotten once nothing has come for a while."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    n, first, last = state.get if state.exists else (0, float("inf"), float("-inf"))
+    for part in parts:
+        n, first, last = n + len(part), min(first, part["t"].min()), max(last, part["t"].max())
+    state.update((n, float(first), float(last)))
+    state.setTimeoutDuration(IDLE_MS)
+    yield pd.DataFrame({"recording_id": [key[0]], "n": [n], "rate": [(n - 1) / (last - first) if last > first else None]})
+
+
 def motion_rate(stream: DataFrame) -> DataFrame:
-    """(recording_id, n, rate) so far."""
-    n = F.count("*")
-    return stream.groupBy("recording_id").agg(n.alias("n"), F.when(n > 1, (n - 1) / F.nullif(F.max("t") - F.min("t"), F.lit(0.0))).alias("rate"))
+    """(recording_id, n, rate) so far, for each recording that a batch adds to (update mode). The state of a recording goes IDLE_MS after its last batch."""
+    return stream.groupBy("recording_id").applyInPandasWithState(
+        _rate, "recording_id string, n long, rate double", "n long, first double, last double", "update", GroupStateTimeout.ProcessingTimeTimeout
+    )
 
 
 def _sets(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A set opens at start_set and closes at stop_set or at the end of its workout; one of no length is dropped."""
+    """A set opens at start_set and closes at stop_set or at the end of its workout; one of no length is dropped, and so is one left open for IDLE_MS."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     opened = state.get if state.exists else (None, None)
     rows = []
     for row in pd.concat(list(parts)).sort_values("at", kind="stable").itertuples():
@@ -46,14 +65,21 @@ def _sets(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
             opened = (None, None)
         if row.kind == "start_set":
             opened = (row.set_id, row.at)
-    state.update(opened)
+    if opened[0] is not None:
+        state.update(opened)
+        state.setTimeoutTimestamp(max(int(opened[1].timestamp() * 1000) + IDLE_MS, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(rows, columns=["workout_id", "set_id", "start", "end"])
 
 
-def sets_of(events: DataFrame) -> DataFrame:
-    """(workout_id, set_id, start, end) of control events start_workout, start_set, stop_set and stop_workout."""
-    return events.groupBy("workout_id").applyInPandasWithState(
-        _sets, "workout_id string, set_id string, start timestamp, end timestamp", "set_id string, since timestamp", "append", GroupStateTimeout.NoTimeout
+def sets_of(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(workout_id, set_id, start, end) of control events start_workout, start_set, stop_set and stop_workout, up to a delay late.
+
+    State is kept for open sets only, and for no longer than IDLE_MS of event time.
+    """
+    return events.withWatermark("at", delay).groupBy("workout_id").applyInPandasWithState(
+        _sets, "workout_id string, set_id string, start timestamp, end timestamp", "set_id string, since timestamp", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
