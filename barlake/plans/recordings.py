@@ -203,14 +203,14 @@ def u06(spark, sf):
     return traj.thinned(rows.select((F.col("recording_id") % 7).alias("clip"), F.col("i").cast("int").alias("frame"), (40.0 * (F.col("recording_id") - 1)).alias("cx"), F.lit(400.0).alias("cy"), F.lit(1e9).alias("r"), F.col("a").alias("score"))).drop("r")
 
 
-@query("s30_board_lines", """g as (select set_id, count(*) filter (where vendor = 'click') as n, count(*) filter (where vendor = 'view') as truth, avg(value) filter (where vendor = 'click') as m from usable group by set_id),
+@query("s30_board_lines", """g as (select set_id, count(*) filter (where vendor = 'click') as n, count(*) filter (where vendor = 'view') as truth, avg(value) filter (where vendor = 'click') + 1e-9 as m from usable group by set_id),
     l as (select set_id, concat('| ', set_id, ' | ', n, ' | ', printf('%+d', n - truth), ' | ', coalesce(printf('%.3f', m), '–'), ' |') as line from g where truth > 0)
     select row_number() over (order by set_id) as n, line from l union all select -1, '| set_id | n | delta | mean |' union all select 0, '|-|-|-|-|'""")
 def s30(spark, sf):
     from ..functions import usable
 
     rows = reps(spark, sf).where(usable()).groupBy("set_id").agg(
-        F.count_if(F.col("vendor") == "click").alias("n"), F.count_if(F.col("vendor") == "view").alias("truth"), F.avg(F.when(F.col("vendor") == "click", F.col("value"))).alias("mean")
+        F.count_if(F.col("vendor") == "click").alias("n"), F.count_if(F.col("vendor") == "view").alias("truth"), (F.avg(F.when(F.col("vendor") == "click", F.col("value"))) + 1e-9).alias("mean")
     ).where("truth > 0").withColumn("delta", F.col("n") - F.col("truth"))
     return estimates.report(rows, {"set_id": "%s", "n": "%d", "delta": "%+d", "mean": "%.3f"}, ["set_id"])
 
