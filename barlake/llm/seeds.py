@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, joined_words, pieces, table, texts_of, windows
+from .common import arrow_map, joined_words, mix, pieces, table, texts_of, windows
 
 
 def text_id(text: bytes) -> int:
@@ -80,7 +80,7 @@ def unbucketed(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]])
         yield [np.concatenate(c) for c in zip(*parts)]
 
 
-_ANCHORS = [("key", "<i8"), ("tid", "<i8"), ("pos", "<i4")]
+_PLACES = [("key", "<u8"), ("tid", "<i8"), ("pos", "<i4"), ("sure", "u1")]
 
 
 def new_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -109,7 +109,7 @@ def _anchors(k: int, window: int, buckets: int):
                     where = minimisers(keys, window)
                     parts.append((keys[where], np.full(len(where), tids[i + n]), where.astype("<i4")))
                 key, tid, pos = (np.concatenate(c) for c in zip(*parts))
-                yield from bucketed((key % np.uint64(buckets)).astype(np.int32), [key, tid, pos])
+                yield from places_out(key, tid, pos, buckets)
 
     return run
 
@@ -125,12 +125,35 @@ def shared_places(key: np.ndarray, tid: np.ndarray) -> np.ndarray:
     return order[np.repeat(several, np.diff(np.append(begin, len(order))))]
 
 
+def places_out(key: np.ndarray, tid: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The places of a run of texts on their way to the buckets of their keys.
+
+    Where the run itself shows that two texts have a key, its places are sure and go anywhere (by text), and one of them stands for
+    them in the key's bucket: a key that very many texts have costs that bucket a place a run.
+    """
+    at = shared_places(key, tid)
+    alone = np.ones(len(key), bool)
+    alone[at] = False
+    sent = np.concatenate((np.flatnonzero(alone), at[np.unique(key[at], return_index=True)[1]]))
+    columns = [np.concatenate((v[sent], v[at])) for v in (key, tid, pos)]
+    sure = np.repeat(np.array([0, 1], "u1"), [len(sent), len(at)])
+    bucket = np.where(sure > 0, mix(columns[1].view(np.uint64)), columns[0]) % np.uint64(buckets)
+    yield from bucketed(bucket.astype(np.int32), [*columns, sure])
+
+
+def places_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, position) of the places in buckets of places_out() whose key another text has too; some come twice."""
+    for key, tid, pos, sure in unbucketed(batches, _PLACES):
+        known = np.flatnonzero(sure)
+        met = np.flatnonzero(sure == 0)
+        at = np.concatenate((known, met[shared_places(key[met], tid[met])]))
+        yield tid[at], pos[at]
+
+
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, tid, pos in unbucketed(batches, _ANCHORS):
-        at = shared_places(key, tid)
-        for k in range(0, len(at), 1 << 16):
-            some = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(tid[some]), pa.array(pos[some])], ["tid", "pos"])
+    for tid, pos in places_in(batches):
+        for k in range(0, len(tid), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(tid[k : k + (1 << 16)]), pa.array(pos[k : k + (1 << 16)])], ["tid", "pos"])
 
 
 def repeated(docs: DataFrame, texts: DataFrame, k: int, window: int, buckets: int) -> DataFrame:

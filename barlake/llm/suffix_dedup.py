@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BASE, _BASE_INV, _power, arrow_map, joined_words, mix, pieces, table, texts_of, tune, windows
-from .seeds import bucketed, repeated, shared_places, text_id, texts_and_rows, unbucketed, with_texts
+from .seeds import bucketed, places_in, places_out, repeated, text_id, texts_and_rows, unbucketed, with_texts
 
 KEY, WINDOW, MIN_WORDS = 16, 16, 50
 #: Words in a bucket.
@@ -68,7 +68,7 @@ def _suffixes(least: int, buckets: int):
                     found.append((names[begin + start], np.full(len(start), tids[n]), start.astype("<i4")))
         if found:
             columns = [np.concatenate(c) for c in zip(*found)]
-            for packed in bucketed((columns[0] % np.uint64(buckets)).astype(np.int32), columns):
+            for packed in places_out(*columns, buckets):
                 rows += [(2, b, d, None, None, None, None, None) for b, d in zip(packed.column("bucket").to_pylist(), packed.column("data").to_pylist())]
         return _batch(rows)
 
@@ -174,7 +174,6 @@ def _long_windows(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix((sums[n:] - sums[:-n]) * _power("inverse", _BASE_INV, len(hashes))[: len(hashes) - n + 1])
 
 
-_WINDOWS = [("key", "<u8"), ("tid", "<i8"), ("pos", "<i4")]
 _SPANS = [("tid", "<i8"), ("start", "<i4"), ("end", "<i4"), ("exact", "u1")]
 
 
@@ -182,9 +181,8 @@ def _shared_windows(least: int, buckets: int):
     """The windows that another text has too, packed by buckets of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, tid, pos in unbucketed(batches, _WINDOWS):
-            at = shared_places(key, tid)
-            yield from _packed_spans(tid[at], pos[at], pos[at] + least, 1, buckets)
+        for tid, pos in places_in(batches):
+            yield from _packed_spans(tid, pos, pos + least, 1, buckets)
 
     return run
 
