@@ -85,6 +85,30 @@ def test_substring_large_groups_lose_no_member(spark):
     assert len({root(k) for k in got}) == 2
 
 
+def test_substring_splits_hot_keys(spark, monkeypatch):
+    rng = random.Random(45)
+    line = sentence(rng, 54)
+    texts = {k: sentence(rng, 20) + " " + line + " " + sentence(rng, 20) for k in range(400)} | {k: sentence(rng, 90) for k in range(400, 420)}
+    for name, value in (("HOT", 100), ("SAMPLED", 2), ("LINKED", 8)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    hot = substring_dedup.frequent_keys(frame(spark, texts))
+    assert len(hot) == 51 and all(3 <= n <= 6 for n in hot.values())
+    rows = substring_dedup.find(frame(spark, texts)).collect()
+    got = covered(rows)
+    for k, v in covered(rows, "other_id", "other_start", "other_end").items():
+        got.setdefault(k, set()).update(v)
+    assert set(got) == set(range(400)) and all(set(range(20, 74)) <= v for v in got.values())
+    links = {k: set() for k in got}
+    for r in rows:
+        links[r["doc_id"]].add(r["other_id"]), links[r["other_id"]].add(r["doc_id"])
+    seen, todo = {0}, [0]
+    while todo:
+        new = links[todo.pop()] - seen
+        seen |= new
+        todo += new
+    assert seen == set(range(400)) and len(rows) < 400 * 12
+
+
 def test_substring_recall_on_drifting_versions(spark):
     rng = random.Random(33)
     made = versions(rng, 200, 200, 4)
