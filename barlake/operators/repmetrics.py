@@ -51,16 +51,18 @@ def _loss(good: Column, tail: Column, k: int, least: int = 3) -> tuple[Column, C
         return F.count(x), F.sum(F.when(F.col(flag) & (F.col(at) <= k), F.col("value"))), F.sum(x)
 
     (n, last, every), (m, tail_last, tail_every) = parts("_good", "_n"), parts("_tail", "_m")
-    best, first = F.max(F.when(good, F.col("value"))), F.min_by("value", F.when(good, F.struct("rep", "value")))
+    best, first = F.max(F.when(good, F.col("value"))), F.min_by("value", F.when(good, F.col("rep")))
     plain = F.when(n > k, last / k).otherwise((every - first) / (n - 1))
     short = F.when((m >= k) & (n > k), tail_last / k).when(m < n, tail_every / m).otherwise(plain)
     mean = F.when(m >= least, short).otherwise(plain)
     return n.cast("int"), best, F.when((n >= 3) & (best > 0), (best - mean) / best * 100)
 
 
-def _with_loss(reps: DataFrame, by: Sequence[str], k: int, good: Column, tail: Column, *more: Column) -> DataFrame:
-    rows = reps.withColumn("_good", good).withColumn("_tail", tail)
-    rows = rows.withColumn("_n", _from_end(F.col("_good"), by)).withColumn("_m", _from_end(F.col("_tail"), by))
+def _with_loss(reps: DataFrame, by: Sequence[str], k: int, good: Column, tail: Column | None, *more: Column) -> DataFrame:
+    """tail: what the last values come from, if not all good ones."""
+    rows = reps.withColumn("_good", good).withColumn("_tail", good if tail is None else tail)
+    rows = rows.withColumn("_n", _from_end(F.col("_good"), by))
+    rows = rows.withColumn("_m", F.col("_n") if tail is None else _from_end(F.col("_tail"), by))
     n, best, loss = _loss(F.col("_good"), F.col("_tail"), k)
     return rows.groupBy(*by).agg(n.alias("n_reps"), best.alias("best"), loss.alias("velocity_loss"), *more)
 
@@ -70,7 +72,7 @@ def velocity_loss(reps: DataFrame, by: Sequence[str] = KEYS, k: int = 2, exclude
 
     One shuffle and one sort on the key, then a hash aggregate.
     """
-    tail = usable() & (F.coalesce("flag", F.lit("")) != "partial_rom") if exclude_partial else usable()
+    tail = usable() & (F.coalesce("flag", F.lit("")) != "partial_rom") if exclude_partial else None
     return _with_loss(reps, by, k, usable(), tail).select(*by, "n_reps", "best", "velocity_loss")
 
 
@@ -78,7 +80,7 @@ def set_summary(reps: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Summary of a set whose loss is 0 where undefined; confidence is the mean of the reps', 0 for none (column confidence optional)."""
     conf = F.avg("confidence") if "confidence" in reps.columns else F.lit(None).cast("double")
     some = F.col("value").isNotNull()
-    rows = _with_loss(reps, by, 2, some, some, F.count("*").cast("int").alias("_all"), conf.alias("c"))
+    rows = _with_loss(reps, by, 2, some, None, F.count("*").cast("int").alias("_all"), conf.alias("c"))
     return rows.select(*by, F.col("_all").alias("n_reps"), F.coalesce("velocity_loss", F.lit(0.0)).alias("velocity_loss"), F.coalesce("c", F.lit(0.0)).alias("confidence"))
 
 

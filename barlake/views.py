@@ -21,10 +21,10 @@ def reps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(set_id, vendor, rep, value, flag); rep counts from 1 in time order."""
     k = F.get_json_object("props", "$.k").cast("int") % 10
     flag = F.when(k == 0, "phantom").when(k == 1, "missed").when(k == 2, "partial_rom").otherwise("")
-    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("set_id"), F.col("event_type").alias("vendor"), F.row_number().over(order).alias("rep"), "value", flag.alias("flag")
-    )
+    # renamed first: what follows groups by these names and so keeps the window's partitioning
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("set_id"), F.col("event_type").alias("vendor"), "ts", "event_id", "value", flag.alias("flag"))
+    order = Window.partitionBy("set_id", "vendor").orderBy("ts", "event_id")
+    return rows.select("set_id", "vendor", F.row_number().over(order).alias("rep"), "value", "flag")
 
 
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +34,11 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording_id, i, t, a): seconds since the epoch and the value less the recording's mean."""
-    whole = Window.partitionBy("user_id")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("recording_id"), "ts", "event_id", "value")
+    whole = Window.partitionBy("recording_id")
     order = whole.orderBy("ts", "event_id")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    return read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("recording_id"), (F.row_number().over(order) - 1).cast("long").alias("i"), seconds.alias("t"),
-        (F.col("value") - F.avg("value").over(whole)).alias("a"),
-    )
+    return rows.select("recording_id", (F.row_number().over(order) - 1).cast("long").alias("i"), seconds.alias("t"), (F.col("value") - F.avg("value").over(whole)).alias("a"))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
