@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import joined_words, mix, table, texts_of, tune
 
 #: Tokens in a range and in a block of documents, and documents in a block.
-RANGE, BLOCK, BLOCK_DOCS = 1_200_000, 750_000, 50_000
+RANGE, BLOCK, BLOCK_DOCS = 1_500_000, 1_100_000, 50_000
 #: Most tokens that are spread by their contexts; what is less frequent than all these has at most one in HOT of all tokens.
 HOT = 1 << 16
 #: Counts above this, which Katz leaves alone, are discounted by LARGE: else a context of such counts only would leave nothing to back off to.
@@ -107,7 +107,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], dtype=np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    return zstandard.compress(head.tobytes() + b"".join(a.tobytes() for a in arrays), 3)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
