@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard_join, katz_lm, pii, quality_rules, source_mix, substring_dedup, suffix_dedup, url_filters
+from . import byte_bpe, exact_topk, jaccard_join, katz_lm, merkle, pii, quality_rules, source_mix, spelling, substring_dedup, suffix_dedup, url_filters
 from .common import documents
 
 
@@ -75,6 +75,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words' number, the frequent word that it stands for and where those lead."""
+    return spelling.variants(spelling.count_words(documents(spark, sf_dir)))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proof of every document, and the root that a third of them, with their text lower-cased, would lead to."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    altered = F.when(tampered, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    found = merkle.audit(merkle.manifest(documents(spark, sf_dir), altered))
+    told = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return found.select("doc_id", *told, "proof_sha256", F.lower(F.hex("folded_root")).alias("folded_root"), "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -87,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_katz_lm": op9_katz_lm,
         "op10_source_mix": op10_source_mix,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
@@ -105,5 +122,92 @@ select query_id, cast(r as integer) as rank, vec_id, cast(score as bigint) as sc
 """
 
 
+#: The table of crc32, which DuckDB lacks.
+CRC_TABLE = """
+    select list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by i) as t
+    from (select cast(range as bigint) as i from range(256))
+"""
+
+SPELLING_SQL = f"""
+with tab as ({CRC_TABLE}), runs as (
+    select coalesce(cast(doc_id as varchar), '') as id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents)
+    where length(run) >= 7 group by all
+), bytes as (
+    select run, n, length(run) as size, list_transform(range(octet_length(encode(s))), lambda i: cast('0x' || substr(hex(encode(s)), cast(2 * i + 1 as integer), 2) as bigint)) as b
+    from (select *, id || ':' || run as s from runs)
+), hashed as (
+    select run, n, size, xor(4294967295, list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) as h from bytes, tab
+), words as (
+    select word, cast(sum(n) as bigint) as n
+    from (select case when h % 31 = 0 then substr(run, 1, h % size) || substr(run, h % size + 2) else run end as word, n from hashed)
+    where length(word) >= 7 group by word having sum(n) >= 2
+), cut as (
+    select word, n, i, substr(word, 1, i) || substr(word, i + 2) as part from (select word, n, unnest(range(length(word))) as i from words)
+), near as (
+    select a.word, a.n, b.word as other, b.n as other_n from cut a join cut b on a.part = b.part and a.i = b.i and a.word <> b.word
+    union select a.word, a.n, b.word, b.n from cut a join words b on a.part = b.word
+    union select b.word, b.n, a.word, a.n from cut a join words b on a.part = b.word
+), best as (
+    select word, count(*) as n_near, arg_min(other, (-other_n, other)) as form, max(other_n) as form_n from near group by word
+), forms as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 10 * n then form end as form, case when form_n >= 10 * n then form_n end as form_n
+    from words w left join best b on w.word = b.word
+), led as (
+    with recursive r as (select word, word as root, 0 as k from forms union all select r.word, f.form, k + 1 from r join forms f on f.word = r.root where f.form is not null)
+    select word, arg_max(root, k) as root from r group by word
+)
+select forms.word, form, root, n, n_near, form_n from forms join led on forms.word = led.word
+"""
+
+#: Levels that the SQL builds: enough for 8 ** 8 rows.
+_LEVELS = 8
+
+
+def _levels(tree: str, first: str) -> str:
+    """Common table expressions of a tree over first (g, i, n, d): nodes of each level, and for each run its digests in order."""
+    out = []
+    for k in range(_LEVELS):
+        below = first if not k else f"{tree}{k}"
+        out.append(f"{tree}_runs{k} as (select g, i // 8 as i, max(n) as n, list(d order by i) as ds from {below} group by g, i // 8)")
+        out.append(f"{tree}{k + 1} as (select g, i, (n + 7) // 8 as n, case when n > 1 then sha256(array_to_string(ds, '')) else ds[1] end as d from {tree}_runs{k})")
+    return ", ".join(out)
+
+
+def _path(tree: str, rows: str, name: str) -> str:
+    """rows (g, i, proof, folded, ...) with the siblings of a tree added to proof, and folded carried up to its root."""
+    out = []
+    for k in range(_LEVELS):
+        below, p = rows if not k else f"{name}{k - 1}", f"(x.i // {8**k} % 8)"
+        others = f"list_concat(ds[1:{p}], ds[{p} + 2:])"
+        whole = f"array_to_string(ds[1:{p}], '') || folded || array_to_string(ds[{p} + 2:], '')"
+        out.append(f"""{name}{k} as (select x.* replace (case when r.n > 1 then proof || array_to_string({others}, '') else proof end as proof, case when r.n > 1 then sha256({whole}) else folded end as folded)
+            from {below} x join {tree}_runs{k} r on r.g = x.g and r.i = x.i // {8 ** (k + 1)})""")
+    return ", ".join(out)
+
+
+def _told(text: str) -> str:
+    columns = ["cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+MERKLE_SQL = f"""
+with tab as ({CRC_TABLE}), crc as (
+    select doc_id, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) as h
+    from (select distinct doc_id from documents), tab
+), leaf as (
+    select doc_id, lang, {_told("text")} as d, case when h % 3 = 0 then {_told("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} else {_told("text")} end as folded
+    from documents join crc using (doc_id)
+), leaves as (
+    select doc_id, coalesce('=' || lang, '') as g, row_number() over (partition by lang order by doc_id, d) - 1 as i, count(*) over (partition by lang) as n, d, folded, '' as proof from leaf
+), {_levels("a", "leaves")}, tops as (
+    select 0 as g, row_number() over (order by g) - 1 as i, count(*) over () as n, d, g as lang from a{_LEVELS}
+), {_levels("b", "tops")}, {_path("a", "leaves", "p")}, joined as (
+    select p.doc_id, p.d as leaf, t.d as subroot, proof, folded, 0 as g, t.i from p{_LEVELS - 1} p join tops t on t.lang = p.g
+), {_path("b", "joined", "q")}
+select doc_id, leaf, subroot, d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = d as verified from q{_LEVELS - 1}, b{_LEVELS}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": TOPK_SQL}
+    return {"op7_exact_topk": TOPK_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_merkle_manifest": MERKLE_SQL}
