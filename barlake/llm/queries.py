@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard_join, katz_lm, merkle, pii, quality_rules, source_mix, spelling, substring_dedup, suffix_dedup, url_filters
+from . import byte_bpe, exact_topk, jaccard_join, katz_lm, license_scan, merkle, pii, quality_rules, source_mix, spelling, substring_dedup, suffix_dedup, url_filters
 from .common import documents
 
 
@@ -90,6 +90,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *told, "proof_sha256", F.lower(F.hex("folded_root")).alias("folded_root"), "verified")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan(documents(spark, sf_dir)).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_source_mix": op10_source_mix,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_license_scan": op13_license_scan,
     }
 
 
@@ -209,5 +215,35 @@ select doc_id, leaf, subroot, d as root, sha256(proof) as proof_sha256, folded a
 """
 
 
+def _license_sql() -> str:
+    """The scan with grams compared as words, not as hashes."""
+    told = [(True, *x) for x in license_scan.PHRASES] + [(False, *x) for x in license_scan.NOTICES]
+    values = ", ".join(f"({i}, {base}, '{label}', '{text}')" for i, (base, label, text) in enumerate(told))
+
+    def words(text: str) -> str:
+        lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"list_filter(regexp_split_to_array({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+    return f"""
+with t as (select *, len(own) as size, case when base then 2 else 3 end as k, not base and len(own) >= 20 as loose from (select i, base, label, {words("text")} as own from (values {values}) v(i, base, label, text))),
+    d as (select row_number() over () as rid, doc_id, {words("text")} as words from documents),
+    tg as (select i, k, p as tp, own[p + 1:p + k] as gram from t, lateral (select unnest(range(size - k + 1)) as p)),
+    dg as (select rid, k, p, words[p + 1:p + k] as gram from d, (values (2), (3)) ks(k), lateral (select unnest(range(len(words) - k + 1)) as p)),
+    v as (select rid, i, p - tp as g, list(distinct tp) as tp from dg join tg using (k, gram) group by all),
+    h as (select v.*, size, k, loose from v join t using (i)),
+    r as (select *, sum(case when before is null or g - before > 3 then 1 else 0 end) over (partition by rid, i order by g) as run
+          from (select *, lag(g) over (partition by rid, i order by g) as before from h where loose)),
+    m as (select rid, i, size, list(g order by g) as gs, len(list_distinct(flatten(list(tp)))) as n from r group by rid, i, size, run),
+    s as (select rid, i, [g] as gs from h where not loose and len(tp) = size - k + 1
+          union all select rid, i, gs from m where n >= greatest(size - 2 - 3 * floor(size * 0.2 + 1e-9), 1)),
+    c as (select s.rid, i, gs, len(list_filter(range(size), lambda q: len(list_filter(gs, lambda g: q + g >= 0 and words[q + g + 1] = own[q + 1])) > 0)) / size::double as share from s join d using (rid) join t using (i)),
+    f as (select rid, share, label, base and good as base_good, good, list_min(gs) as first from (select *, share >= case when loose then 0.8 else 1 end as good from c join t using (i))),
+    x as (select rid, count(*) filter (where base_good) as n_base, min(first) filter (where base_good) as first_word, max(first) filter (where base_good) as last_word,
+                 string_agg(distinct label, ',' order by label) filter (where base_good) as base_labels, string_agg(distinct label, ',' order by label) filter (where good) as labels, max(share) as score from f group by rid)
+select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0) as score
+from d left join x using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": TOPK_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_merkle_manifest": MERKLE_SQL}
+    return {"op7_exact_topk": TOPK_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_license_scan": _license_sql()}
