@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +25,14 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors both write: spark.checkpoint.dir; unset, a temporary folder if all runs on this machine, else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        path = tempfile.mkdtemp(prefix="barlake-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    if not path:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return path.rstrip("/")

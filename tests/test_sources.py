@@ -11,7 +11,6 @@ from barlake.operators import recordings as rec
 from barlake.operators import tables
 from barlake.schemas import IMU_COLUMNS, IMU_REQUIRED
 from barlake.sources import exports, recordings
-from barlake.streaming import live
 
 
 def test_motion_files(spark, tmp_path):
@@ -135,65 +134,3 @@ def test_names(spark):
     assert files.select(fn.watch_file("n")["vendor"]).first()[0] == "watch_bar"
     assert files.select(fn.half_even(F.lit(0.125), 2), fn.half_even(F.lit(0.375), 2)).first()[0] == 0.12
     assert files.select(fn.regime_hint(F.array(F.lit(0.9), F.lit(0.88), F.lit(0.87)))).first()[0] == "speed_work?"
-
-
-def test_streams(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    beats = [{"workout_id": "w", "utc": f"2026-06-15T10:00:{k:02d}Z", "bpm": 100.0 + k} for k in range(30)]
-    for n in range(3):
-        (src / f"{n}.json").write_text("\n".join(json.dumps(b) for b in beats[n * 10 : n * 10 + 10]))
-    run = lambda df, name, mode="append": (live.run_available(df, str(tmp_path / name), str(tmp_path / f"{name}-cp"), mode), spark.read.parquet(str(tmp_path / name)))[1]
-    out = run(live.heart_rate(live.read_stream(spark, str(src), live.HEART, 1), "2026-06-15T10:00:00Z", 50.0), "beats")
-    assert out.count() == 30 and out.agg(F.max("t")).first()[0] == 79.0
-    assert run(live.heart_rate(live.read_stream(spark, str(src), live.HEART)), "beats").count() == 30
-    windows = run(live.late_windows(live.read_stream(spark, str(src), live.HEART, 1), "0 seconds"), "windows")
-    assert windows.agg(F.sum("n")).first()[0] >= 10
-    sets = spark.createDataFrame([("w", "s1", "2026-06-15T10:00:05Z", "2026-06-15T10:00:09Z")], "workout_id string, set_id string, start string, end string")
-    sets = sets.withColumn("start", F.to_timestamp("start")).withColumn("end", F.to_timestamp("end"))
-    assert run(live.heart_rate_of_sets(live.read_stream(spark, str(src), live.HEART), sets), "sliced").count() == 5
-    ev = tmp_path / "ev"
-    ev.mkdir()
-    events = [("start_workout", 0, None), ("start_set", 1, "s1"), ("stop_set", 9, None), ("start_set", 20, "s2"), ("stop_workout", 30, None), ("start_set", 40, "s3"), ("stop_set", 40, None)]
-    (ev / "a.json").write_text("\n".join(json.dumps({"workout_id": "w", "at": f"2026-06-15T10:00:{s:02d}Z", "kind": k, "set_id": i}) for k, s, i in events))
-    assert sorted(r["set_id"] for r in run(live.sets_of(live.read_stream(spark, str(ev), live.EVENT)), "sets").collect()) == ["s1", "s2"]
-
-
-def test_streams_forget(spark, tmp_path):
-    src = tmp_path / "motion"
-    src.mkdir()
-    for n in range(3):
-        (src / f"{n}.json").write_text("\n".join(json.dumps({"recording_id": "r", "t": n + k / 10, "ua_x": 0.0, "ua_y": 0.0, "ua_z": 0.0}) for k in range(10)))
-    rates = live.motion_rate(live.read_stream(spark, str(src), live.MOTION, 1))
-    rates.writeStream.format("memory").queryName("rates").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = sorted((r["n"], r["rate"]) for r in spark.table("rates").collect())
-    assert [n for n, _ in got] == [10, 20, 30] and got[-1][1] == pytest.approx(29 / 2.9)
-
-
-def test_a_set_left_open_is_forgotten():
-    import pandas as pd
-
-    class State:
-        hasTimedOut, exists, removed, until, value = False, False, False, None, None
-
-        @property
-        def get(self):
-            return self.value
-
-        def update(self, value):
-            self.value, self.exists = value, True
-
-        def remove(self):
-            self.exists, self.removed = False, True
-
-        def setTimeoutTimestamp(self, ms):
-            self.until = ms
-
-        def getCurrentWatermarkMs(self):
-            return 0
-
-    at = pd.Timestamp("2026-06-15T10:00:00")
-    state = State()
-    assert next(live._sets(("w",), iter([pd.DataFrame({"at": [at], "kind": ["start_set"], "set_id": ["s"]})]), state)).empty and state.exists and state.until > at.timestamp() * 1000
-    state.hasTimedOut = True
-    assert list(live._sets(("w",), iter([]), state)) == [] and state.removed
