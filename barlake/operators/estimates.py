@@ -10,7 +10,6 @@ from collections.abc import Callable
 from typing import Protocol, runtime_checkable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ..functions import metres_per_pixel, segment_metres_per_pixel, vertical_acc
 from ..functions import signal as s
 from ..functions.columns import SEGMENTS
 from . import recordings, repmetrics, tables, trajectories
+from .grouped import Part, by_group
 from .series import gate_reps
 
 PLATE_M = 0.45
@@ -140,18 +140,16 @@ def depth_positions(rows: DataFrame, key: str = "clip") -> DataFrame:
     d is null where the plate was not measured. Tracks whose diameters are too few, jittery or drifting give nothing.
     """
 
-    def fn(part: pd.DataFrame) -> list[tuple]:
-        part = part.sort_values("t", kind="stable")
-        seen, first = part[part["d"].notna()], part.iloc[0]
-        when = None if pd.isna(first["rim_t"]) else float(first["rim_t"])
-        t = part["t"].to_numpy(float)
-        trace = trajectories.anchored_trace(seen["t"].to_numpy(float), seen["d"].to_numpy(float), float(first["rim_px"]), t, when)
+    def fn(part: Part) -> list[tuple]:
+        seen, when = ~np.isnan(part["d"]), float(part["rim_t"][0])
+        trace = trajectories.anchored_trace(part["t"][seen], part["d"][seen], float(part["rim_px"][0]), part["t"], None if np.isnan(when) else when)
         if trace is None:
             return []
-        pos = -float(first["plate_m"]) * (part["cy"].to_numpy(float) - float(first["frame_h"]) / 2) / trace
-        return list(zip(t, pos))
+        pos = -float(part["plate_m"][0]) * (part["cy"] - float(part["frame_h"][0]) / 2) / trace
+        return list(zip(part["t"].tolist(), pos.tolist()))
 
-    return recordings._grouped(rows.select(key, "t", "cy", "d", "rim_px", "rim_t", "plate_m", "frame_h"), key, fn, "t double, pos double")
+    numbers = [F.col(c).cast("double").alias(c) for c in ("t", "cy", "d", "rim_px", "rim_t", "plate_m", "frame_h")]
+    return by_group(rows.select(key, *numbers), key, fn, "t double, pos double")
 
 
 def chosen_estimates(candidates: DataFrame, key: str = "clip", least: int = 3, most: int = 18, sure: float = 0.6) -> DataFrame:
@@ -213,41 +211,26 @@ def auto_estimate(tracks: DataFrame, candidates: DataFrame, key: str = "clip") -
 def auto_counts(detections: DataFrame, key: str = "clip", hz: float = 1.8, share: float = 0.3, floor: float = 0.5) -> DataFrame:
     """Reps of clips counted from detections (key, frame, t, cx, cy, r) alone: linked into tracks, of which the one that swings most steadily is taken.
 
-    A track needs eight detections and a share of the frames; its score is that of oscillation(), a fiftieth where it hardly turns. The chosen
-    one is filled in over all frames, low-passed, and its reps gated relatively, with a floor on travel.
+    ``trajectories.scored_tracks`` scores the tracks (of equal ones the earlier is taken). The chosen one is filled in over all
+    frames, low-passed where the frames are dense enough for it, and its reps gated relatively, with a floor on travel.
     """
     linked = trajectories.link_tracks(detections.select(key, "frame", "cx", "cy", "r"), key)
-    frames = detections.select(key, "frame", "t").distinct()
-    rows = linked.join(frames, [key, "frame"])
-    kind = rows.schema[key].dataType.simpleString()
-    whole = frames.groupBy(key).agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.min("t").alias("begin"), F.max("t").alias("finish"))
-
-    def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        first, last = int(part["first"].iloc[0]), int(part["last"].iloc[0])
-        grid = np.arange(first, last + 1)
-        best: tuple = (-1.0, None)
-        for _, one in part.groupby("track", sort=True):
-            one = one.sort_values("frame", kind="stable")
-            if len(one) < max(8, share * len(grid)):
-                continue
-            y = s.median_filter(np.interp(grid, one["frame"], one["cy"]), 5)
-            r = max(1e-6, float(one["r"].median()))
-            step = np.sign(np.diff(y))
-            turned = int((np.diff(step[step != 0]) != 0).sum())
-            score = len(one) / len(grid) * y.std() / ((1 + 3 * one["r"].std(ddof=0) / r) * (1 + 2 * one["cx"].std(ddof=0) / r)) * (0.02 if turned < 2 else 1.0)
-            if score > best[0]:
-                best = (score, (np.interp(grid, one["frame"], one["cx"]), y, r))
-        if best[1] is None:
-            return pd.DataFrame({key: pd.Series([], dtype=object), "t": [], "cx": [], "cy": [], "m_per_px": []})
-        x, y, r = best[1]
-        t = np.interp(grid, [first, max(last, first + 1)], [float(part["begin"].iloc[0]), float(part["finish"].iloc[0])])
-        fs = (len(t) - 1) / max(t[-1] - t[0], 1e-9) if len(t) > 1 else 0.0
-        if fs > 2 * hz and len(y) > 15:
-            y = s.zero_phase(y, hz, fs, "low")
-        return pd.DataFrame({key: pd.Series([group[0]] * len(t), dtype=object), "t": t, "cx": x, "cy": y, "m_per_px": PLATE_M / (2 * r)})
-
-    chosen = rows.join(whole, key).groupBy(key).applyInPandas(run, f"{key} {kind}, t double, cx double, cy double, m_per_px double")
-    return trajectories.trajectory_reps(chosen, key=key, gate="relative", peak=0.10, rom=0.18, rom_floor=floor)
+    rows = trajectories.scored_tracks(linked, key, share)
+    best = F.min(F.struct(-F.col("score"), F.col("track"))).over(Window.partitionBy(key))
+    chosen = rows.withColumn("best", best).where(F.col("track") == F.col("best.track"))
+    whole = detections.groupBy(key).agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.min("t").alias("begin"), F.max("t").alias("finish"))
+    step = F.coalesce(F.try_divide(F.col("finish") - F.col("begin"), F.col("last") - F.col("first")), F.lit(0.0)).cast("double")
+    path = chosen.join(whole.withColumn("step", step), key).select(
+        key, (F.col("begin") + (F.col("frame") - F.col("first")) * F.col("step")).alias("t"), "cx", "cy", "step", (PLATE_M / (2 * F.col("radius"))).alias("m_per_px")
+    )
+
+    def fn(part: Part) -> list[tuple]:
+        rate = 1 / part["step"][0] if part["step"][0] > 0 else 0.0
+        cy = s.zero_phase(part["cy"], hz, rate, "low") if rate > 2 * hz and len(part["cy"]) > 15 else part["cy"]
+        return list(zip(part["t"].tolist(), part["cx"].tolist(), cy.tolist(), part["m_per_px"].tolist()))
+
+    smooth = by_group(path, key, fn, "t double, cx double, cy double, m_per_px double")
+    return trajectories.trajectory_reps(smooth, key=key, gate="relative", peak=0.10, rom=0.18, rom_floor=floor)
 
 
 def watch_ingest(samples: DataFrame, truth: DataFrame, old: DataFrame) -> DataFrame:

@@ -1,19 +1,21 @@
 """Repetitions from bar trajectories (clip, t, cx, cy): the back end of video, from the tracked table on.
 
-Pixels are out of scope: tracking enters as a table. One clip a group. Gates over rep rows are windows.
+Pixels are out of scope: tracking enters as a table. Steps over whole clips go by Arrow batches; gates over rep rows are windows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal as s
 from ..schemas import VIDEO_REP
+from . import series
+from .grouped import Part, by_group
 
 
 class Run(NamedTuple):
@@ -92,16 +94,11 @@ def trajectory_rows(t, cx, cy, scale: float, gate: str = "absolute", peak: float
 
 def trajectory_reps(rows: DataFrame, scale: str = "m_per_px", key: str = "clip", plausible: bool = False, transit: bool = False, rom_floor: float = 0.0, **options) -> DataFrame:
     """Rep rows of each trajectory (clip, t, cx, cy, m_per_px), gated as asked and flagged partial_rom under 0.7 of the median."""
-    names = [x.split()[0] for x in VIDEO_REP.split(", ")]
 
-    def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t", kind="stable")
-        got = trajectory_rows(*(part[c].to_numpy(float) for c in ("t", "cx", "cy")), float(part[scale].iloc[0]), transit=transit, **options)
-        out = pd.DataFrame(got, columns=names)
-        out.insert(0, key, pd.Series([group[0]] * len(out), dtype=object))
-        return out
+    def fn(part: Part) -> list[tuple]:
+        return trajectory_rows(part["t"], part["cx"], part["cy"], float(part[scale][0]), transit=transit, **options)
 
-    reps = rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {VIDEO_REP}")
+    reps = by_group(rows.select(key, "t", "cx", "cy", scale), key, fn, VIDEO_REP)
     if transit:
         reps = transit_gate(reps, key)
     if plausible:
@@ -181,47 +178,60 @@ def anchored_trace(times: np.ndarray, sizes: np.ndarray, rim: float, grid: np.nd
     return trace * (rim / at) if at > 1 else None
 
 
-def bilateral_rows(one: pd.DataFrame, two: pd.DataFrame, plate_m: float, frame_h: float, mode: str = "avg", tolerance: float = 0.25) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """Reps of the mean of both bar ends (t, cx, cy, target_px, optional d), the common times, and the difference of the ends."""
-    start, end = max(one["t"].iloc[0], two["t"].iloc[0]), min(one["t"].iloc[-1], two["t"].iloc[-1])
+def bilateral_rows(one: Part, two: Part, plate_m: float, frame_h: float, mode: str = "avg") -> list[tuple]:
+    """Reps of the mean of both bar ends (t, cy, target_px, d, NaN where not measured), each with lr_rms_m, how far the ends differ.
+
+    Ends that share less than a second, or one end alone, give no reps.
+    """
+    if not len(one["t"]) or not len(two["t"]):
+        return []
+    start, end = max(one["t"][0], two["t"][0]), min(one["t"][-1], two["t"][-1])
     if end - start < 1.0:
-        raise ValueError("the two ends share less than a second")
+        return []
     grid = np.arange(start, end, max(float(np.median(np.diff(one["t"]))), 1e-3))
 
-    def height(side: pd.DataFrame) -> np.ndarray:
-        y = np.interp(grid, side["t"], side["cy"])
-        if mode == "depth" and "d" in side and side["d"].notna().sum() >= 3:
-            known = side[side["d"].notna()]
-            d = diameter_trace(known["t"].to_numpy(), known["d"].to_numpy(), grid)
+    def height(side: Part) -> np.ndarray:
+        y, known = np.interp(grid, side["t"], side["cy"]), ~np.isnan(side["d"])
+        if mode == "depth" and known.sum() >= 3:
+            d = diameter_trace(side["t"][known], side["d"][known], grid)
             if d is not None and (d > 1).all():
                 return -plate_m * (y - frame_h / 2) / d
-        return -y * plate_m / float(side["target_px"].iloc[0])
+        return -y * plate_m / float(side["target_px"][0])
 
     p, q = (h - h.mean() for h in map(height, (one, two)))
     mean, apart = (p + q) / 2, p - q
-    return trajectory_rows(grid, np.zeros_like(mean), -mean, 1.0, gate="relative"), grid, apart
+    out = []
+    for rep in trajectory_rows(grid, np.zeros_like(mean), -mean, 1.0, gate="relative"):
+        a, b = np.searchsorted(grid, rep[1]), np.searchsorted(grid, rep[2])
+        out.append((*rep, round(float(np.sqrt(np.mean(apart[a : max(b, a + 1)] ** 2))), 4)))
+    return out
 
 
 def bilateral_reps(rows: DataFrame, key: str = "clip", mode: str = "avg", tolerance: float = 0.25, plausible: bool = True) -> DataFrame:
-    """Rep rows of both ends' mean, from (clip, side 1|2, t, cx, cy, target_px, d, plate_m, frame_h), with lr_rms_m; reps whose ends disagree are flagged."""
-    names = [x.split()[0] for x in VIDEO_REP.split(", ")]
-
-    def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t", kind="stable")
-        one, two = part[part["side"] == 1], part[part["side"] == 2]
-        reps, grid, apart = bilateral_rows(one, two, float(part["plate_m"].iloc[0]), float(part["frame_h"].iloc[0]), mode)
-        out = pd.DataFrame(reps, columns=names)
-        cut = [(np.searchsorted(grid, a), np.searchsorted(grid, b)) for a, b in zip(out["t"], out["t_end"])]
-        out["lr_rms_m"] = [round(float(np.sqrt(np.mean(apart[a : max(b, a + 1)] ** 2))), 4) for a, b in cut]
-        out.insert(0, key, pd.Series([group[0]] * len(out), dtype=object))
-        return out
+    """Rep rows of both ends' mean, from (clip, side 1|2, t, cx, cy, target_px, d, plate_m, frame_h), with lr_rms_m; reps whose ends disagree are flagged.
+
+    A clip whose ends share less than a second has no reps; ``bilateral_overlap`` tells which those are.
+    """
+
+    def fn(part: Part) -> list[tuple]:
+        one, two = ({n: v[part["side"] == k] for n, v in part.items()} for k in (1, 2))
+        return bilateral_rows(one, two, float(part["plate_m"][0]), float(part["frame_h"][0]), mode)
 
-    reps = rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {VIDEO_REP}, lr_rms_m double")
+    wanted = rows.select(key, "side", "t", "cy", "target_px", F.col("d").cast("double").alias("d"), "plate_m", "frame_h")
+    reps = by_group(wanted, key, fn, f"{VIDEO_REP}, lr_rms_m double")
     reps = flag_partial(plausibility_gate(reps, key) if plausible else reps, key)
     middle = F.percentile("rom", 0.5).over(Window.partitionBy(key)) / 100
     return reps.withColumn("flag", F.when((middle > 0) & (F.col("lr_rms_m") > tolerance * middle), "lr_disagree").otherwise(F.col("flag")))
 
 
+def bilateral_overlap(rows: DataFrame, key: str = "clip") -> DataFrame:
+    """(key, shared, usable): the seconds that both sides of a clip cover, at most 0 where they do not meet; a second makes it usable."""
+    ends = [F.min(F.when(F.col("side") == k, F.col("t"))) for k in (1, 2)], [F.max(F.when(F.col("side") == k, F.col("t"))) for k in (1, 2)]
+    both = F.count_distinct("side") == 2
+    shared = F.when(both, F.least(*ends[1]) - F.greatest(*ends[0])).otherwise(F.lit(0.0))
+    return rows.groupBy(key).agg(shared.alias("shared")).withColumn("usable", F.col("shared") >= 1.0)
+
+
 def spans(rows: DataFrame, key: str = "clip") -> DataFrame:
     """(key, n, xspan, yspan): 5th to 95th percentile of each coordinate."""
     q = F.array(F.lit(0.05), F.lit(0.95))
@@ -232,12 +242,10 @@ def honesty(rows: DataFrame, key: str = "clip", vertical: float = 1.2, period: f
     """Does a track (clip, t, cx, cy, target_px) ride a lifted plate: verticality, periodicity, motion, flags and verdict."""
     targets = rows.groupBy(key).agg(F.max("target_px").alias("target_px"))
 
-    def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        y = part.sort_values("t", kind="stable")["cy"].to_numpy(float)
-        strength, lag = s.periodicity(y) if len(y) >= 3 else (0.0, 0)
-        return pd.DataFrame({key: [group[0]], "periodicity": [strength], "period_lag": [lag]})
+    def fn(part: Part) -> list[tuple]:
+        return [s.periodicity(part["cy"]) if len(part["cy"]) >= 3 else (0.0, 0)]
 
-    waves = rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, periodicity double, period_lag int")
+    waves = by_group(rows.select(key, "t", "cy"), key, fn, "periodicity double, period_lag int")
     out = spans(rows, key).join(waves, key).join(targets, key)
     enough = F.col("n") >= 3
     out = out.withColumn("vertical_dominance", F.when(enough, F.col("yspan") / (F.col("xspan") + 1e-9)).otherwise(0.0))
@@ -303,48 +311,135 @@ def band_flag(reps: DataFrame, priors: DataFrame, lift: str = "lift") -> DataFra
     return reps.join(band, lift, "left").withColumn("rom_outlier", F.coalesce(~F.col("rom").between(F.col("lo_cm"), F.col("hi_cm")), F.lit(False))).drop("lo_cm", "hi_cm")
 
 
-def link_tracks(detections: DataFrame, key: str = "clip", gap: int = 5, across: float = 0.6, along: float = 2.5) -> DataFrame:
-    """Nearest-neighbour association of detections (clip, frame, cx, cy, r) into tracks, with an anisotropic gate in radii."""
+@dataclass
+class Live:
+    """A track that may go on: its number, last frame, smoothed centre and radius."""
+
+    number: int
+    frame: int
+    x: float
+    y: float
+    r: float
 
-    def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["frame", "cx", "cy"], kind="stable").reset_index(drop=True)
-        live: list[list] = []
-        names = []
-        for row in part.itertuples():
-            fits = [(abs(row.cx - tr[1]) + abs(row.cy - tr[2]), n) for n, tr in enumerate(live)
-                    if 0 < row.frame - tr[0] <= gap and abs(row.cx - tr[1]) <= across * row.r and abs(row.cy - tr[2]) <= along * row.r]
-            n = min(fits)[1] if fits else len(live)
-            if n == len(live):
-                live.append([0, 0.0, 0.0])
-            live[n][:] = [row.frame, row.cx, row.cy]
-            names.append(n)
-        return part.assign(track=names)[[key, "frame", "cx", "cy", "r", "track"]]
 
-    kind = detections.schema[key].dataType.simpleString()
-    return detections.select(key, "frame", "cx", "cy", "r").groupBy(key).applyInPandas(run, f"{key} {kind}, frame int, cx double, cy double, r double, track int")
+class Linker:
+    """Links the detections of one clip frame by frame; tracks choose in the order in which they began.
+
+    A track takes the free detection of least distance in its gate: within ``across`` and ``along`` of its own radii sideways
+    and upwards, its radius within a share ``tolerance``; distances are scaled by the gate's two sides. Sideways and in radius
+    a track follows slowly. A frame's detections lie in a grid as wide as the widest gate, so a track looks at nine cells,
+    and a track is forgotten after ``gap`` frames without one.
+    """
+
+    def __init__(self, gap: int = 5, across: float = 0.6, along: float = 2.5, tolerance: float = 0.32) -> None:
+        self.gap, self.across, self.along, self.tolerance = gap, across, along, tolerance
+        self.live: list[Live] = []
+        self.made = 0
+
+    def link(self, frame: int, found: list[tuple[float, float, float]]) -> list[int]:
+        """Numbers of the tracks that these detections (x, y, r) of a frame belong to."""
+        self.live = [t for t in self.live if frame - t.frame <= self.gap]
+        names = [-1] * len(found)
+        widest = max((t.r for t in self.live), default=0.0)
+        if widest > 0:
+            side = widest * self.across, widest * self.along
+            cells: dict[tuple[int, int], list[int]] = {}
+            for j, (x, y, _) in enumerate(found):
+                cells.setdefault((int(x // side[0]), int(y // side[1])), []).append(j)
+            for track in self.live:
+                at = int(track.x // side[0]), int(track.y // side[1])
+                near = (j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((at[0] + dx, at[1] + dy), ()))
+                fits = [(d, j) for j in near if names[j] < 0 and (d := self.distance(track, *found[j])) is not None]
+                if fits:
+                    j = min(fits)[1]
+                    x, y, r = found[j]
+                    names[j] = track.number
+                    track.frame, track.x, track.y, track.r = frame, (track.x + x) / 2, y, 0.7 * track.r + 0.3 * r
+        for j, (x, y, r) in enumerate(found):
+            if names[j] < 0:
+                names[j] = self.made
+                self.live.append(Live(self.made, frame, x, y, r))
+                self.made += 1
+        return names
+
+    def distance(self, track: Live, x: float, y: float, r: float) -> float | None:
+        dx, dy = abs(x - track.x) / self.across, abs(y - track.y) / self.along
+        return dx * dx + dy * dy if max(dx, dy) <= track.r and abs(r - track.r) <= self.tolerance * track.r else None
+
+
+def link_tracks(detections: DataFrame, key: str = "clip", **gate) -> DataFrame:
+    """(key, frame, cx, cy, r, track): detections (key, frame, cx, cy, r) linked into tracks, numbered from 0 in a clip (``Linker``)."""
+
+    def fn(part: Part) -> list[tuple]:
+        linker, out = Linker(**gate), []
+        frames, rows = part["frame"], list(zip(part["cx"].tolist(), part["cy"].tolist(), part["r"].tolist()))
+        bounds = np.flatnonzero(np.diff(frames, prepend=frames[0] - 1)).tolist()
+        for a, b in zip(bounds, [*bounds[1:], len(rows)]):
+            frame = int(frames[a])
+            out += [(frame, *row, n) for row, n in zip(rows[a:b], linker.link(frame, rows[a:b]))]
+        return out
+
+    return by_group(detections.select(key, "frame", "cx", "cy", "r"), key, fn, "frame int, cx double, cy double, r double, track int", ["frame", "cx", "cy", "r"])
 
 
 def thinned(detections: DataFrame, key: str = "clip", distance: float = 0.5) -> DataFrame:
     """Keeps detections (clip, frame, cx, cy, r, score) by falling score, unless within a share of a kept one's radius in the frame."""
 
-    def run(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in part.sort_values(["score", "cx", "cy"], ascending=[False, True, True], kind="stable").itertuples():
-            if all(np.hypot(row.cx - k.cx, row.cy - k.cy) >= distance * max(row.r, k.r) for k in kept):
-                kept.append(row)
-        return pd.DataFrame([(*group, k.cx, k.cy, k.r, k.score) for k in kept], columns=[key, "frame", "cx", "cy", "r", "score"])
+    def fn(part: Part) -> list[tuple]:
+        kept: list[tuple] = []
+        for one in zip(*(part[c].tolist() for c in ("cx", "cy", "r", "score"))):
+            if all(np.hypot(one[0] - k[0], one[1] - k[1]) >= distance * max(one[2], k[2]) for k in kept):
+                kept.append(one)
+        return kept
+
+    return by_group(detections.select(key, "frame", "cx", "cy", "r", "score"), [key, "frame"], fn, "cx double, cy double, r double, score double", [F.col("score").desc(), "cx", "cy"])
 
-    kind = detections.schema[key].dataType.simpleString()
-    return detections.select(key, "frame", "cx", "cy", "r", "score").groupBy(key, "frame").applyInPandas(run, f"{key} {kind}, frame int, cx double, cy double, r double, score double")
 
+def filled_tracks(tracks: DataFrame, key: str = "clip", share: float = 0.3, least: int = 8) -> DataFrame:
+    """(key, track, frame, cx, cy, n, frames, radius, sway, swell) of linked tracks of enough detections, over all frames of their clip.
 
-def oscillation(tracks: DataFrame, key: str = "clip") -> DataFrame:
-    """(clip, track, score): cover times vertical deviation, less for varying radii and sideways travel."""
-    total = F.max("frames").alias("frames")
-    frames = tracks.groupBy(key).agg(F.countDistinct("frame").alias("frames"))
-    per = tracks.join(frames, key).groupBy(key, "track").agg(total, F.countDistinct("frame").alias("n"), F.stddev_pop("cy").alias("sy"), F.stddev_pop("cx").alias("sx"), (F.stddev_pop("r") / F.avg("r")).alias("rcv"))
-    score = F.col("n") / F.col("frames") * F.col("sy") / ((1 + 3 * F.col("rcv")) * (1 + 2 * F.try_divide(F.col("sx"), F.col("sy"))))
-    return per.select(key, "track", score.alias("score"))
+    Between two detections a track goes straight, beyond its ends it stays where it was; cy is median-filtered over five.
+    radius: the median; sway and swell: the deviations of cx and of the radius, against it. Windows only: each detection is
+    spread over the frames up to the next.
+    """
+    clip, own = Window.partitionBy(key), Window.partitionBy(key, "track")
+    order = own.orderBy("frame")
+    rows = tracks.withColumns({"begin": F.min("frame").over(clip), "finish": F.max("frame").over(clip)})
+    rows = rows.withColumns({
+        "n": F.count("*").over(own), "frames": F.col("finish") - F.col("begin") + 1, "radius": F.greatest(F.percentile("r", 0.5).over(own), F.lit(1e-6)), "sx": F.stddev_pop("cx").over(own), "sr": F.stddev_pop("r").over(own),
+        "next": F.lead(F.struct("frame", "cx", "cy")).over(order), "first": F.row_number().over(order) == 1,
+    })
+    rows = rows.where((F.col("n") >= least) & (F.col("n") >= share * F.col("frames")))
+    reach = F.sequence(F.when(F.col("first"), F.col("begin")).otherwise(F.col("frame")), F.coalesce(F.col("next.frame") - 1, F.col("finish")))
+    each = rows.withColumn("at", F.explode(reach))
+    part = F.greatest(F.coalesce((F.col("at") - F.col("frame")) / (F.col("next.frame") - F.col("frame")), F.lit(0.0)), F.lit(0.0))
+    straight = lambda c: (F.col(c) + part * F.coalesce(F.col(f"next.{c}") - F.col(c), F.lit(0.0))).alias(c)
+    each = each.select(key, "track", F.col("at").alias("frame"), straight("cx"), straight("cy"), "n", "frames", "radius", (F.col("sx") / F.col("radius")).alias("sway"), (F.col("sr") / F.col("radius")).alias("swell"))
+    at = lambda k: F.lag("cy", -k).over(order)
+    # mirrored at the ends, the last value twice
+    five = F.array("cy", F.coalesce(at(-1), F.col("cy")), F.coalesce(at(1), F.col("cy")), F.coalesce(at(-2), at(-1), at(1), F.col("cy")), F.coalesce(at(2), at(1), at(-1), F.col("cy")))
+    return each.withColumn("cy", F.sort_array(five)[2])
+
+
+def scored_tracks(tracks: DataFrame, key: str = "clip", share: float = 0.3, least: int = 8) -> DataFrame:
+    """``filled_tracks`` with reversals and score on each row: how steadily a track swings.
+
+    The score is the cover times the deviation of the filled-in height, less for radii that vary and for sideways travel, and a
+    fiftieth where the height turns less than twice.
+    """
+    own = Window.partitionBy(key, "track")
+    order = own.orderBy("frame")
+    rows = filled_tracks(tracks, key, share, least).withColumn("way", F.signum(F.col("cy") - F.lag("cy").over(order)))
+    before = F.last(F.when(F.col("way") != 0, F.col("way")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    turned = F.coalesce((F.col("way") != 0) & (before != F.col("way")), F.lit(False)).cast("int")
+    rows = rows.withColumn("turned", turned).withColumns({"reversals": F.sum("turned").over(own), "deviation": F.stddev_pop("cy").over(own)})
+    steady = F.col("n") / F.col("frames") * F.col("deviation") / ((1 + 3 * F.col("swell")) * (1 + 2 * F.col("sway")))
+    return rows.withColumn("score", steady * F.when(F.col("reversals") < 2, 0.02).otherwise(1.0)).drop("way", "turned", "deviation", "sway", "swell")
+
+
+def oscillation(tracks: DataFrame, key: str = "clip", share: float = 0.3, least: int = 8) -> DataFrame:
+    """(clip, track, n, reversals, radius, score) of linked tracks (clip, frame, cx, cy, r) that cover enough frames."""
+    return scored_tracks(tracks, key, share, least).groupBy(key, "track").agg(*[F.first(c).alias(c) for c in ("n", "reversals", "radius", "score")])
 
 
 def boxes(rows: DataFrame, step: int, width: int, height: int, key: str = "clip") -> DataFrame:

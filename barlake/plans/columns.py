@@ -155,7 +155,13 @@ def s02(spark, sf):
     return recordings.has_gyro(rows)
 
 
-@query("s04_synthetic_set", "select cast(i as bigint) as i, round(i / 200.0, 6) as t, round(0.8 * pi() * cos(pi() * (i / 200.0)) / 9.80665, 6) + 0.0 as ua_z from (select unnest(range(2001)) as i)", NONE)
+@query("s04_synthetic_set", """p as (select user_id as recording_id, 1 + count(*) % 4 as n_reps, 0.3 + max(value) / 100 as peak, 1.5 + (count(*) % 3) / 2.0 as period from events where value is not null group by user_id),
+    t as (select *, i / 20.0 as t from (select *, unnest(range(cast(floor(n_reps * period * 20 + 1e-9) as bigint) + 1)) as i from p))
+    select recording_id, round(t, 6) as t, round(peak * 2 * pi() / period * cos(2 * pi() / period * t) / 9.80665, 6) + 0.0 as ua_z from t""", NONE)
 def s04(spark, sf):
-    rows = recordings.synthetic_set(spark)
-    return rows.select(F.round(F.col("t") * 200).cast("long").alias("i"), "t", "ua_z")
+    """A recording for each user, whose peak, period and number of reps its events give."""
+    n = F.count("*")
+    sets = read(spark, sf, "events").where("value is not null").groupBy(F.col("user_id").alias("recording_id")).agg(
+        (1 + n % 4).alias("n_reps"), (0.3 + F.max("value") / 100).alias("peak"), (1.5 + (n % 3) / 2.0).alias("period"), F.lit(20.0).alias("fs")
+    )
+    return recordings.synthetic_sets(sets).select("recording_id", "t", "ua_z")

@@ -130,9 +130,9 @@ def j16(spark, sf):
     return series.interpolate(grid, samples).where("y is not null")
 
 
-@query("j18_pairwise_slopes", RANKED + " select a.set_id, a.vendor, a.pos, b.pos as pos2, round((b.value - a.value) / (b.pos - a.pos), 6) + 0.0 as slope from ranked a join ranked b on a.set_id = b.set_id and a.vendor = b.vendor and b.pos > a.pos where a.vendor = 'error'")
+@query("j18_pairwise_slopes", RANKED + " select a.set_id, a.vendor, a.pos, b.pos as pos2, round((b.value - a.value) / (b.pos - a.pos), 6) + 0.0 as slope from ranked a join ranked b on a.set_id = b.set_id and a.vendor = b.vendor and b.pos > a.pos")
 def j18(spark, sf):
-    rows = rm.numbered(reps(spark, sf).where("vendor = 'error'")).select("set_id", "vendor", "pos", "value")
+    rows = rm.numbered(reps(spark, sf)).select("set_id", "vendor", "pos", "value")
     later = rows.select("set_id", "vendor", F.col("pos").alias("pos2"), F.col("value").alias("v2"))
     return rows.join(later, ["set_id", "vendor"]).where("pos2 > pos").select("set_id", "vendor", "pos", "pos2", ((F.col("v2") - F.col("value")) / (F.col("pos2") - F.col("pos"))).alias("slope"))
 

@@ -22,7 +22,14 @@ def _rated(spark, sf):
 
 
 def _detections(spark, sf):
-    return tracks(spark, sf).select("clip", F.col("i").cast("int").alias("frame"), "t", "cx", "cy", F.lit(45.0).alias("r"))
+    """Three detections a frame: the lift, a plate at rest that the values jitter, and one that crosses the picture."""
+    rows, k = tracks(spark, sf), F.col("i")
+    found = F.array(
+        F.struct(F.col("cx"), F.col("cy"), (45 + (F.col("cx") - 320) / 10).alias("r")),
+        F.struct((480 + (F.col("cx") - 320) * 2).alias("cx"), F.lit(390.0).alias("cy"), F.lit(42.0).alias("r")),
+        F.struct((60 + 8.0 * (k % 90)).alias("cx"), (340 + F.col("cx") - 320).alias("cy"), F.lit(36.0).alias("r")),
+    )
+    return rows.select("clip", k.cast("int").alias("frame"), "t", F.inline(found))
 
 
 @query("d01_high_pass")
@@ -61,8 +68,7 @@ def d16(spark, sf):
 def d18(spark, sf):
     sides = F.explode(F.array(F.lit(1), F.lit(2)))
     rows = tracks(spark, sf).where("t is not null").select("clip", sides.alias("side"), "t", "cx", "cy", "target_px", F.lit(None).cast("double").alias("d"), F.lit(0.45).alias("plate_m"), F.lit(800.0).alias("frame_h"))
-    long = tracks(spark, sf).groupBy("clip").agg(F.max("t").alias("end")).where("end >= 2")
-    return traj.bilateral_reps(rows.join(long.select("clip"), "clip", "left_semi"))
+    return traj.bilateral_reps(rows)
 
 
 @query("d19_cycle_reps")
@@ -108,7 +114,7 @@ def d21b(spark, sf):
 
 @query("d22_linked_tracks")
 def d22(spark, sf):
-    return traj.oscillation(traj.link_tracks(_detections(spark, sf)))
+    return traj.oscillation(traj.link_tracks(_detections(spark, sf))).drop("n")
 
 
 @query("d22_auto_counts")
@@ -195,12 +201,20 @@ def f02(spark, sf):
     return traj.jitter_stability(estimates.perturbed_counts(tracks(spark, sf), [-0.1, -0.05, 0.0, 0.05, 0.1]))
 
 
-@query("u06_thinned_detections", """n as (select recording_id % 7 as clip, i as frame, recording_id, (40.0 * (recording_id - 1))::double as cx, 400.0::double as cy, a as score from series where i < 3),
-    e as (select *, row_number() over (partition by clip, frame order by score desc, cx, cy) as r from n) select clip, frame, cx, cy, round(score, 6) as score from e where r = 1""", ("series",))
+@query("u06_thinned_detections", """n as (select recording_id % 7 as clip, i as frame, (23.0 * (recording_id % 10))::double as cx, (31.0 * (recording_id // 10 % 6))::double as cy, (20.0 + recording_id % 40)::double as r, a as score from series),
+    k as (select *, row_number() over (partition by clip, frame order by score desc, cx, cy) as k from n), u as (
+        with recursive w as (
+            select distinct clip, frame, 0 as k, []::struct(cx double, cy double, r double, score double)[] as kept from k
+            union all
+            select w.clip, w.frame, k.k, case when len(list_filter(kept, lambda q: sqrt((q.cx - k.cx) ** 2 + (q.cy - k.cy) ** 2) < 0.5 * greatest(q.r, k.r))) = 0
+                   then list_append(kept, {'cx': k.cx, 'cy': k.cy, 'r': k.r, 'score': k.score}) else kept end
+            from w join k on w.clip = k.clip and w.frame = k.frame and k.k = w.k + 1)
+        select clip, frame, unnest(arg_max(kept, k)) as d from w group by clip, frame)
+    select clip, frame, d.cx as cx, d.cy as cy, d.r as r, round(d.score, 6) as score from u""", ("series",))
 def u06(spark, sf):
-    """All detections of a frame lie within reach of each other, so the best one stays."""
-    rows = series(spark, sf).where("i < 3")
-    return traj.thinned(rows.select((F.col("recording_id") % 7).alias("clip"), F.col("i").cast("int").alias("frame"), (40.0 * (F.col("recording_id") - 1)).alias("cx"), F.lit(400.0).alias("cy"), F.lit(1e9).alias("r"), F.col("a").alias("score"))).drop("r")
+    """Users are the detections of a frame, on a lattice whose steps are within reach of some radii and not of others."""
+    rows, k = series(spark, sf), F.col("recording_id")
+    return traj.thinned(rows.select((k % 7).alias("clip"), F.col("i").cast("int").alias("frame"), (23.0 * (k % 10)).alias("cx"), (31.0 * (F.floor(k / 10) % 6)).alias("cy"), (20.0 + k % 40).alias("r"), F.col("a").alias("score")))
 
 
 @query("s30_board_lines", """g as (select set_id, count(*) filter (where vendor = 'click') as n, count(*) filter (where vendor = 'view') as truth, avg(value) filter (where vendor = 'click') + 1e-9 as m from usable group by set_id),

@@ -141,18 +141,22 @@ def resolved_clips(spark: SparkSession, manifest: DataFrame, folders: list[str])
     return rows.select("filename", "f.path", "sha256", F.col("f").isNotNull().alias("found"), (F.col("f.actual") == F.nullif("sha256", F.lit(""))).alias("intact"))
 
 
-def synthetic_set(spark: SparkSession, n_reps: int = 5, peak: float = 0.8, period: float = 2.0, fs: float = 200.0, noise_g: float = 0.0, seed: int = 0) -> DataFrame:
-    """A motion recording of known velocity: v = peak sin(wt) upwards, gravity along -z, unit attitude."""
-    w = 2 * math.pi / period
-    n = int(n_reps * period * fs) + 1
-    t = F.col("id") / F.lit(float(fs))
-    a = peak * w * F.cos(w * t) / GRAVITY
+def synthetic_sets(sets: DataFrame, noise_g: float = 0.0, seed: int = 0) -> DataFrame:
+    """Motion recordings of known velocity, one for each row (recording_id, n_reps, peak, period, fs): v = peak sin(2 pi t / period) upwards, gravity along -z, unit attitude."""
+    w = F.lit(2 * math.pi) / F.col("period")
+    rows = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_reps") * F.col("period") * F.col("fs") + 1e-9).cast("long"))).alias("_i")).withColumn("t", F.col("_i") / F.col("fs"))
     noise = lambda k: F.randn(seed + k) * noise_g if noise_g else F.lit(0.0)
     zero = [F.lit(0.0).alias(c) for c in ("g_x", "g_y")]
-    return spark.range(n).select(
-        F.lit("synthetic").alias("recording_id"), t.alias("t"), noise(1).alias("ua_x"), noise(2).alias("ua_y"), (a + noise(3)).alias("ua_z"), *zero, F.lit(-1.0).alias("g_z"),
+    return rows.select(
+        "recording_id", "t", noise(1).alias("ua_x"), noise(2).alias("ua_y"), (F.col("peak") * w * F.cos(w * F.col("t")) / GRAVITY + noise(3)).alias("ua_z"), *zero, F.lit(-1.0).alias("g_z"),
         F.lit(1.0).alias("q_w"), *[F.lit(0.0).alias(c) for c in ("q_x", "q_y", "q_z", *IMU_OPTIONAL)],
     )
 
 
-__all__ = ["HEART_RATE", "discover", "files_with_hash", "has_gyro", "heart_rate_line", "landing", "motion_line", "motion_text", "read_heart_rate", "read_motion", "read_sidecar", "resolved_clips", "synthetic_set", "with_utc", "write_heart_rate", "write_motion", "write_session", "write_sidecar"]
+def synthetic_set(spark: SparkSession, n_reps: int = 5, peak: float = 0.8, period: float = 2.0, fs: float = 200.0, noise_g: float = 0.0, seed: int = 0) -> DataFrame:
+    """One such recording."""
+    one = spark.range(1).select(F.lit("synthetic").alias("recording_id"), F.lit(n_reps).alias("n_reps"), F.lit(float(peak)).alias("peak"), F.lit(float(period)).alias("period"), F.lit(float(fs)).alias("fs"))
+    return synthetic_sets(one, noise_g, seed)
+
+
+__all__ = ["HEART_RATE", "discover", "files_with_hash", "has_gyro", "heart_rate_line", "landing", "motion_line", "motion_text", "read_heart_rate", "read_motion", "read_sidecar", "resolved_clips", "synthetic_set", "synthetic_sets", "with_utc", "write_heart_rate", "write_motion", "write_session", "write_sidecar"]

@@ -72,28 +72,29 @@ def test_excursions_of_random_sessions_are_all_found():
         height, seconds = rng.uniform(0.2, 0.7), rng.uniform(1.6, 3.5)
         hills = [(height * rng.uniform(0.9, 1.1), seconds * rng.uniform(0.9, 1.1)) for _ in range(n)]
         wave, bottoms = session(hills, rng.uniform(0.1, 0.3, n))
-        pairs = rec.wave_pairs(wave, 40.0, strip=False)
+        pairs = rec.wave_pairs(wave, 40.0)
         assert len(pairs) == n
         tops = [b + np.argmax(wave[b : b + int(seconds * 50)]) for b in bottoms]
         assert all(abs(got - top) <= 2 for (_, got), top in zip(pairs, tops))
 
 
-def test_ends_are_stripped_and_the_middle_is_not():
-    rng = np.random.default_rng(22)
+def test_ends_are_stripped_and_the_middle_is_not(spark):
+    rng, waves, want = np.random.default_rng(22), {}, {}
     for _ in range(20):
         n, height = int(rng.integers(5, 10)), rng.uniform(0.3, 0.6)
-        body = [(height, 2.2)] * n
-        short = (0.62 * height, 2.2)
-        last, _ = session([*body, short], [0.2] * (n + 1))
-        assert len(rec.wave_pairs(last, 40.0)) == n and len(rec.wave_pairs(last, 40.0, strip=False)) == n + 1
-        first, _ = session([short, *body], [0.2] * (n + 1))
-        assert len(rec.wave_pairs(first, 40.0)) == n
-        lone, _ = session([(height, 2.2), *body], [0.2, 7.0, *[0.2] * (n - 1)])
-        assert len(rec.wave_pairs(lone, 40.0)) == n
-        late, _ = session([*body, (height, 2.2)], [*[0.2] * n, 7.0])
-        assert len(rec.wave_pairs(late, 40.0)) == n + 1
-        inner, _ = session([*body[:2], (0.15 * height, 1.6), *body[2:]], [0.2] * (n + 1))
-        assert len(rec.wave_pairs(inner, 40.0)) == n
+        body, short = [(height, 2.2)] * n, (0.62 * height, 2.2)
+        for hills, pauses, left, found in (
+            ([*body, short], [0.2] * (n + 1), n, n + 1),
+            ([short, *body], [0.2] * (n + 1), n, n + 1),
+            ([(height, 2.2), *body], [0.2, 7.0, *[0.2] * (n - 1)], n, n + 1),
+            ([*body, (height, 2.2)], [*[0.2] * n, 7.0], n + 1, n + 1),
+            ([*body[:2], (0.15 * height, 1.6), *body[2:]], [0.2] * (n + 1), n, n),
+        ):
+            waves[len(waves)], want[len(want)] = session(hills, pauses)[0], (left, found)
+    frame = spark.createDataFrame(pd.concat([pd.DataFrame({"recording_id": k, "t": np.arange(len(w)) / 40.0, "pos": w}) for k, w in waves.items()]))
+    count = lambda df: {r.recording_id: r["count"] for r in df.groupBy("recording_id").count().collect()}
+    assert count(rec.wave_excursions(frame)) == {k: v[0] for k, v in want.items()}
+    assert count(rec.wave_excursions(frame, strip=False)) == {k: v[1] for k, v in want.items()}
     assert rec.wave_pairs(np.ones(50), 40.0) == [] and rec.wave_reps(np.arange(12.0), np.ones(12)) == []
 
 
@@ -113,9 +114,15 @@ def test_amplitude_gate_against_the_rule_step_by_step():
 
 
 def test_signed_mean_cancels_rings():
-    v = np.array([0.2, 0.9, 1.9, -0.6, -0.4, 1.2, 0.8, 0.3])
-    on = np.abs(v) >= 0.19
-    assert rec.active_mean(v) == pytest.approx(abs(v[on].mean())) and rec.active_mean(v) < np.abs(v).mean()
+    """A ring that swings below zero lowers the signed mean of a hill; samples that hardly move are left out."""
+    rng = np.random.default_rng(29)
+    for _ in range(30):
+        hill = rng.uniform(0.5, 1.5) * np.sin(np.linspace(0, np.pi, int(rng.integers(20, 60))))
+        ring = rng.uniform(0.2, 0.4) * hill.max() * np.sin(np.linspace(0, 2 * np.pi * rng.integers(1, 4), int(rng.integers(10, 30))))
+        v = np.concatenate((np.full(5, 1e-3), hill, ring))
+        loud = [x for x in v.tolist() if abs(x) >= max(0.05, 0.1 * max(map(abs, v.tolist())))]
+        assert rec.active_mean(v) == pytest.approx(abs(sum(loud)) / len(loud)) and rec.active_mean(-v) == pytest.approx(rec.active_mean(v))
+        assert rec.active_mean(v) < rec.active_mean(hill)
     assert rec.active_mean(np.zeros(0)) == 0
 
 
@@ -125,7 +132,7 @@ def test_synthetic_set(spark, decouple):
     part = rows.select("t", "a").orderBy("t").toPandas()
     t, a = part["t"].to_numpy(), part["a"].to_numpy()
     assert np.abs(a - 0.8 * np.pi * np.cos(np.pi * t)).max() < 1e-9
-    reps = rec.chain_segments(rows.select("recording_id", "t", "a"), decouple=decouple).toPandas()
+    reps = rec.chain_segments(rows.select("recording_id", "t", "a"), how=rec.DECOUPLED if decouple else rec.Reversals()).toPandas()
     assert abs(len(reps) - 5) <= 1
     assert reps["mean_velocity"].mean() == pytest.approx(0.8 * 2 / np.pi, abs=0.05)
 
@@ -143,19 +150,20 @@ def test_gate_drops_junk(spark):
     assert got["rep"].tolist() == list(range(10)) and set(got["rom"]) == {0.52}
 
 
-def test_strip_windows_agree_with_the_fold(spark):
+def test_strip_windows_agree_with_the_rule(spark):
     rng = np.random.default_rng(4)
     rows, want = [], {}
     for name in range(60):
         n = int(rng.integers(2, 12))
         bottom = np.cumsum(rng.integers(20, 60, n) + np.where(rng.random(n) < 0.2, 300, 0))
-        top = bottom + 10
         amp = np.where(rng.random(n) < 0.3, 0.2, 1.0) + rng.random(n) * 0.01
-        pos = np.zeros(top[-1] + 1)
-        pos[top] = amp
-        pairs = list(zip(bottom.tolist(), top.tolist()))
-        want[name] = rec.strip_pairs(pairs, pos)
-        rows += [(name, b, e, float(v), float(bottom[k + 1] - e) if k + 1 < n else None) for k, ((b, e), v) in enumerate(zip(pairs, amp))]
+        left = [(int(b), int(b) + 10, float(v), float(bottom[k + 1] - b - 10) if k + 1 < n else None) for k, (b, v) in enumerate(zip(bottom, amp))]
+        rows += [(name, *x) for x in left]
+        gaps, middle = np.median([x[3] for x in left[:-1]]), np.median(amp)
+        for at in (-1, 0):  # from the end by size, from the start by size or by what follows
+            while n >= 4 and len(left) > 3 and (left[at][2] < 0.75 * middle or at == 0 and left[0][3] is not None and left[0][3] > 2.5 * gaps):
+                left.pop(at)
+        want[name] = [x[:2] for x in left]
     frame = spark.createDataFrame(rows, "recording_id int, bottom long, top long, amplitude double, gap double")
     got = series.strip_ends(frame).orderBy("recording_id", "bottom").toPandas().groupby("recording_id")[["bottom", "top"]].apply(lambda g: list(zip(g["bottom"], g["top"]))).to_dict()
     assert got == want
@@ -239,3 +247,72 @@ def test_alignment_needs_a_bound(spark, monkeypatch):
     monkeypatch.setattr(rec, "MAX_PAIRS", 10)
     with pytest.raises(ValueError, match="16 pairs"):
         rec.align_all(left.drop("session"), right.drop("session"), 10.0)
+
+
+def nearest_by_all(clip, gap=5, across=0.6, along=2.5, tolerance=0.32):
+    """The rule of association over all tracks ever made, without a grid."""
+    tracks, names = [], {}
+    for frame in sorted({d[0] for d in clip}):
+        free = sorted(d for d in clip if d[0] == frame)
+        for n, tr in enumerate(tracks):
+            if frame - tr["frame"] > gap:
+                continue
+            fits = [d for d in free if abs(d[1] - tr["x"]) <= across * tr["r"] and abs(d[2] - tr["y"]) <= along * tr["r"] and abs(d[3] - tr["r"]) <= tolerance * tr["r"]]
+            if fits:
+                d = min(fits, key=lambda d: (((d[1] - tr["x"]) / across) ** 2 + ((d[2] - tr["y"]) / along) ** 2, d))
+                free.remove(d)
+                names[d] = n
+                tr.update(frame=frame, x=(tr["x"] + d[1]) / 2, y=d[2], r=0.7 * tr["r"] + 0.3 * d[3])
+        for d in free:
+            names[d] = len(tracks)
+            tracks.append({"frame": frame, "x": d[1], "y": d[2], "r": d[3]})
+    return names
+
+
+def test_association_of_crossing_tracks(spark):
+    """Tracks that cross, vanish, come back and differ in radius; the grid changes nothing."""
+    rng, clips = np.random.default_rng(31), {}
+    for name in range(30):
+        found = set()
+        for _ in range(int(rng.integers(1, 9))):
+            x, y, r, vx, vy = rng.uniform(0, 300), rng.uniform(-200, 200), rng.uniform(15, 60), rng.normal(0, 4), rng.normal(0, 15)
+            for frame in range(int(rng.integers(0, 10)), 40):
+                if rng.random() < 0.8:
+                    found.add((frame, round(x + vx * frame + rng.normal(0, 3), 3), round(y + vy * frame + rng.normal(0, 5), 3), round(r * rng.uniform(0.85, 1.15), 3)))
+        clips[name] = sorted(found)
+    frame = spark.createDataFrame([(n, *d) for n, c in clips.items() for d in c], "clip int, frame int, cx double, cy double, r double")
+    got = {}
+    for r in traj.link_tracks(frame.repartition(5)).collect():
+        got.setdefault(r.clip, {})[(r.frame, r.cx, r.cy, r.r)] = r.track
+    assert got == {n: nearest_by_all(c) for n, c in clips.items() if c}
+
+
+def test_stale_tracks_are_forgotten():
+    linker = traj.Linker()
+    for k in range(500):
+        linker.link(10 * k, [(1000.0 * k, 0.0, 10.0)])
+    assert linker.made == 500 and len(linker.live) == 1
+
+
+def test_the_track_that_swings_is_counted(spark):
+    """Beside a still plate and one that drifts by, at other radii, the lifted one is chosen and its reps counted."""
+    from barlake.operators import estimates
+
+    fps, rows = 15.0, []
+    for clip, n in ((1, 4), (2, 7)):
+        for k in range(int(n * 2.0 * fps)):
+            t = k / fps
+            lifted = (320.0 + float(np.sin(k)), 400 - 60 * (1 - float(np.cos(np.pi * t))), 45.0)
+            rows += [(clip, k, t, *d) for d in (lifted, (520.0, 380 + 0.3 * float(np.sin(7.0 * k)), 44.0), (-200 + 12.0 * k, 300.0, 20.0)) if k % 11 or d is not lifted]
+    frame = spark.createDataFrame(rows, "clip int, frame int, t double, cx double, cy double, r double")
+    reps = estimates.auto_counts(frame).groupBy("clip").count().collect()
+    assert {r.clip: r["count"] for r in reps} == {1: 4, 2: 7}
+    assert estimates.auto_counts(frame.where("frame < 5")).isEmpty() and estimates.auto_counts(frame.limit(0)).isEmpty()
+
+
+def test_ends_that_hardly_meet_give_no_reps(spark):
+    side = lambda clip, k, first, n: [(clip, k, (first + i) / 30, 320.0, 400 - 50 * (1 - float(np.cos(2 * np.pi * i / 60))), 90.0, None, 0.45, 800.0) for i in range(n)]
+    rows = side(1, 1, 0, 8) + side(1, 2, 0, 60) + side(2, 1, 0, 200) + side(2, 2, 0, 200) + side(3, 1, 0, 90) + side(4, 1, 0, 60) + side(4, 2, 200, 60)
+    frame = spark.createDataFrame(rows, "clip int, side int, t double, cx double, cy double, target_px double, d double, plate_m double, frame_h double")
+    assert {r.clip for r in traj.bilateral_reps(frame).collect()} == {2}
+    assert {r.clip: r.usable for r in traj.bilateral_overlap(frame).collect()} == {1: False, 2: True, 3: False, 4: False}
