@@ -51,26 +51,64 @@ def zero_phase(x: np.ndarray, hz: float, fs: float, kind: str, pad: int = 9) ->
     return _section(num, den, there[::-1])[::-1][pad:-pad]
 
 
-def peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
-    """Local maxima (the middle of a flat top), thinned by distance with the highest first, then by prominence."""
-    x = np.asarray(x, float)
+def tops(x: np.ndarray) -> np.ndarray:
+    """Local maxima, the middle of a flat one; neither end is one."""
     change = np.flatnonzero(np.diff(x) != 0)
     starts, ends = np.concatenate(([0], change + 1)), np.concatenate((change, [len(x) - 1]))
     level = x[starts]
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1 if len(level) > 2 else np.zeros(0, int)
-    found = (starts[top] + ends[top]) // 2
-    gone = np.zeros(len(found), bool)
-    for k in np.argsort(x[found], kind="stable")[::-1]:
-        if not gone[k]:
-            close = np.abs(found - found[k]) < distance
-            close[k] = False
-            gone |= close
-    found = found[~gone]
-    return np.array([p for p in found if prominence_of(x, p) >= prominence], dtype=int)
+    return (starts[top] + ends[top]) // 2
+
+
+def peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
+    """Local maxima, thinned by distance with the highest first (of equal ones the last), then by prominence."""
+    x = np.asarray(x, float)
+    found = tops(x) if len(x) else np.zeros(0, int)
+    kept = found[~suppressed(found, x[found], distance)]
+    return kept[prominences(x, kept) >= prominence] if len(kept) else kept
+
+
+def suppressed(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the peaks lie within a distance of a higher one that stays; each looks only at its neighbours."""
+    gone, places = np.zeros(len(at), bool), at.tolist()
+    for k in np.argsort(height, kind="stable")[::-1].tolist():
+        if gone[k]:
+            continue
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(places) and abs(places[j] - places[k]) < distance:
+                gone[j] = True
+                j += step
+    return gone
+
+
+def prominences(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Height of each of these local maxima over the higher of the two lowest points on the way to anything higher.
+
+    Between two maxima next to each other only the lowest point counts, so a stack of ever lower maxima needs one pass from
+    either side; the ends count as maxima.
+    """
+    if not len(at):
+        return np.zeros(0)
+    every = np.unique(np.concatenate(([0], tops(x), [len(x) - 1])))
+
+    def bases(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The lowest point back to anything higher, for each maximum."""
+        low, out = np.minimum.reduceat(y, np.concatenate(([0], p[:-1] + 1))).tolist(), []
+        stack: list[tuple[float, float]] = []  # height, and the lowest since what is higher
+        for h, base in zip(y[p].tolist(), low):
+            while stack and stack[-1][0] <= h:
+                base = min(base, stack.pop()[1])
+            out.append(base)
+            stack.append((h, base))
+        return np.array(out)
+
+    base = np.maximum(bases(x, every), bases(x[::-1], len(x) - 1 - every[::-1])[::-1])
+    return x[at] - base[np.searchsorted(every, at)]
 
 
 def prominence_of(x: np.ndarray, p: int) -> float:
-    """Height over the higher of the two lowest points on the way to anything higher."""
+    """Prominence of one sample, by looking both ways for anything higher."""
     left, right = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p + 1 :] > x[p])
     a = left[-1] + 1 if len(left) else 0
     b = p + 1 + right[0] if len(right) else len(x)

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import usable
+from ..functions.slopes import median_slope
+from . import order
 
 KEYS = ("set_id", "vendor")
-#: Most values of a set whose pairwise slopes are taken.
-MAX_SET = 5000
 
 
 def loss_of(values: Column, k: int = 2, tail: Column | None = None) -> Column:
@@ -93,15 +94,16 @@ def numbered(reps: DataFrame, by: Sequence[str] = KEYS, order: str = "rep", desc
 def theil_sen(reps: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """(by..., slope): median of all pairwise slopes over positions; null under two. Groups stay.
 
-    The values of a set become one sorted array, whose pairs are made row by row where it lies: no join, and no second
-    shuffle. A set of more than MAX_SET values raises, since its pairs grow with the square.
+    The values of a set become one sorted array; the median is selected by counting inversions, n log n in a set, so no slope
+    is a row and a set may hold any number of values that fit in an array.
     """
+
+    @F.pandas_udf("double")
+    def slope(sets: pd.Series) -> pd.Series:
+        return pd.Series([median_slope(v) for v in sets], dtype="float64")
+
     sets = reps.groupBy(*by).agg(_ordered(F.col("value"), usable()).alias("v"))
-    size = F.size("v")
-    checked = F.when(size <= MAX_SET, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("a set of more than "), F.lit(MAX_SET), F.lit(" values"))).cast("array<double>"))
-    one = sets.select(*by, checked.alias("v")).select(*by, "v", F.posexplode_outer("v").alias("p", "x"))
-    later = F.transform(F.slice("v", F.coalesce("p", F.lit(0)) + 2, F.greatest(F.size("v"), F.lit(0))), lambda y, j: (y - F.col("x")) / (j + 1))
-    return one.select(*by, F.explode_outer(later).alias("s")).groupBy(*by).agg(F.percentile("s", 0.5).alias("slope"))
+    return sets.select(*by, slope("v").alias("slope")).withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))
 
 
 def paired(reps: DataFrame, source: str, reference: str, key: str = "set_id") -> DataFrame:
@@ -217,10 +219,11 @@ def agreement(reps: DataFrame, preference: Sequence[str]) -> DataFrame:
 
 
 def rom_prior(reps: DataFrame, by: str = "lift") -> DataFrame:
-    """Exact quantiles a lift over positive usable values, with how many reps and sets they rest on."""
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.5, 0.25, 0.75, 0.05, 0.95)]))
-    rows = reps.where(usable() & (F.col("value") > 0) & F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n_reps"), F.countDistinct("set_id").alias("n_sets"), q.alias("q"))
-    return rows.select(by, "n_reps", "n_sets", *[F.col("q")[k].alias(n) for k, n in enumerate(("median", "q25", "q75", "p05", "p95"))])
+    """Exact quantiles a lift over positive usable values, with how many reps and sets they rest on. By places in a sort: a lift may hold any number of reps."""
+    shares = {"median": 0.5, "q25": 0.25, "q75": 0.75, "p05": 0.05, "p95": 0.95}
+    rows = reps.where(usable() & (F.col("value") > 0) & F.col(by).isNotNull()).select(by, "set_id", "value")
+    counts = rows.groupBy(by, "set_id").agg(F.count("*").alias("n")).groupBy(by).agg(F.sum("n").alias("n_reps"), F.count("set_id").alias("n_sets"))
+    return counts.join(order.quantiles(rows, by, "value", shares), by).select(by, "n_reps", "n_sets", *shares)
 
 
 def reference_counts(reps: DataFrame, preference: Sequence[str]) -> DataFrame:
@@ -252,6 +255,14 @@ def leave_one_out(items: DataFrame, group: str, value: str = "value") -> DataFra
     )
 
 
+def leave_one_out_median(items: DataFrame, group: str, value: str = "value") -> DataFrame:
+    """(group, n, others, blind): each group's rows scored by their absolute error from the median of all other groups, for any number of groups in one plan."""
+    others = order.others_median(items, group, value).withColumnRenamed(group, "_g")
+    return items.join(others, F.col(group).eqNullSafe(F.col("_g"))).groupBy(group).agg(
+        F.count(value).alias("n"), F.first("others").alias("others"), F.avg(F.abs(F.col(value) - F.col("others"))).alias("blind")
+    )
+
+
 def leave_one_out_with(items: DataFrame, group: str, fit, score, most: int = 64) -> DataFrame:
     """The general form: fit(DataFrame) gives parameters of any kind, score(DataFrame, parameters) a DataFrame of held-out scores.
 

@@ -197,6 +197,13 @@ def a20(spark, sf):
     return rm.leave_one_out(reps(spark, sf).where(usable()).join(sets(spark, sf), "set_id"), "lift")
 
 
+@query("a20_leave_one_out_median", """o as (select g.user_id, median(e.value) as others from (select distinct user_id from events) g join events e on e.user_id <> g.user_id group by g.user_id)
+    select e.user_id, count(value) as n, round(max(others), 6) as others, round(avg(abs(value - others)), 6) as blind from events e join o on e.user_id = o.user_id group by e.user_id""", ())
+def a20b(spark, sf):
+    """Every user's values against the median of all others'."""
+    return rm.leave_one_out_median(read(spark, sf, "events").select("user_id", "value"), "user_id")
+
+
 @query("a21_blind_delta", LOO + " select round(avg(blind) - avg(in_sample), 6) + 0.0 as delta, count(*) as n_groups from o", ("reps", "usable", "sets"))
 def a21(spark, sf):
     return a20(spark, sf).agg((F.avg("blind") - F.avg("in_sample")).alias("delta"), F.count("*").alias("n_groups"))

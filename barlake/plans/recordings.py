@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import estimates
+from ..functions.signal import butterworth2
+from ..operators import estimates, filters
 from ..operators import recordings as rec
 from ..operators import repmetrics as rm
 from ..operators import trajectories as traj
@@ -32,9 +33,46 @@ def _detections(spark, sf):
     return rows.select("clip", k.cast("int").alias("frame"), "t", F.inline(found))
 
 
-@query("d01_high_pass")
+def _filter_sql(hz: float, fs: float, kind: str) -> str:
+    """The filter sample by sample, forwards and backwards over an odd extension of nine samples."""
+    (b0, b1, b2), (_, a1, a2) = (list(map(float, c)) for c in butterworth2(hz, fs, kind))
+    rest = (b0 + b1 + b2) / (1 + a1 + a2)
+
+    def way(source: str) -> str:
+        step = lambda x, s1, s2: f"{b0!r} * {x} + {s1} as y, {b1!r} * {x} - {a1!r} * ({b0!r} * {x} + {s1}) + {s2} as s1, {b2!r} * {x} - {a2!r} * ({b0!r} * {x} + {s1}) as s2"
+        first = f"({b1 - a1 * rest + b2 - a2 * rest!r} * x)", f"({b2 - a2 * rest!r} * x)"
+        return f"""with recursive w as (select recording_id, i, {step("x", *first)} from {source} where i = 0
+            union all select e.recording_id, e.i, {step("e.x", "w.s1", "w.s2")} from w join {source} e on e.recording_id = w.recording_id and e.i = w.i + 1) select recording_id, i, y from w"""
+
+    return f"""n as (select *, count(*) over (partition by recording_id) as n, first_value(a) over (partition by recording_id order by i) as x0, first_value(a) over (partition by recording_id order by i desc) as x1 from series),
+    p as (select *, least(9, n - 1) as pad from n),
+    e as (select recording_id, i + pad as i, a as x, n + 2 * pad as m from p union all select recording_id, pad - i, 2 * x0 - a, n + 2 * pad from p where i between 1 and pad
+          union all select recording_id, 2 * (n - 1) - i + pad, 2 * x1 - a, n + 2 * pad from p where i between n - 1 - pad and n - 2),
+    f as ({way("e")}), r as (select f.recording_id, m - 1 - f.i as i, f.y as x from f join e on e.recording_id = f.recording_id and e.i = f.i), g as ({way("r")})
+    select p.recording_id, p.i, round(case when n > 1 then g.y else a end, 6) as a from p join g on g.recording_id = p.recording_id and g.i = n + 2 * pad - 1 - (p.i + pad)"""
+
+
+@query("d01_high_pass", _filter_sql(0.5, 50.0, "high"), ("series",))
 def d01(spark, sf):
-    return rec.filtered(_rated(spark, sf), 0.5, "high")
+    """Recordings filtered in blocks of 64 samples, as tasks share a long one."""
+    return filters.zero_phase(series(spark, sf), 0.5, 50.0, "high", block=64)
+
+
+PEAKS = """x as (select recording_id, i, a from series), m as (select *, lag(a) over (partition by recording_id order by i) as b, lead(a) over (partition by recording_id order by i) as c from x),
+    k as (select recording_id, i, a, row_number() over (partition by recording_id order by a desc, i desc) as k from m where a > b and a > c),
+    s as (with recursive w as (select distinct recording_id, 0 as k, []::bigint[] as kept from k
+          union all select w.recording_id, k.k, case when len(list_filter(kept, lambda q: abs(q - k.i) < 4)) = 0 then list_append(kept, k.i) else kept end from w join k on k.recording_id = w.recording_id and k.k = w.k + 1)
+          select recording_id, unnest(arg_max(kept, k)) as i from w group by recording_id),
+    t as (select s.recording_id, s.i, x.a from s join x on x.recording_id = s.recording_id and x.i = s.i),
+    h as (select t.recording_id, t.i, t.a, max(case when o.i < t.i then o.i end) as l, min(case when o.i > t.i then o.i end) as r from t left join x o on o.recording_id = t.recording_id and o.a > t.a group by t.recording_id, t.i, t.a),
+    p as (select h.recording_id, h.i, h.a, h.a - greatest(min(case when o.i <= h.i and o.i > coalesce(h.l, -1) then o.a end), min(case when o.i >= h.i and o.i < coalesce(h.r, 1e18) then o.a end)) as prominence
+          from h join x o on o.recording_id = h.recording_id group by h.recording_id, h.i, h.a)
+    select recording_id, i, round(a, 6) as a, round(prominence, 6) as prominence from p where prominence >= 20"""
+
+
+@query("d02_peaks", PEAKS, ("series",))
+def d02(spark, sf):
+    return rec.find_peaks(series(spark, sf), 4, 20.0)
 
 
 @query("d04_turnarounds")

@@ -4,9 +4,12 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barlake.functions import slopes
+from barlake.operators import order
 from barlake.operators import repmetrics as rm
 
 
@@ -96,16 +99,53 @@ def test_panel_keeps_shape_where_counts_differ(spark):
     assert rm.compare_panel(tagged, "a", "b").first()["aligned"]
 
 
-def test_theil_sen_by_all_pairs(spark, monkeypatch):
+def test_theil_sen_by_all_pairs(spark):
     sets = random_sets(8)
     got = {r["set_id"]: r["slope"] for r in rm.theil_sen(frame_of(spark, sets)).collect()}
     for s, reps in sets.items():
         v = good(reps)
         slopes = [(v[j] - v[i]) / (j - i) for i in range(len(v)) for j in range(i + 1, len(v))]
         assert got[s] == (pytest.approx(statistics.median(slopes)) if slopes else None)
-    monkeypatch.setattr(rm, "MAX_SET", 4)
-    with pytest.raises(Exception, match="a set of more than"):
-        rm.theil_sen(frame_of(spark, sets)).collect()
+
+
+def test_slope_selection(monkeypatch):
+    """By inversions as by all pairs: noise, ties, walks with jumps, equal values; few slopes left to the end or hardly any."""
+    rng = np.random.default_rng(17)
+    monkeypatch.setattr(slopes, "SMALL", 1)
+    for t in range(120):
+        n = int(rng.integers(2, 60))
+        v = (rng.normal(size=n), rng.integers(0, 4, n).astype(float), np.full(n, 2.5), np.cumsum(rng.standard_cauchy(n)))[t % 4]
+        i, j = np.triu_indices(n, 1)
+        want = float(np.median((v[j] - v[i]) / (j - i)))
+        for left in (8, 0.2):
+            monkeypatch.setattr(slopes, "LEFT", left)
+            assert slopes.median_slope(v) == pytest.approx(want, abs=1e-9 * max(1, abs(want)))
+    assert slopes.median_slope(np.zeros(1)) is None
+    n = 200_000
+    assert slopes.median_slope(0.25 * np.arange(n) + rng.normal(size=n)) == pytest.approx(0.25, abs=1e-6)
+
+
+def test_quantiles_by_places(spark):
+    rng = np.random.default_rng(18)
+    groups = {g: np.round(rng.normal(size=n), 1) for g, n in (("a", 1), ("b", 2), ("c", 999), (None, 7))}
+    rows = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("empty", None)], "g string, value double").repartition(7)
+    shares = {"low": 0.05, "middle": 0.5, "high": 0.95, "least": 0.0, "most": 1.0}
+    got = {r.g: [r[n] for n in shares] for r in order.quantiles(rows, "g", "value", shares).collect()}
+    assert got == {g: pytest.approx([float(np.quantile(v, q)) for q in shares.values()]) for g, v in groups.items()}
+    places = order.placed(rows, ["value"], ["g"]).collect()
+    assert sorted((str(r.g), r.place) for r in places) == sorted((str(g), k) for g, n in (("a", 2), ("b", 2), ("c", 999), (None, 7), ("empty", 1)) for k in range(n))
+
+
+def test_median_of_all_other_groups(spark):
+    rng = np.random.default_rng(19)
+    groups = {f"g{k}": np.round(rng.normal(k % 3, 1, int(rng.integers(1, 9))), 1) for k in range(60)} | {"huge": np.full(300, 0.5), None: np.array([9.0])}
+    rows = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("bare", None)], "g string, value double").repartition(5)
+    got = {r.g: (r.others, r.blind) for r in rm.leave_one_out_median(rows, "g").collect()}
+    for g, v in groups.items():
+        others = float(np.median(np.concatenate([w for h, w in groups.items() if h != g])))
+        assert got[g] == (pytest.approx(others), pytest.approx(float(np.abs(v - others).mean())))
+    assert got["bare"][0] == pytest.approx(float(np.median(np.concatenate(list(groups.values()))))) and got["bare"][1] is None
+    assert rm.leave_one_out_median(rows.where("g = 'huge'"), "g").first()["others"] is None
 
 
 def test_constant_side_has_no_correlation(spark):

@@ -316,3 +316,34 @@ def test_ends_that_hardly_meet_give_no_reps(spark):
     frame = spark.createDataFrame(rows, "clip int, side int, t double, cx double, cy double, target_px double, d double, plate_m double, frame_h double")
     assert {r.clip for r in traj.bilateral_reps(frame).collect()} == {2}
     assert {r.clip: r.usable for r in traj.bilateral_overlap(frame).collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_prominences_and_neighbours_against_plain_search():
+    rng = np.random.default_rng(33)
+    for t in range(150):
+        x = np.round(rng.normal(size=int(rng.integers(3, 120))), 1) if t % 2 else np.cumsum(rng.normal(size=80))
+        for distance in (1, 3, 7):
+            found = s.peaks(x, distance)
+            assert s.prominences(x, found).tolist() == pytest.approx([s.prominence_of(x, p) for p in found])
+        at = np.sort(rng.choice(200, 40, replace=False))
+        height, gone = np.round(rng.normal(size=40), 1), np.zeros(40, bool)
+        for k in np.argsort(height, kind="stable")[::-1]:
+            if not gone[k]:
+                gone |= (np.abs(at - at[k]) < 9) & (np.arange(40) != k)
+        assert s.suppressed(at, height, 9).tolist() == gone.tolist()
+    long = np.sin(np.arange(300_000) / 7) + rng.normal(size=300_000) * 0.1
+    assert len(s.peaks(long, 20, 1.0)) == pytest.approx(300_000 / (14 * np.pi), rel=0.02)
+
+
+def test_filter_over_blocks_equals_one_task(spark):
+    """Recordings split over many tasks, of all lengths, with a block that ends at a recording's end."""
+    from barlake.operators import filters
+
+    rng = np.random.default_rng(34)
+    waves = {k: np.cumsum(rng.normal(size=n)) for k, n in enumerate((1, 2, 5, 10, 46, 64, 500, 1003))}
+    rows = spark.createDataFrame(pd.concat([pd.DataFrame({"recording_id": k, "i": np.arange(len(w)), "a": w}) for k, w in waves.items()])).repartition(8)
+    for hz, kind in ((0.5, "high"), (3.0, "low")):
+        got = filters.zero_phase(rows, hz, 50.0, kind, block=64).orderBy("recording_id", "i").toPandas().groupby("recording_id")["a"].apply(list).to_dict()
+        for k, w in waves.items():
+            assert got[k] == pytest.approx(s.zero_phase(w, hz, 50.0, kind).tolist(), abs=1e-9)
+    assert filters.zero_phase(rows.limit(0), 0.5, 50.0, "high").isEmpty()
