@@ -7,14 +7,19 @@
 3. A component's members, in blocks of at most two chunks of ``CHUNK`` (so a large component is split
    over many tasks), are sorted in each trie, and the common prefixes of neighbours tell who meets at what depth. From the
    full depth on, pairs that meet are verified on their whole shingle sets, and the prefix is shortened until the recall
-   reaches the target: as estimated from the pairs found, whose similarity tells how often such pairs meet at that
-   depth, and as guaranteed for pairs at the threshold. A task returns link counts and a spanning forest, never pairs.
+   reaches the target. It is estimated from the pairs found and from those that have not met: how far the whole signatures of
+   such a pair agree tells how likely a pair at the threshold would agree no better, and so many links it may hide. Where
+   only close copies and strangers lie in a block, the first depth is enough; where pairs near the threshold are left, the
+   search goes on to the least depth, at which such pairs meet with the target probability. A task returns link counts and a
+   spanning forest, never pairs.
 4. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +32,8 @@ from .seeds import text_id
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 24, 6
-TARGET_RECALL = 0.9995
+TREES, DEPTH = 24, 7
+TARGET_RECALL = 0.9999
 CHUNK = 96
 
 _rng = np.random.default_rng(5)
@@ -115,6 +120,46 @@ def _common_prefixes(sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield order, np.concatenate(([0], np.minimum.accumulate(same, axis=1).sum(axis=1)))
 
 
+@functools.cache
+def _doubts(threshold: float) -> np.ndarray:
+    """How likely a pair at the threshold has at most k equal values in its signatures, for each k."""
+    n = TREES * DEPTH
+    if threshold >= 1:
+        return (np.arange(n + 1) == n).astype(float)
+    terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(threshold) + (n - k) * math.log1p(-threshold) for k in range(n + 1)]
+    return np.minimum(np.cumsum(np.exp(terms)), 1.0)
+
+
+def shortened(sig: np.ndarray, sets: list[np.ndarray], open_: np.ndarray, floor: int, threshold: float, target: float) -> tuple[list[tuple[int, int]], int]:
+    """Links among the open pairs (a matrix) of some texts, and the depth at which the search came to its end."""
+    tries, pairs = list(_common_prefixes(sig)), []
+    open_ = open_.copy()
+    for depth in range(DEPTH, floor - 1, -1):
+        meet = np.zeros_like(open_)
+        for order, shared in tries:
+            group = np.empty(len(sets), np.int64)
+            group[order] = np.cumsum(shared < depth)
+            meet |= group[:, None] == group[None, :]
+        for a, b in zip(*(x.tolist() for x in np.nonzero(meet & open_))):
+            # both arrays hold distinct values, so repeats in the merged one are common shingles
+            both = np.concatenate((sets[a], sets[b]))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if common >= threshold * (len(both) - common):
+                pairs.append((a, b))
+        open_ &= ~meet
+        if depth == floor:
+            break
+        missing = 0.0
+        left = np.nonzero(open_)
+        for k in range(0, len(left[0]), 1 << 12):
+            a, b = (x[k : k + (1 << 12)] for x in left)
+            missing += float(_doubts(threshold)[(sig[a] == sig[b]).sum(axis=1)].sum())
+        if missing <= (1 - target) * max(len(pairs), 1):
+            break
+    return pairs, depth
+
+
 def _verify(rows: list[dict], floor: int, threshold: float, target: float) -> Iterator[tuple[int, int | None, int | None]]:
     """(node, other, null) for a spanning forest of the verified links in a block, (node, null, links) for counts."""
     seen: dict[int, dict] = {}
@@ -123,11 +168,14 @@ def _verify(rows: list[dict], floor: int, threshold: float, target: float) -> It
     rows = sorted(seen.values(), key=lambda r: r["node"])
     if len(rows) < 2:
         return
-    i, j = rows[0]["i"], rows[0]["j"]
-    tries = list(_common_prefixes(np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint32).reshape(len(rows), -1)))
     chunk = np.array([r["chunk"] for r in rows])
     size = np.array([len(r["sets"]) // 8 for r in rows])
-    sets = [np.frombuffer(r["sets"], dtype=np.uint64) for r in rows]
+    # pairs to be looked at: the larger set is not too large for the threshold, and both chunks have a say
+    open_ = np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size)
+    if rows[0]["i"] != rows[0]["j"]:
+        open_ &= chunk[:, None] != chunk[None, :]
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint32).reshape(len(rows), -1)
+    pairs, _ = shortened(sig, [np.frombuffer(r["sets"], dtype=np.uint64) for r in rows], np.triu(open_, 1), floor, threshold, target)
     links = np.zeros(len(rows), dtype=np.int64)
     parent = list(range(len(rows)))
 
@@ -137,36 +185,13 @@ def _verify(rows: list[dict], floor: int, threshold: float, target: float) -> It
             x = parent[x]
         return x
 
-    # pairs still to be looked at: the larger set is not too large for the threshold, and both chunks have a say
-    open_ = np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size)
-    if i != j:
-        open_ &= chunk[:, None] != chunk[None, :]
-    open_ = np.triu(open_, 1)
-    like: list[float] = []
-    for depth in range(DEPTH, floor - 1, -1):
-        meet = np.zeros_like(open_)
-        for order, shared in tries:
-            group = np.empty(len(rows), np.int64)
-            group[order] = np.cumsum(shared < depth)
-            meet |= group[:, None] == group[None, :]
-        for a, b in zip(*(x.tolist() for x in np.nonzero(meet & open_))):
-            # both arrays hold distinct values, so repeats in the merged one are common shingles
-            both = np.concatenate((sets[a], sets[b]))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if common >= threshold * (len(both) - common):
-                like.append(common / (len(both) - common))
-                links[a] += rows[b]["copies"]
-                links[b] += rows[a]["copies"]
-                x, y = root(a), root(b)
-                if x != y:
-                    parent[y] = x
-                    yield rows[a]["node"], rows[b]["node"], None
-        open_ &= ~meet
-        # a pair found stands for as many as its similarity lets meet
-        estimate = len(like) / sum(1 / meeting(s, depth) for s in like) if like else 1.0
-        if not open_.any() or min(estimate, meeting(threshold, depth)) >= target:
-            break
+    for a, b in pairs:
+        links[a] += rows[b]["copies"]
+        links[b] += rows[a]["copies"]
+        x, y = root(a), root(b)
+        if x != y:
+            parent[y] = x
+            yield rows[a]["node"], rows[b]["node"], None
     for k in np.flatnonzero(links):
         yield rows[k]["node"], None, int(links[k])
 

@@ -158,7 +158,7 @@ def test_jaccard_recall_on_the_tables(spark):
 
 
 def test_prefix_is_shortened_until_the_recall():
-    assert jaccard_join.prefix_depth(0.8, 0.9995) == 5 and jaccard_join.prefix_depth(0.99, 0.9) == jaccard_join.DEPTH and jaccard_join.prefix_depth(0.4, 0.999) < 3
+    assert jaccard_join.prefix_depth(0.8, 0.9999) == 5 and jaccard_join.prefix_depth(0.99, 0.9) == jaccard_join.DEPTH and jaccard_join.prefix_depth(0.4, 0.999) < 3
     rng = np.random.default_rng(37)
     sig = rng.integers(0, 4, (50, jaccard_join.TREES * jaccard_join.DEPTH)).astype(np.uint32)
     for t, (order, shared) in enumerate(jaccard_join._common_prefixes(sig)):
@@ -295,3 +295,56 @@ def test_no_local_folder_on_a_cluster():
 
 def test_word_helper_counts_like_the_pattern():
     assert words("a\x0bb c\x1cd") == ["a", "b", "c\x1cd"]
+
+
+def signed(texts):
+    runs = {k: (sig, s) for k, s, sig in jaccard_join._signature_runs([t.encode() for t in texts])}
+    return np.array([runs[k][0] for k in range(len(texts))]), [runs[k][1] for k in range(len(texts))]
+
+
+def test_prefix_is_shortened_as_far_as_the_recall_asks():
+    """Close copies among strangers end at the full depth; pairs near the threshold that have not met drive the search on; nothing is lost."""
+    rng = random.Random(41)
+    close, near, strangers = [], [], [sentence(rng, 150) for _ in range(30)]
+    for _ in range(12):
+        base = sentence(rng, 200).split()
+        close.append(" ".join(base))
+        close.append(" ".join([*base[:100], "changed", *base[101:]]))
+    for _ in range(60):  # about 0.8 to 0.83 of the shingles are common
+        base = sentence(rng, 200).split()
+        near.append(" ".join(base))
+        for k in (20, 70, 120, 170):
+            base[k] = f"other{k}"
+        near.append(" ".join(base))
+
+    def run(texts, target=jaccard_join.TARGET_RECALL):
+        sig, sets = signed(texts)
+        pairs, depth = jaccard_join.shortened(sig, sets, np.triu(np.ones((len(texts), len(texts)), bool), 1), 5, 0.8, target)
+        truth = {(a, b) for a, b in combinations(range(len(texts)), 2) if (c := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - c)}
+        return set(pairs), truth, depth
+
+    found, truth, depth = run(close + strangers)
+    assert found == truth and len(truth) == 12 and depth == jaccard_join.DEPTH
+    # what has not met at the full depth, and what the estimate makes of it
+    met, truth, depth = run(near + strangers, target=0.5)
+    assert depth == jaccard_join.DEPTH
+    found, truth, depth = run(near + strangers)
+    assert len(truth) >= 55 and found == truth and (depth < jaccard_join.DEPTH) == (len(met) < len(truth))
+    lost = [k for k in range(60) if (2 * k, 2 * k + 1) in truth - met]
+    hard = [t for k in (lost or [0]) for t in near[2 * k : 2 * k + 2]] + strangers
+    found, truth, depth = run(hard)
+    assert found == truth and (not lost or depth < jaccard_join.DEPTH)
+    assert run(strangers)[2] == jaccard_join.DEPTH
+
+
+def test_an_estimate_short_of_the_target_goes_on(monkeypatch):
+    """Signatures that agree well and yet share no prefix: the guarantee of a depth is met, the estimate is not."""
+    n = jaccard_join.TREES * jaccard_join.DEPTH
+    one = np.arange(1, n + 1, dtype=np.uint32)
+    two = one.reshape(jaccard_join.TREES, jaccard_join.DEPTH).copy()
+    two[:, 5] += 1000  # every trie parts at the sixth value: they meet at depth 5 only
+    sig, same = np.stack([one, two.ravel()]), np.arange(100, dtype=np.uint64)
+    open_ = np.array([[False, True], [False, False]])
+    assert jaccard_join.shortened(sig, [same, same], open_, 5, 0.8, 0.9) == ([(0, 1)], 5)
+    far = np.stack([one, one + np.uint32(5000)])
+    assert jaccard_join.shortened(far, [same, same], open_, 5, 0.8, 0.9) == ([], jaccard_join.DEPTH)
