@@ -348,3 +348,17 @@ def test_an_estimate_short_of_the_target_goes_on(monkeypatch):
     assert jaccard_join.shortened(sig, [same, same], open_, 5, 0.8, 0.9) == ([(0, 1)], 5)
     far = np.stack([one, one + np.uint32(5000)])
     assert jaccard_join.shortened(far, [same, same], open_, 5, 0.8, 0.9) == ([], jaccard_join.DEPTH)
+
+
+def test_substring_classes_stand_for_the_pairs_that_are_not_listed(spark):
+    """150 versions of one passage, 8 words of 100 changed in each: not all pairs are listed, but every version stands in the one class; others do not."""
+    rng = random.Random(44)
+    texts = {k + 10: " ".join([sentence(rng, 10), *w, sentence(rng, 10)]) for k, w in enumerate(versions(rng, 150, 100, 8))}
+    pair = sentence(rng, 60)
+    texts |= {300: pair + " " + sentence(rng, 30), 301: sentence(rng, 20) + " " + pair, 302: sentence(rng, 90), 400: texts[10], 501: sentence(rng, 70)}
+    texts[502] = texts[501]
+    rows = substring_dedup.find(frame(spark, texts)).collect()
+    classes: dict = {}
+    for r in rows:
+        classes.setdefault(r["class_id"], set()).update((r["doc_id"], r["other_id"]))
+    assert classes == {10: {*range(10, 160), 400}, 300: {300, 301}, 501: {501, 502}}
