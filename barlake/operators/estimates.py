@@ -256,6 +256,37 @@ def perturbed_counts(tracks: DataFrame, shifts: list[float], key: str = "clip",
     return changed.select(key, "_run").distinct().join(reps, "_run", "left").select(key, F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def seeded_counts(detections: DataFrame, seeds: DataFrame, nudges: list[tuple[float, float]], key: str = "clip", reach: float = 1.0, **options) -> DataFrame:
+    """(key, dx, dy, track, count): the reps that follow from a seed (key, frame, x, y) and from each nudge of it, for ``jitter_stability``.
+
+    Nudges are in radii of the track that the seed itself takes. A seed takes the linked track nearest at its frame, within ``reach`` of
+    that track's radii (of equal ones the earlier); it may take none: track and count are null. A track is counted once,
+    however many nudges take it.
+    """
+    filled = trajectories.filled_tracks(trajectories.link_tracks(detections.select(key, "frame", "cx", "cy", "r"), key), key)
+    there = filled.select(key, "track", "frame", "cx", "cy", "radius").join(seeds.select(key, "frame", "x", "y"), [key, "frame"])
+
+    def taken(rows: DataFrame, x: Column, y: Column, *by: str) -> DataFrame:
+        far = F.sqrt((F.col("cx") - x) ** 2 + (F.col("cy") - y) ** 2)
+        near = rows.withColumn("far", far).where(F.col("far") <= reach * F.col("radius"))
+        return near.groupBy(key, *by).agg(F.min(F.struct("far", "track", "radius")).alias("own")).select(key, *by, "own.track", "own.radius")
+
+    unit = taken(there, F.col("x"), F.col("y")).select(key, F.col("radius").alias("unit"))
+    moved = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("dx"), F.lit(float(b)).alias("dy")) for a, b in nudges])).alias("nudge")
+    tried = seeds.select(key, moved).select(key, "nudge.dx", "nudge.dy")
+    nudged = there.join(unit, key).join(tried, key)
+    found = taken(nudged, F.col("x") + F.col("dx") * F.col("unit"), F.col("y") + F.col("dy") * F.col("unit"), "dx", "dy").drop("radius")
+    times = detections.groupBy(key).agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.min("t").alias("begin"), F.max("t").alias("finish"))
+    step = F.coalesce(F.try_divide(F.col("finish") - F.col("begin"), F.col("last") - F.col("first")), F.lit(0.0))
+    name = F.struct(key, "track").alias("run")
+    used = filled.join(found.select(key, "track").distinct(), [key, "track"]).join(times, key)
+    paths = used.select(name, (F.col("begin") + (F.col("frame") - F.col("first")) * step).alias("t"), "cx", "cy", (PLATE_M / (2 * F.col("radius"))).alias("m_per_px"))
+    numbered = paths.withColumn("run", F.to_json("run"))
+    reps = trajectories.trajectory_reps(numbered, key="run", **{"gate": "relative", **options}).groupBy("run").agg(F.count("*").alias("count"))
+    counted = found.withColumn("run", F.to_json(F.struct(key, "track"))).join(reps, "run", "left").select(key, "dx", "dy", "track", F.coalesce("count", F.lit(0)).alias("count"))
+    return tried.join(counted, [key, "dx", "dy"], "left")
+
+
 def report(rows: DataFrame, columns: dict[str, str], order: list[str], dash: str = "–") -> DataFrame:
     """(n, line) of a table as Markdown: a header, a rule, then the rows in order; columns: name to printf format, null shown as a dash.
 

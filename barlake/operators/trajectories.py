@@ -290,6 +290,37 @@ def merged_legs(legs: DataFrame, key: str = "clip") -> DataFrame:
     return legs.groupBy(key).agg(n.alias("n"), (F.sum(F.col("confidence") * F.col("n")) / n).alias("confidence"), (F.sum(F.col("target_px") * F.col("n")) / n).alias("target_px"), F.max("size_cv").alias("size_cv"))
 
 
+def stitched_legs(legs: DataFrame, seeds: DataFrame, key: str = "clip") -> DataFrame:
+    """(key, t, cx, cy, leg): one trajectory of legs (key, leg, t, cx, cy) that go out from a seed (key, seed_t), by time.
+
+    A leg ``forward`` has the clip's times; one ``backward`` counts seconds back from the seed. The seed's own frame is the forward
+    leg's. A backward leg of under two frames before the seed is left out, unless there is no forward one.
+    """
+    rows = legs.join(seeds.select(key, "seed_t"), key)
+    back = F.col("leg") == "backward"
+    whole = Window.partitionBy(key)
+    before = F.sum((back & (F.col("t") > 1e-9)).cast("int")).over(whole)
+    ahead = F.sum((~back).cast("int")).over(whole)
+    kept = ~back | (ahead == 0) | ((before >= 2) & (F.col("t") > 1e-9))
+    at = F.when(back, F.col("seed_t") - F.col("t")).otherwise(F.col("t"))
+    return rows.withColumn("_kept", kept).where("_kept").select(key, at.alias("t"), "cx", "cy", "leg")
+
+
+def leg_agreement(legs: DataFrame, seeds: DataFrame, targets: DataFrame, key: str = "clip", apart: float = 0.25) -> DataFrame:
+    """(key, shared, rms, agrees): do two legs of whole clips, one run forwards and one backwards, ride the same target?
+
+    legs as in ``stitched_legs``, times of backward ones turned round about the seed; frames meet by their time in microseconds. rms is
+    the root of the mean squared distance, agrees whether it is within a share of the target (key, target_px); both null where no frame is shared.
+    """
+    rows = legs.join(seeds.select(key, "seed_t"), key)
+    back = F.col("leg") == "backward"
+    at = F.when(back, F.col("seed_t") - F.col("t")).otherwise(F.col("t"))
+    pick = lambda c, side: F.max(F.when(side, F.col(c)))
+    met = rows.groupBy(key, F.round(at * 1e6).cast("long").alias("_us")).agg((pick("cx", ~back) - pick("cx", back)).alias("dx"), (pick("cy", ~back) - pick("cy", back)).alias("dy"))
+    far = met.groupBy(key).agg(F.count(F.col("dx") + F.col("dy")).alias("shared"), F.sqrt(F.avg(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("rms"))
+    return far.join(targets.select(key, "target_px"), key, "left").select(key, "shared", "rms", (F.col("rms") <= apart * F.col("target_px")).alias("agrees"))
+
+
 def regularity(reps: DataFrame, key: str = "clip", start: str = "t") -> DataFrame:
     """(clip, n, regularity): 1 / (1 + deviation / mean) of positive gaps between starts; 0 under three reps."""
     gap = F.col(start) - F.lag(start).over(Window.partitionBy(key).orderBy(start))

@@ -5,6 +5,7 @@ Grouped maps of signal steps have no SQL; tests hold them against closed forms.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.signal import butterworth2
@@ -92,8 +93,9 @@ def d09(spark, sf):
 
 @query("d10_velocity_log_reps")
 def d10(spark, sf):
-    v = 0.8 * F.sin(2 * F.pi() * F.col("t") / (1.6 + 0.2 * (F.col("recording_id") % 5)))
-    rows = moves(spark, sf).select("recording_id", "t", v.alias("v"), F.lit(None).cast("double").alias("disp_cm"), F.col("a").alias("acc"))
+    """The values are accelerations, their running sum the velocity."""
+    v = 0.005 * F.sum("a").over(Window.partitionBy("recording_id").orderBy("i"))
+    rows = series(spark, sf).select("recording_id", (F.col("i") / F.lit(20.0)).alias("t"), v.alias("v"), F.lit(None).cast("double").alias("disp_cm"), F.col("a").alias("acc"))
     return rec.velocity_logs(rows)
 
 
