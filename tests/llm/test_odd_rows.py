@@ -362,3 +362,32 @@ def test_substring_classes_stand_for_the_pairs_that_are_not_listed(spark):
     for r in rows:
         classes.setdefault(r["class_id"], set()).update((r["doc_id"], r["other_id"]))
     assert classes == {10: {*range(10, 160), 400}, 300: {300, 301}, 501: {501, 502}}
+
+
+def test_substring_passages_go_on_without_seeds(spark):
+    """300 common words, 200 equal and 100 of which every fourth differs: no seed in those, behind or in front, nor in 300 of them."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+    changed = lambda run: [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(run)]
+    texts, at = {}, {}
+    for k, (head, core, tail) in enumerate([(0, 200, 100), (100, 200, 0), (0, 1200, 300), (300, 1200, 0), (100, 600, 100)]):
+        one, two, three = word(head), word(core), word(tail)
+        texts[2 * k] = " ".join(word(400) + one + two + three + word(400))
+        texts[2 * k + 1] = " ".join(word(30) + changed(one) + two + changed(three) + word(500))
+        at[2 * k] = 400, 400 + head + core + tail
+        at[2 * k + 1] = 30, 30 + head + core + tail
+    rows = substring_dedup.find(frame(spark, texts)).collect()
+    found = {}
+    for r in rows:
+        assert found.setdefault(min(r["doc_id"], r["other_id"]), r) is r
+        for doc, start, end in ((r["doc_id"], r["start"], r["end"]), (r["other_id"], r["other_start"], r["other_end"])):
+            assert abs(start - at[doc][0]) <= 2 and abs(end - at[doc][1]) <= 2, (doc, start, end, at[doc])
+        assert r["similarity"] > 0.9
+    assert sorted(found) == [0, 2, 4, 6, 8]
+    # texts that end while the passage runs, and a text that is nothing but its end
+    run = word(200)
+    short = {0: " ".join(word(50) + run), 1: " ".join(run[:120] + changed(run[120:])), 2: " ".join(run[:60])}
+    got = {(r["doc_id"], r["other_id"]): r for r in substring_dedup.find(frame(spark, short)).collect()}
+    assert {tuple(sorted(k)) for k in got} == {(0, 1), (0, 2), (1, 2)}
+    (pair,) = (r for k, r in got.items() if set(k) == {0, 1})
+    assert {pair["end"] - pair["start"], pair["other_end"] - pair["other_start"]} <= set(range(198, 202))
