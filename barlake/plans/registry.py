@@ -13,7 +13,7 @@ from ..views import CTES
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-MODULES = ("aggregates", "joins", "series", "columns", "recordings", "streams", "storage", "reports")
+MODULES = ("aggregates", "joins", "series", "columns", "recordings", "streams", "storage", "imports", "reports")
 
 
 #: Added before rounding: the tables' two-place values average to exact ties, which engines round differently.

@@ -72,14 +72,18 @@ def test_device_export(spark, tmp_path):
 
 
 def test_counts_decide_alignment(spark):
-    typed = exports.transcribed(spark, [(1, 0.5, 0.8, 0.5, 100.0, 0.0), (2, 0.4, 0.7, 0.5, 90.0, 1.5)], "s", 3)
+    shown = "set_id string, rep_index int, mean_velocity double, peak_velocity double, rom_m double, mean_power double, pause double"
+    screen = spark.createDataFrame([(s, *r) for s in "suv" for r in [(1, 0.5, 0.8, 0.5, 100.0, 0.0), (2, 0.4, 0.7, 0.5, 90.0, 1.5)]], shown)
+    every = exports.transcribed(screen, spark.createDataFrame([("s", 3), ("u", 2)], "set_id string, actual_reps int"))
+    assert every.where("set_id <> 's' and true_rep = rep_index and flag is null").count() == 18
+    typed = every.where("set_id = 's'")
     assert {r["flag"] for r in typed.collect()} == {"undercount"} and typed.where("true_rep is not null").isEmpty() and typed.where("metric = 'pause'").count() == 1
     reps = spark.createDataFrame([("s", "watch_imu", k, 0.5, 0.4) for k in (1, 2)], "set_id string, vendor string, rep int, mean_velocity double, rom double")
     truth = spark.createDataFrame([("s", "2"), ("x", "many")], "set_id string, actual_reps string")
     assert exports.watch_rows(reps, truth).where("true_rep = rep_index and flag is null").count() == 4
     more = exports.watch_rows(reps, truth.withColumn("actual_reps", F.lit("3")))
     assert {(r["true_rep"], r["flag"]) for r in more.collect()} == {(None, "count_mismatch")}
-    drop = exports.remapped(spark.createDataFrame([("s", k) for k in range(1, 6)], "set_id string, rep_index int"), {"s": [1, 2]})
+    drop = exports.remapped(spark.createDataFrame([("s", k) for k in range(1, 6)], "set_id string, rep_index int"), spark.createDataFrame([("s", 1), ("s", 2), ("t", 3)], "set_id string, rep_index int"))
     assert [(r["rep_index"], r["true_rep"]) for r in drop.orderBy("rep_index").collect()] == [(3, 1), (4, 2), (5, 3)]
 
 
