@@ -25,6 +25,8 @@ EVENT = "workout_id string, at timestamp, kind string, set_id string"
 IDLE, LONGEST = "6 hours", "2 hours"
 #: Events of one file of a replay.
 SLICE = 1 << 20
+#: Times of a replay, to the microsecond; without a format Spark writes milliseconds only.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 _RATES = "recording_id string, n long, rate double"
 _SETS = "workout_id string, set_id string, start timestamp, end timestamp"
 
@@ -206,7 +208,7 @@ def replay(rows: DataFrame, at: str, folder: str, slices: int | None = None) ->
             part = part.where(F.unix_micros(at) / F.lit(1e6) >= low)
         if high is not None:
             part = part.where(F.unix_micros(at) / F.lit(1e6) < high)
-        part.coalesce(1).write.mode("append").json(folder)
+        part.coalesce(1).write.mode("append").option("timestampFormat", STAMP).json(folder)
 
 
 def replayed(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, str]], graph: Callable[..., DataFrame], folder: str, mode: str = "append", slices: int | None = None) -> tuple[DataFrame, list]:
