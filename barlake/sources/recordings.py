@@ -96,9 +96,10 @@ def write_sidecar(rows: DataFrame, path: str) -> None:
 
 
 def with_utc(samples: DataFrame, sidecars: DataFrame, key: str = "recording_id") -> DataFrame:
-    """Adds utc: the start plus the uptime since the clock anchor; null without a sidecar or an anchor."""
+    """Adds utc: the start plus the uptime since the clock anchor, to the nearest microsecond; null without a sidecar or an anchor."""
     anchors = sidecars.select(key, "startedAt", "clockAnchorUptimeSeconds")
-    at = F.timestamp_seconds(F.unix_micros("startedAt") / F.lit(1e6) + F.col("t") - F.col("clockAnchorUptimeSeconds"))
+    # in whole microseconds: seconds since 1970 as a double are too coarse
+    at = F.timestamp_micros(F.unix_micros("startedAt") + F.round((F.col("t") - F.col("clockAnchorUptimeSeconds")) * 1e6).cast("long"))
     return samples.join(anchors, key, "left").withColumn("utc", at).drop("startedAt", "clockAnchorUptimeSeconds")
 
 

@@ -22,3 +22,19 @@ def exact(df, columns):
 def test_replay_keeps_microseconds(spark, name):
     rel = connect(SF).sql(plans.oracles()[name])
     assert exact(plans.queries()[name](spark, SF), rel.columns) == sorted(rel.fetchall())
+
+
+def test_sample_utc_to_the_microsecond(spark):
+    rel = connect(SF).sql(plans.oracles()["s03_sample_utc"])
+    got = plans.queries()["s03_sample_utc"](spark, SF)
+    assert {tuple(r) for r in got.select(*rel.columns).collect()} == set(rel.fetchall())
+
+
+def test_with_utc_adds_whole_microseconds(spark):
+    from barlake.sources import recordings
+
+    start = dt.datetime(2026, 6, 15, 10, 0, 0, tzinfo=dt.timezone.utc)
+    cars = spark.createDataFrame([("a", start, 1000.0)], "recording_id string, startedAt timestamp, clockAnchorUptimeSeconds double")
+    times = [1000.000001, 1000.123457, 1002.999999]
+    rows = recordings.with_utc(spark.createDataFrame([("a", t) for t in times], "recording_id string, t double"), cars)
+    assert [r[0] - int(start.timestamp()) * 10**6 for r in rows.orderBy("t").select(F.unix_micros("utc")).collect()] == [1, 123457, 2999999]
