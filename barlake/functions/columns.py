@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import INVALID_FLAGS, LIFT_CODES
 
 GRAVITY = 9.80665
+#: A half that is rounded, or a bound that is reached, but for the rounding of doubles, is one; values of two places average to such ties.
+TIE = 1e-9
 #: Two constants on purpose: each belongs to its own importer.
 LB_KG, KG_LB = 0.45359, 2.2046226
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .columns import TIE
+
 
 def cumulative_area(y: np.ndarray, t: np.ndarray) -> np.ndarray:
     out = np.zeros(len(y))
@@ -61,11 +63,11 @@ def tops(x: np.ndarray) -> np.ndarray:
 
 
 def peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
-    """Local maxima, thinned by distance with the highest first (of equal ones the last), then by prominence."""
+    """Local maxima, thinned by distance with the highest first (of equal ones the last), then by prominence, reached to within TIE."""
     x = np.asarray(x, float)
     found = tops(x) if len(x) else np.zeros(0, int)
     kept = found[~suppressed(found, x[found], distance)]
-    return kept[prominences(x, kept) >= prominence] if len(kept) else kept
+    return kept[prominences(x, kept) >= prominence - TIE] if len(kept) else kept
 
 
 def suppressed(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:

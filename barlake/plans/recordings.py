@@ -59,7 +59,9 @@ def d01(spark, sf):
     return filters.zero_phase(series(spark, sf), 0.5, 50.0, "high", block=64)
 
 
-PEAKS = """x as (select recording_id, i, a from series), m as (select *, lag(a) over (partition by recording_id order by i) as b, lead(a) over (partition by recording_id order by i) as c from x),
+PEAKS = """x as (select recording_id, i, a from series), f as (select *, case when a = lag(a) over (partition by recording_id order by i) then 0 else 1 end as new from x),
+    e as (select *, sum(new) over (partition by recording_id order by i) as run from f), l as (select recording_id, run, max(a) as a, (min(i) + max(i)) // 2 as i from e group by recording_id, run),
+    m as (select *, lag(a) over (partition by recording_id order by run) as b, lead(a) over (partition by recording_id order by run) as c from l),
     k as (select recording_id, i, a, row_number() over (partition by recording_id order by a desc, i desc) as k from m where a > b and a > c),
     s as (with recursive w as (select distinct recording_id, 0 as k, []::bigint[] as kept from k
           union all select w.recording_id, k.k, case when len(list_filter(kept, lambda q: abs(q - k.i) < 4)) = 0 then list_append(kept, k.i) else kept end from w join k on k.recording_id = w.recording_id and k.k = w.k + 1)
@@ -68,7 +70,7 @@ PEAKS = """x as (select recording_id, i, a from series), m as (select *, lag(a)
     h as (select t.recording_id, t.i, t.a, max(case when o.i < t.i then o.i end) as l, min(case when o.i > t.i then o.i end) as r from t left join x o on o.recording_id = t.recording_id and o.a > t.a group by t.recording_id, t.i, t.a),
     p as (select h.recording_id, h.i, h.a, h.a - greatest(min(case when o.i <= h.i and o.i > coalesce(h.l, -1) then o.a end), min(case when o.i >= h.i and o.i < coalesce(h.r, 1e18) then o.a end)) as prominence
           from h join x o on o.recording_id = h.recording_id group by h.recording_id, h.i, h.a)
-    select recording_id, i, round(a, 6) as a, round(prominence, 6) as prominence from p where prominence >= 20"""
+    select recording_id, i, round(a, 6) as a, round(prominence, 6) as prominence from p where prominence >= 20 - 1e-9"""
 
 
 @query("d02_peaks", PEAKS, ("series",))
