@@ -196,7 +196,7 @@ def a29(spark, sf):
 
 
 @query("s29_label_boxes", """b as (select clip, i, least(greatest(cx - 45, 0), 640) as x0, least(greatest(cx + 45, 0), 640) as x1, least(greatest(cy - 45, 0), 480) as y0, least(greatest(cy + 45, 0), 480) as y1 from tracks where i % 15 = 0)
-    select clip, i, printf('0 %.6f %.6f %.6f %.6f', (x0 + x1) / 2 / 640, (y0 + y1) / 2 / 480, (x1 - x0) / 640, (y1 - y0) / 480) as label, case when cast('0x' || substr(md5(cast(clip as varchar)), 1, 8) as bigint) % 5 = 0 then 'val' else 'train' end as split
+    select clip, i, printf('0 %.6f %.6f %.6f %.6f', round((x0 + x1) / 2 / 640, 6), round((y0 + y1) / 2 / 480, 6), round((x1 - x0) / 640, 6), round((y1 - y0) / 480, 6)) as label, case when cast('0x' || substr(md5(cast(clip as varchar)), 1, 8) as bigint) % 5 = 0 then 'val' else 'train' end as split
     from b where x1 - x0 >= 4 and y1 - y0 >= 4""", ("series", "tracks"))
 def s29(spark, sf):
     rows = tracks(spark, sf).select("clip", "i", (F.col("cx") - 45).alias("x0"), (F.col("cx") + 45).alias("x1"), (F.col("cy") - 45).alias("y0"), (F.col("cy") + 45).alias("y1"))
