@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import usable
+from ..functions.columns import TIE
 from ..functions.slopes import median_slope
 from . import order
 
@@ -280,9 +281,9 @@ def leave_one_out_with(items: DataFrame, group: str, fit, score, most: int = 64)
 
 
 def board_cells(reps: DataFrame, places: int = 2) -> DataFrame:
-    """(set_id, vendor, cell): count, a mark if a row says undercount, and the mean of non-phantom rows."""
+    """(set_id, vendor, cell): count, a mark if a row says undercount, and the mean of non-phantom rows, halves up."""
     rows = reps.where(F.coalesce("flag", F.lit("")) != "phantom").groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.max((F.coalesce("flag", F.lit("")) == "undercount").cast("int")).alias("u"))
-    return rows.select(*KEYS, F.concat(F.col("n").cast("string"), F.when(F.col("u") == 1, "!").otherwise(""), F.lit("·"), F.format_string(f"%.{places}f", F.col("m"))).alias("cell"))
+    return rows.select(*KEYS, F.concat(F.col("n").cast("string"), F.when(F.col("u") == 1, "!").otherwise(""), F.lit("·"), F.format_string(f"%.{places}f", F.round(F.col("m") + TIE, places))).alias("cell"))
 
 
 def noise_fused(reps: DataFrame, one: str, two: str) -> DataFrame:

@@ -282,7 +282,7 @@ def a37(spark, sf):
     return rows.groupBy("provenance").agg(F.count("*").alias("n"), rm.weighted_mean(F.col("value"), lift_weight(code)).alias("weighted"), F.avg("value").alias("plain"))
 
 
-@query("a38_board_cells", "select set_id, vendor, concat(count(*), '·', cast(cast(round(avg(value)) as bigint) as varchar)) as cell from reps where flag <> 'phantom' group by set_id, vendor", ("reps",))
+@query("a38_board_cells", "select set_id, vendor, concat(count(*), '·', cast(cast(round(avg(value) + 1e-9) as bigint) as varchar)) as cell from reps where flag <> 'phantom' group by set_id, vendor", ("reps",))
 def a38(spark, sf):
     return rm.board_cells(reps(spark, sf), places=0)
 
