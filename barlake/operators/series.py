@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.columns import TIE
+
 KEY = "recording_id"
 
 
@@ -102,11 +104,11 @@ def gate_reps(reps: DataFrame, by: str = KEY, rom: str = "rom", mv: str = "mean_
 
 
 def active_mean(value: Column, peak: Column, fraction: float = 0.1, floor: float = 0.05) -> tuple[Column, Column]:
-    """(aggregate, fallback): |mean of signed values whose size reaches max(floor, fraction * peak)|, and of all where none does.
+    """(aggregate, fallback): |mean of signed values whose size reaches max(floor, fraction * peak) to within TIE|, and of all where none does.
 
     peak: the group's greatest size, on each row.
     """
-    on = F.abs(value) >= F.greatest(F.lit(floor), fraction * peak)
+    on = F.abs(value) >= F.greatest(F.lit(floor), fraction * peak) - TIE
     return F.abs(F.avg(F.when(on, value))), F.abs(F.avg(value))
 
 

@@ -88,7 +88,7 @@ def a23(spark, sf):
     return ops.gate_reps(rows, by="set_id", order="original").select("set_id", "original", "rep", "rom")
 
 
-@query("a24_active_mean", "p as (select *, max(abs(a)) over (partition by recording_id) as peak from series) select recording_id, round(abs(avg(case when abs(a) >= greatest(0.05, 0.1 * peak) then a end)), 6) as mean_velocity, round(max(peak), 6) as peak_velocity from p group by recording_id", ONE)
+@query("a24_active_mean", "p as (select *, max(abs(a)) over (partition by recording_id) as peak from series) select recording_id, round(abs(avg(case when abs(a) >= greatest(0.05, 0.1 * peak) - 1e-9 then a end)), 6) as mean_velocity, round(max(peak), 6) as peak_velocity from p group by recording_id", ONE)
 def a24(spark, sf):
     return ops.concentric_velocity(series(spark, sf), ["recording_id"], "a")
 
