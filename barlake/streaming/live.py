@@ -16,6 +16,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 HEART = "workout_id string, utc timestamp, bpm double"
@@ -28,6 +29,7 @@ SLICE = 1 << 20
 #: Times of a replay, to the microsecond; without a format Spark writes milliseconds only.
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 _RATES = "recording_id string, n long, rate double"
+_RATE_STATE = "n long, first double, last double, seen long"
 _SETS = "workout_id string, set_id string, start timestamp, end timestamp"
 
 
@@ -75,24 +77,30 @@ class _Timed(StatefulProcessor):
         pass
 
 
-class _Rate(_Timed):
-    """Count, first and last time of a recording."""
+def _rate(idle: str) -> Callable:
+    """Count, first and last time of a recording; its state comes with the rows, many recordings a batch."""
+    wait = pd.Timedelta(idle)
 
-    shape = "n long, first double, last double, seen timestamp"
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        n, first, last, seen = self.value.get() if self.value.exists() else (0, math.inf, -math.inf, None)
-        for part in rows:
-            if seen is not None and part["utc"].min() > pd.Timestamp(seen) + self.wait:  # its timer would have rung before
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, first, last, seen = state.get if state.exists else (0, math.inf, -math.inf, None)
+        seen = None if seen is None else pd.Timestamp(seen, unit="us")
+        for part in parts:
+            if seen is not None and part["utc"].min() > seen + wait:  # its time would have been up before
                 n, first, last = 0, math.inf, -math.inf
-            n, first, last, seen = n + len(part), min(first, part["t"].min()), max(last, part["t"].max()), part["utc"].max() if seen is None else max(pd.Timestamp(seen), part["utc"].max())
-        self.keep((int(n), float(first), float(last), seen.to_pydatetime()), _ms(seen + self.wait), timerValues)
+            n, first, last, seen = n + len(part), min(first, part["t"].min()), max(last, part["t"].max()), part["utc"].max() if seen is None else max(seen, part["utc"].max())
+        state.update((int(n), float(first), float(last), seen.value // 1000))
+        state.setTimeoutTimestamp(max(_ms(seen + wait), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"recording_id": [key[0]], "n": [n], "rate": [(n - 1) / (last - first) if last > first else None]})
 
+    return step
+
 
 def motion_rate(stream: DataFrame, delay: str = "10 minutes", idle: str = IDLE) -> DataFrame:
     """(recording_id, n, rate) so far, for each recording that a batch adds to (update mode); one that was silent for ``idle`` is counted anew, and its state goes when the watermark is that far."""
-    return stream.withWatermark("utc", delay).groupBy("recording_id").transformWithStateInPandas(_Rate(idle), _RATES, "Update", "EventTime")
+    return stream.select("recording_id", "utc", "t").withWatermark("utc", delay).groupBy("recording_id").applyInPandasWithState(_rate(idle), _RATES, _RATE_STATE, "update", "EventTimeTimeout")
 
 
 class _Sets(_Timed):
