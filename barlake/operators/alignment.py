@@ -3,7 +3,8 @@
 A correlation of two standardised series at any lag is an integral over frequency of the product of their spectra. By
 Cauchy-Schwarz, band by band, its size is at most the sum over bands of the roots of both energies there, over the shorter
 length. The roots of a series' band energies are its sketch, so an inner product of two sketches bounds all lags at once;
-the greatest roots of a block of sketches bound all its pairs with another block. What a bound rules out cannot reach it:
+the greatest roots of a block of sketches bound all its pairs with another block. Blocks that may hold a pair meet with their
+series, whose spectra serve all pairs of the two. What a bound rules out cannot reach it:
 the result is that of all pairs.
 """
 
@@ -13,10 +14,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import signal as s
 from ..session import shared_folder
@@ -25,6 +26,8 @@ from .order import placed
 
 #: Bands of a sketch, narrower towards slow movement, and sketches of a block.
 BANDS, BLOCK = 64, 256
+#: Samples of a block (a longer series is a block of its own), and values that are transformed at once.
+SAMPLES, FLAT = 1 << 17, 1 << 21
 EDGES = np.pi * (np.arange(BANDS + 1) / BANDS) ** 2
 
 
@@ -62,10 +65,15 @@ def sketches(rows: DataFrame, key: str, hz: float, on: str | None = None) -> Dat
 
 
 def _blocks(made: DataFrame, side: str) -> DataFrame:
-    """(on, side, ids, ns, roots, most, mean): blocks of like sketches; most and mean are the greatest root, and root over length, of each band."""
-    rows = placed(made.select("on", "peak", "n", "id", "sketch"), ["peak", "n", "id"], ["on"]).where("on is not null")
-    one = F.collect_list(F.struct("id", "n", "sketch"))
-    held = rows.groupBy("on", F.floor(F.col("place") / BLOCK).alias(side)).agg(one.alias("rows"))
+    """(on, class, side, ids, keys, ns, roots, ys, most, mean): blocks of like sketches, with their series one behind the other.
+
+    most and mean are the greatest root, and root over length, of each band. Series meet in classes by the bits of their length, so
+    that a block of long ones holds fewer.
+    """
+    size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"shiftright({SAMPLES}, class)"))).cast("long")
+    rows = placed(made.select("on", F.length(F.bin("n")).alias("class"), "peak", "n", "id"), ["peak", "n", "id"], ["on", "class"]).where("on is not null")
+    full = rows.select("on", "class", "id", F.floor(F.col("place") / size).alias(side)).join(made.select("id", "key", "n", "sketch", "y"), "id")
+    held = full.groupBy("on", "class", side).agg(F.collect_list(F.struct("id", "key", "n", "sketch", "y")).alias("rows"))
 
     def greatest(scaled: bool) -> Column:
         def take(most: Column, row: Column) -> Column:
@@ -73,9 +81,10 @@ def _blocks(made: DataFrame, side: str) -> DataFrame:
 
         return F.aggregate("rows", F.array_repeat(F.lit(0.0), BANDS), take)
 
+    part = lambda c: F.transform("rows", lambda r: r[c])
     return held.select(
-        "on", side, F.transform("rows", lambda r: r["id"]).alias(f"ids_{side}"), F.transform("rows", lambda r: r["n"]).alias(f"ns_{side}"),
-        F.flatten(F.transform("rows", lambda r: r["sketch"])).alias(f"roots_{side}"), greatest(False).alias(f"most_{side}"), greatest(True).alias(f"mean_{side}"),
+        "on", F.col("class").alias(f"class_{side}"), side, part("id").alias(f"ids_{side}"), part("key").alias(f"keys_{side}"), part("n").alias(f"ns_{side}"),
+        F.flatten(part("sketch")).alias(f"roots_{side}"), F.flatten(part("y")).alias(f"ys_{side}"), greatest(False).alias(f"most_{side}"), greatest(True).alias(f"mean_{side}"),
     )
 
 
@@ -83,50 +92,97 @@ def _inner(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b): ids of the pairs of ``sketches`` within a session that may correlate by ``least``.
+def _met(left: DataFrame, right: DataFrame, least: float, columns: list[str]) -> DataFrame:
+    """These columns of both blocks (named with their sides) of each two blocks within a session that may hold a pair which correlates by ``least``.
 
-    Blocks meet blocks by number, first by their bounds alone; the sketches of those left are multiplied block by block.
+    Blocks meet blocks by number, by their bounds alone; only those left bring their arrays, a few a task.
     """
-    floor = least - 1e-9
-    folder = f"{shared_folder(left.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    spark = left.sparkSession
+    folder = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
     for rows, side in ((left, "a"), (right, "b")):
         _blocks(rows, side).write.parquet(f"{folder}/{side}")
-    one, two = (left.sparkSession.read.parquet(f"{folder}/{side}") for side in "ab")
-    last = two.groupBy("on").agg(F.max("b").alias("last"))
-    bounds = one.select("on", "a", "most_a", "mean_a").join(last, "on").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    bounds = bounds.join(two.select("on", "b", "most_b", "mean_b"), ["on", "b"]).where(F.greatest(_inner("mean_a", "most_b"), _inner("most_a", "mean_b")) >= floor)
-    met = bounds.select("on", "a", "b").join(one.select("on", "a", "ids_a", "ns_a", "roots_a"), ["on", "a"]).join(two.select("on", "b", "ids_b", "ns_b", "roots_b"), ["on", "b"])
+    one, two = (spark.read.parquet(f"{folder}/{side}") for side in "ab")
+    last = two.groupBy("on", "class_b").agg(F.max("b").alias("last"))
+    bounds = one.select("on", "class_a", "a", "most_a", "mean_a").join(last, "on").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    bounds = bounds.join(two.select("on", "class_b", "b", "most_b", "mean_b"), ["on", "class_b", "b"]).where(F.greatest(_inner("mean_a", "most_b"), _inner("most_a", "mean_b")) >= least - 1e-9)
+    bounds.select("on", "class_a", "a", "class_b", "b").write.parquet(f"{folder}/met")
+    met = spark.read.parquet(f"{folder}/met")
+    count = met.count()
+    for rows, keys, side in ((one, ["on", "class_a", "a"], "a"), (two, ["on", "class_b", "b"], "b")):
+        met = met.join(rows.select(*keys, *[f"{c}_{side}" for c in columns]), keys)
+    # little to read but much to compute: the parts follow from the meetings, not from bytes
+    parts = max(1, min(count, max(4 * spark.sparkContext.defaultParallelism, count // 8)))
+    return met.select(*[f"{c}_{side}" for side in "ab" for c in columns]).repartition(parts)
+
+
+def _bounded(ns_a: np.ndarray, roots_a: np.ndarray, ns_b: np.ndarray, roots_b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of two blocks may correlate by ``least``."""
+    return roots_a.reshape(-1, BANDS) @ roots_b.reshape(-1, BANDS).T / np.minimum(ns_a[:, None], ns_b[None, :]) >= least - 1e-9
+
+
+def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): ids of the pairs of ``sketches`` within a session that may correlate by ``least``; sketches are multiplied block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids_a, ns_a, roots_a, ids_b, ns_b, roots_b = (batch.column(k)[row].values.to_numpy() for k in range(6))
-                bound = roots_a.reshape(-1, BANDS) @ roots_b.reshape(-1, BANDS).T / np.minimum(ns_a[:, None], ns_b[None, :])
-                i, j = np.nonzero(bound >= floor)
+                i, j = np.nonzero(_bounded(ns_a, roots_a, ns_b, roots_b, least))
                 yield pa.RecordBatch.from_arrays([pa.array(ids_a[i]), pa.array(ids_b[j])], names=["a", "b"])
 
-    return met.select("ids_a", "ns_a", "roots_a", "ids_b", "ns_b", "roots_b").mapInArrow(run, "a long, b long")
+    return _met(left, right, least, ["ids", "ns", "roots"]).mapInArrow(run, "a long, b long")
+
+
+def _standardised(ns: np.ndarray, ys: np.ndarray, backwards: bool = False) -> np.ndarray:
+    """Series of a block as rows, standardised, zeros behind them; backwards: mirrored, zeros before them."""
+    out, at = np.zeros((len(ns), int(ns.max()))), np.cumsum(ns) - ns
+    for row, a, n in zip(out, at.tolist(), ns.tolist()):
+        x = ys[a : a + n]
+        row[:n] = (x - x.mean()) / (x.std() + 1e-9)
+    return out[:, ::-1] if backwards else out
+
+
+def best_lags(ns_a: np.ndarray, ys_a: np.ndarray, ns_b: np.ndarray, ys_b: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, r, lag) of the wanted pairs of two blocks, as ``signal.correlate_lags`` of each; every series is transformed once for many pairs."""
+    x, y = _standardised(ns_a, ys_a), _standardised(ns_b, ys_b, True)
+    n = x.shape[1] + y.shape[1] - 1
+    size = 1 << (n - 1).bit_length()
+    step = max(1, FLAT // size)
+    for begin in range(0, len(y), step):
+        spectra = np.fft.rfft(y[begin : begin + step], size)
+        for i in np.flatnonzero(wanted[:, begin : begin + step].any(axis=1)).tolist():
+            j = np.flatnonzero(wanted[i, begin : begin + step])
+            c = np.fft.irfft(spectra[j] * np.fft.rfft(x[i], size), size)[:, :n]
+            k = np.abs(c).argmax(axis=1)
+            yield np.full(len(j), i), begin + j, c[np.arange(len(j)), k] / np.minimum(ns_a[i], ns_b[begin + j]), k - (y.shape[1] - 1)
 
 
 def align_above(left: DataFrame, right: DataFrame, least: float, hz: float = 50.0, on: str | None = None) -> DataFrame:
     """(recording_id, clip, r, lag) of every series (recording_id, t, y) and track (clip, t, y) whose best cross-correlation is at least ``least`` in size.
 
-    These are the rows of ``recordings.align_all`` with abs(r) >= least, without its bound on pairs: arrays of pairs that the
-    sketches rule out never meet. on: a column of both within which they meet (null: nowhere). Samples of null t or y
+    These are the rows of ``recordings.align_all`` with abs(r) >= least, without its bound on pairs: pairs that the
+    sketches rule out are not correlated. on: a column of both within which they meet (null: nowhere). Samples of null t or y
     are left out, and so are series without a second grid point.
     """
     if not least > 0:
         raise ValueError("least must be over 0, since any pair reaches 0; align_all lists all pairs")
     a, b = sketches(left, "recording_id", hz, on), sketches(right, "clip", hz, on)
 
-    @F.pandas_udf("r double, lag int")
-    def best(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([s.correlate_lags(np.asarray(p), np.asarray(q)) for p, q in zip(x, y)], columns=["r", "lag"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys_a, ns_a, roots_a, ys_a, keys_b, ns_b, roots_b, ys_b = (batch.column(k)[row].values for k in range(8))
+                ns_a, roots_a, ys_a, ns_b, roots_b, ys_b = (c.to_numpy() for c in (ns_a, roots_a, ys_a, ns_b, roots_b, ys_b))
+                found = list(best_lags(ns_a, ys_a, ns_b, ys_b, _bounded(ns_a, roots_a, ns_b, roots_b, least)))
+                if not found:
+                    continue
+                i, j, r, lag = (np.concatenate(c) for c in zip(*found))
+                on = np.abs(r) >= least
+                columns = [keys_a.take(pa.array(i[on])), keys_b.take(pa.array(j[on])), pa.array(r[on]), pa.array(lag[on].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["recording_id", "clip", "r", "lag"])
 
-    pairs = candidates(a, b, least)
-    both = pairs.join(a.select(F.col("id").alias("a"), F.col("key").alias("recording_id"), F.col("y").alias("x")), "a").join(b.select(F.col("id").alias("b"), F.col("key").alias("clip"), "y"), "b")
-    return both.select("recording_id", "clip", best("x", "y").alias("f")).select("recording_id", "clip", "f.r", "f.lag").where(F.abs("r") >= least)
+    shape = StructType([StructField("recording_id", a.schema["key"].dataType), StructField("clip", b.schema["key"].dataType), *StructType.fromDDL("r double, lag int").fields])
+    return _met(a, b, least, ["keys", "ns", "roots", "ys"]).mapInArrow(run, shape)
 
 
-__all__ = ["align_above", "candidates", "sketch", "sketches"]
+__all__ = ["align_above", "best_lags", "candidates", "sketch", "sketches"]

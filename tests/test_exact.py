@@ -92,3 +92,19 @@ def test_velocity_logs_are_packed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(imports, "shared_folder", lambda _: str(tmp_path))
     assert imports.velocity_logs(spark, SF).count() == read(spark, SF, "events").count()
     assert 0 < len(list(tmp_path.rglob("part-*[!c]"))) <= 4 < read(spark, SF, "events").select("user_id").distinct().count()
+
+
+def test_block_lags_are_those_of_each_pair(monkeypatch):
+    from barlake.functions import signal
+    from barlake.operators import alignment
+
+    rng = np.random.default_rng(3)
+    left, right = ([np.cumsum(rng.normal(size=int(n))) for n in rng.integers(1, 90, 12)] for _ in "ab")
+    sizes, flat = lambda many: np.array([len(x) for x in many]), np.concatenate
+    wanted = rng.random((12, 12)) < 0.7
+    monkeypatch.setattr(alignment, "FLAT", 1 << 10)  # several rounds of spectra
+    found = {(i, j): (r, lag) for part in alignment.best_lags(sizes(left), flat(left), sizes(right), flat(right), wanted) for i, j, r, lag in zip(*part)}
+    assert set(found) == set(zip(*np.nonzero(wanted)))
+    for (i, j), (r, lag) in found.items():
+        one, at = signal.correlate_lags(left[i], right[j])
+        assert r == pytest.approx(one, abs=1e-9) and (lag == at or abs(one) < 1e-9)
