@@ -108,3 +108,11 @@ def test_block_lags_are_those_of_each_pair(monkeypatch):
     for (i, j), (r, lag) in found.items():
         one, at = signal.correlate_lags(left[i], right[j])
         assert r == pytest.approx(one, abs=1e-9) and (lag == at or abs(one) < 1e-9)
+
+
+def test_windows_of_tracks_share_a_sort(spark):
+    from barlake.operators import trajectories as traj
+
+    tracks = spark.createDataFrame([(1, 0, k, 1.0, 2.0, 3.0) for k in range(20)], "clip long, track int, frame int, cx double, cy double, r double")
+    plan = traj.filled_tracks(tracks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2  # linked rows, then filled ones
