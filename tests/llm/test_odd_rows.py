@@ -391,3 +391,27 @@ def test_substring_passages_go_on_without_seeds(spark):
     assert {tuple(sorted(k)) for k in got} == {(0, 1), (0, 2), (1, 2)}
     (pair,) = (r for k, r in got.items() if set(k) == {0, 1})
     assert {pair["end"] - pair["start"], pair["other_end"] - pair["other_start"]} <= set(range(198, 202))
+
+
+def test_substring_lists_all_pairs_of_large_groups(spark, monkeypatch):
+    """150 versions of one passage, 8 words of 100 changed in each on its own, are linked all to all, but for two that share a third one's words; so are 40 where their keys are split."""
+    rng = random.Random(46)
+    base = sentence(rng, 100).split()
+    made = []
+    for k in range(150):
+        made.append(list(base))
+        for p in rng.sample(range(100), 8):
+            made[k][p] = f"e{k}n{p}"
+    texts = {k: " ".join([sentence(rng, 20), *w, sentence(rng, 20)]) for k, w in enumerate(made)}
+    equal = lambda a, b: max(len(run) for run in "".join(".x"[x != y] for x, y in zip(made[a], made[b])).split("x"))
+
+    def missed(n):
+        got = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in substring_dedup.find(frame(spark, {k: texts[k] for k in range(n)})).collect()}
+        rest = set(combinations(range(n), 2)) - got
+        assert all(equal(a, b) >= 50 and any({tuple(sorted((a, c))), tuple(sorted((b, c)))} <= got for c in range(n)) for a, b in rest)
+        return len(rest)
+
+    assert missed(150) < 10
+    for name, value in (("HOT", 12), ("SAMPLED", 2), ("GROUP", 8), ("ROUND", 300)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    assert substring_dedup.frequent_keys(frame(spark, texts)) and missed(40) < 10
