@@ -251,9 +251,8 @@ def watch_ingest(samples: DataFrame, truth: DataFrame, old: DataFrame) -> DataFr
 def perturbed_counts(tracks: DataFrame, shifts: list[float], key: str = "clip", **options) -> DataFrame:
     """(key, count) of each track (key, t, cx, cy, m_per_px) counted anew at each relative change of its scale, for jitter_stability."""
     changed = tracks.withColumn("_shift", F.explode(F.array(*[F.lit(float(x)) for x in shifts])))
-    changed = changed.withColumn("m_per_px", F.col("m_per_px") * (1 + F.col("_shift"))).withColumn("_run", F.concat_ws("\u0001", F.col(key).cast("string"), F.col("_shift").cast("string")))
-    reps = trajectories.trajectory_reps(changed, key="_run", **options).groupBy("_run").agg(F.count("*").alias("count"))
-    return changed.select(key, "_run").distinct().join(reps, "_run", "left").select(key, F.coalesce("count", F.lit(0)).alias("count"))
+    changed = changed.withColumn("m_per_px", F.col("m_per_px") * (1 + F.col("_shift")))
+    return trajectories.trajectory_counts(changed, [key, "_shift"], **options).select(key, "count")
 
 
 def seeded_counts(detections: DataFrame, seeds: DataFrame, nudges: list[tuple[float, float]], key: str = "clip", reach: float = 1.0, **options) -> DataFrame:
@@ -264,27 +263,27 @@ def seeded_counts(detections: DataFrame, seeds: DataFrame, nudges: list[tuple[fl
     however many nudges take it.
     """
     filled = trajectories.filled_tracks(trajectories.link_tracks(detections.select(key, "frame", "cx", "cy", "r"), key), key)
-    there = filled.select(key, "track", "frame", "cx", "cy", "radius").join(seeds.select(key, "frame", "x", "y"), [key, "frame"])
-
-    def taken(rows: DataFrame, x: Column, y: Column, *by: str) -> DataFrame:
-        far = F.sqrt((F.col("cx") - x) ** 2 + (F.col("cy") - y) ** 2)
-        near = rows.withColumn("far", far).where(F.col("far") <= reach * F.col("radius"))
-        return near.groupBy(key, *by).agg(F.min(F.struct("far", "track", "radius")).alias("own")).select(key, *by, "own.track", "own.radius")
-
-    unit = taken(there, F.col("x"), F.col("y")).select(key, F.col("radius").alias("unit"))
-    moved = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("dx"), F.lit(float(b)).alias("dy")) for a, b in nudges])).alias("nudge")
-    tried = seeds.select(key, moved).select(key, "nudge.dx", "nudge.dy")
-    nudged = there.join(unit, key).join(tried, key)
-    found = taken(nudged, F.col("x") + F.col("dx") * F.col("unit"), F.col("y") + F.col("dy") * F.col("unit"), "dx", "dy").drop("radius")
     times = detections.groupBy(key).agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.min("t").alias("begin"), F.max("t").alias("finish"))
+    given = seeds.groupBy(key).agg(F.collect_list(F.struct("frame", "x", "y")).alias("seeds"))
+    # what the seeds take is told to all rows of the clip by windows, so that the tracks are made once: every branch would link anew
+    rows, whole = filled.join(times, key).join(given, key), Window.partitionBy(key)
+
+    def taken(dx: Column, dy: Column) -> Column:
+        far = lambda s: F.sqrt((F.col("cx") - (s["x"] + dx)) ** 2 + (F.col("cy") - (s["y"] + dy)) ** 2)
+        nearest = F.array_min(F.transform(F.filter("seeds", lambda s: s["frame"] == F.col("frame")), far))
+        return F.min(F.when(nearest <= reach * F.col("radius"), F.struct(nearest.alias("far"), "track", "radius"))).over(whole)
+
+    rows = rows.withColumn("unit", taken(F.lit(0.0), F.lit(0.0))["radius"])
+    names = [f"own{k}" for k in range(len(nudges))]
+    rows = rows.withColumns({n: taken(float(a) * F.col("unit"), float(b) * F.col("unit"))["track"] for n, (a, b) in zip(names, nudges)})
+    which = F.array_compact(F.array(*[F.when(F.col(n) == F.col("track"), F.lit(k)) for k, n in enumerate(names)]))
+    used = rows.withColumn("takers", which).where(F.size("takers") > 0)
     step = F.coalesce(F.try_divide(F.col("finish") - F.col("begin"), F.col("last") - F.col("first")), F.lit(0.0))
-    name = F.struct(key, "track").alias("run")
-    used = filled.join(found.select(key, "track").distinct(), [key, "track"]).join(times, key)
-    paths = used.select(name, (F.col("begin") + (F.col("frame") - F.col("first")) * step).alias("t"), "cx", "cy", (PLATE_M / (2 * F.col("radius"))).alias("m_per_px"))
-    numbered = paths.withColumn("run", F.to_json("run"))
-    reps = trajectories.trajectory_reps(numbered, key="run", **{"gate": "relative", **options}).groupBy("run").agg(F.count("*").alias("count"))
-    counted = found.withColumn("run", F.to_json(F.struct(key, "track"))).join(reps, "run", "left").select(key, "dx", "dy", "track", F.coalesce("count", F.lit(0)).alias("count"))
-    return tried.join(counted, [key, "dx", "dy"], "left")
+    paths = used.select(key, "track", "takers", (F.col("begin") + (F.col("frame") - F.col("first")) * step).alias("t"), "cx", "cy", (PLATE_M / (2 * F.col("radius"))).alias("m_per_px"))
+    counted = trajectories.trajectory_counts(paths, [key, "track", "takers"], **{"gate": "relative", **options})
+    counted = counted.select(key, F.explode("takers").alias("k"), "track", "count")
+    moved = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(a)).alias("dx"), F.lit(float(b)).alias("dy")) for k, (a, b) in enumerate(nudges)])).alias("nudge")
+    return seeds.select(key, moved).select(key, "nudge.*").join(counted, [key, "k"], "left").drop("k")
 
 
 def report(rows: DataFrame, columns: dict[str, str], order: list[str], dash: str = "–") -> DataFrame:

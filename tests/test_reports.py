@@ -99,6 +99,22 @@ def test_seeds_take_the_nearest_track(spark):
     assert verdict["base_count"] == lift[1] and verdict["agreement"] == pytest.approx(0.6) and verdict["stable"]
 
 
+def test_seeded_counts_link_once(spark):
+    """Linking and counting stand once in the plan of the verdict; a gate over whole sets gives the same counts where it rejects nothing; without a track the count is null."""
+    rows = [("c", f, f / 15, 300.0, float(400 - 60 * (1 - np.cos(2 * np.pi * f / 30))), 45.0) for f in range(120)]
+    found = spark.createDataFrame(rows, "clip string, frame int, t double, cx double, cy double, r double")
+    seeds = spark.createDataFrame([("c", 0, 302.0, 401.0), ("none", 0, 0.0, 0.0)], "clip string, frame int, x double, y double")
+    nudges = [(0.0, 0.0), (9.0, 0.0), (0.1, 0.1)]
+    counts = estimates.seeded_counts(found, seeds, nudges)
+    verdict = traj.jitter_stability(counts)
+    assert verdict._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
+    got = {r["clip"]: r for r in verdict.collect()}
+    assert got["c"]["base_count"] >= 3 and got["c"]["agreement"] == pytest.approx(2 / 3) and got["c"]["stable"]
+    assert got["none"]["base_count"] is None and got["none"]["agreement"] == 0 and not got["none"]["stable"]
+    gated = estimates.seeded_counts(found, seeds, nudges, rom_floor=0.01)
+    assert sorted(map(str, gated.collect())) == sorted(map(str, counts.collect()))
+
+
 def test_coverage_gaps(spark):
     key = "set_id string"
     truth = spark.createDataFrame([("a", "v"), ("a", "p"), ("b", "v"), ("c", "v"), ("d", "p"), (None, "v")], f"{key}, vendor string")
