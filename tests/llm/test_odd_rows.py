@@ -415,3 +415,26 @@ def test_substring_lists_all_pairs_of_large_groups(spark, monkeypatch):
     for name, value in (("HOT", 12), ("SAMPLED", 2), ("GROUP", 8), ("ROUND", 300)):
         monkeypatch.setattr(substring_dedup, name, value)
     assert substring_dedup.frequent_keys(frame(spark, texts)) and missed(40) < 10
+
+
+def test_substring_short_lines_cost_no_pairs(spark, monkeypatch):
+    """A line of 13 words in 160 texts makes no chains of all with all; a passage that is this line and pieces of three words, and no four in a row elsewhere, is found."""
+    rng = random.Random(47)
+    line = sentence(rng, 13)
+    texts = {k: " ".join([sentence(rng, 40), line, sentence(rng, 40)]) for k in range(160)}
+    for k in range(0, 20, 2):
+        before, behind = (texts[k].split(f" {line} ")[n].split() for n in (0, 1))
+        behind = [f"e{k}n{p}" if p % 4 == 0 else w for p, w in enumerate(behind)]
+        texts[k + 1] = " ".join([sentence(rng, 40), line, *behind])
+    made, write = [], substring_dedup.table
+
+    def table(df, name):
+        out = write(df, name)
+        if name == "chains":
+            made.append(out.count())
+        return out
+
+    for name, value in (("SAMPLED", 1), ("LINE", 64), ("table", table)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    got = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in substring_dedup.find(frame(spark, texts)).collect()}
+    assert got == {(k, k + 1) for k in range(0, 20, 2)} and made[0] < 500
