@@ -10,6 +10,7 @@ the result is that of all pairs.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ from .order import placed
 BANDS, BLOCK = 64, 256
 #: Samples of a block (a longer series is a block of its own), and values that are transformed at once.
 SAMPLES, FLAT = 1 << 17, 1 << 21
+#: Values of a panel of blocks, and samples up to which series are multiplied lag by lag where many of their pairs are wanted.
+PANEL, SHORT = 1 << 18, 128
 EDGES = np.pi * (np.arange(BANDS + 1) / BANDS) ** 2
 
 
@@ -95,24 +98,27 @@ def _inner(a: str, b: str) -> Column:
 def _met(left: DataFrame, right: DataFrame, least: float, columns: list[str]) -> DataFrame:
     """These columns of both blocks (named with their sides) of each two blocks within a session that may hold a pair which correlates by ``least``.
 
-    Blocks meet blocks by number, by their bounds alone; only those left bring their arrays, a few a task.
+    A block is dealt once, into a panel, and the panels of one side meet those of the other where they lie: what is shuffled grows with the
+    blocks, not with their meetings. Only where blocks are far more than sessions have pairs (many tiny sessions) they are sent to each other by session.
     """
     spark = left.sparkSession
     folder = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
     for rows, side in ((left, "a"), (right, "b")):
         _blocks(rows, side).write.parquet(f"{folder}/{side}")
-    one, two = (spark.read.parquet(f"{folder}/{side}") for side in "ab")
-    last = two.groupBy("on", "class_b").agg(F.max("b").alias("last"))
-    bounds = one.select("on", "class_a", "a", "most_a", "mean_a").join(last, "on").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    bounds = bounds.join(two.select("on", "class_b", "b", "most_b", "mean_b"), ["on", "class_b", "b"]).where(F.greatest(_inner("mean_a", "most_b"), _inner("most_a", "mean_b")) >= least - 1e-9)
-    bounds.select("on", "class_a", "a", "class_b", "b").write.parquet(f"{folder}/met")
-    met = spark.read.parquet(f"{folder}/met")
-    count = met.count()
-    for rows, keys, side in ((one, ["on", "class_a", "a"], "a"), (two, ["on", "class_b", "b"], "b")):
-        met = met.join(rows.select(*keys, *[f"{c}_{side}" for c in columns]), keys)
-    # little to read but much to compute: the parts follow from the meetings, not from bytes
-    parts = max(1, min(count, max(4 * spark.sparkContext.defaultParallelism, count // 8)))
-    return met.select(*[f"{c}_{side}" for side in "ab" for c in columns]).repartition(parts)
+    sides, counts, size = [], [], {}
+    for side in "ab":
+        rows = spark.read.parquet(f"{folder}/{side}")
+        count, values = rows.agg(F.count("*"), F.sum(F.size(f"ys_{side}") + F.size(f"roots_{side}"))).first()
+        panels = max(1, min(count, max(math.isqrt(4 * spark.sparkContext.defaultParallelism) + 1, -(-(values or 0) // PANEL))))
+        sides.append(rows.select("on", *[f"{c}_{side}" for c in dict.fromkeys(("most", "mean", *columns))]).repartition(panels))
+        counts.append(count)
+        size[side] = rows.groupBy("on").agg(F.sum(F.size(f"ns_{side}")).alias(side))
+    pairs = size["a"].join(size["b"], "on").agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0
+    one, two = sides[0].withColumnRenamed("on", "on_a"), sides[1].withColumnRenamed("on", "on_b")
+    if counts[0] * counts[1] <= pairs:
+        two = two.hint("shuffle_replicate_nl")
+    may = F.greatest(_inner("mean_a", "most_b"), _inner("most_a", "mean_b")) >= least - 1e-9
+    return one.join(two, (F.col("on_a") == F.col("on_b")) & may).select(*[f"{c}_{side}" for side in "ab" for c in columns])
 
 
 def _bounded(ns_a: np.ndarray, roots_a: np.ndarray, ns_b: np.ndarray, roots_b: np.ndarray, least: float) -> np.ndarray:
@@ -142,8 +148,40 @@ def _standardised(ns: np.ndarray, ys: np.ndarray, backwards: bool = False) -> np
     return out[:, ::-1] if backwards else out
 
 
+def _lag_by_lag(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(products, lags) of all pairs of rows of two blocks at the lag where the product is greatest by size, the least of such lags."""
+    n, m = x.shape[1], y.shape[1]
+    y = np.ascontiguousarray(y.T)
+    shape = (len(x), y.shape[1])
+    c, size, best = np.empty(shape), np.empty(shape), np.full(shape, -1.0)
+    more, down, code, at = np.empty(shape, bool), np.empty(shape, bool), np.empty(shape, np.int16), np.zeros(shape, np.int16)
+    for lag in range(1 - m, n):
+        i, j = max(lag, 0), max(-lag, 0)
+        k = min(n - i, m - j)
+        np.matmul(x[:, i : i + k], y[j : j + k], out=c)
+        np.abs(c, out=size)
+        np.greater(size, best, out=more)
+        np.maximum(size, best, out=best)
+        # lags rise, so the greatest code is the last that was better: the lag, and whether the product is negative
+        np.signbit(c, out=down)
+        np.add(down, np.int16(2 * (lag + m)), out=code)
+        np.multiply(code, more, out=code)
+        np.maximum(code, at, out=at)
+    return np.where(at & 1, -best, best), (at >> 1).astype(np.int64) - m
+
+
 def best_lags(ns_a: np.ndarray, ys_a: np.ndarray, ns_b: np.ndarray, ys_b: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(i, j, r, lag) of the wanted pairs of two blocks, as ``signal.correlate_lags`` of each; every series is transformed once for many pairs."""
+    """(i, j, r, lag) of the wanted pairs of two blocks, as ``signal.correlate_lags`` of each.
+
+    Short series of which many pairs are wanted are multiplied as matrices, lag by lag; else every series is transformed once for many pairs.
+    """
+    if not wanted.any():
+        return
+    if max(ns_a.max(), ns_b.max()) <= SHORT and wanted.mean() > 0.25:
+        c, lag = _lag_by_lag(_standardised(ns_a, ys_a), _standardised(ns_b, ys_b))
+        i, j = np.nonzero(wanted)
+        yield i, j, c[i, j] / np.minimum(ns_a[i], ns_b[j]), lag[i, j]
+        return
     x, y = _standardised(ns_a, ys_a), _standardised(ns_b, ys_b, True)
     n = x.shape[1] + y.shape[1] - 1
     size = 1 << (n - 1).bit_length()

@@ -62,6 +62,35 @@ def test_alignments_of_odd_rows(spark):
         alignment.align_above(left, right, 0.0)
 
 
+def test_blocks_are_dealt_once_not_once_a_meeting(spark, monkeypatch):
+    """Blocks go into panels, and nothing is shuffled where panels meet: shuffles grow with the blocks. Many tiny sessions meet by session instead."""
+    left, right = waves(spark, 1, "recording_id"), waves(spark, 2, "clip")
+    monkeypatch.setattr(alignment, "BLOCK", 4)
+    got = alignment.align_above(left.drop("session"), right.drop("session"), 0.9, 1.0)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and plan.index("Exchange") > plan.index("CartesianProduct")
+    every = pairs(rec.align_all(left.drop("session"), right.drop("session"), 1.0).collect())
+    assert pairs(got.collect()) == {k: v for k, v in every.items() if abs(v[0]) >= 0.9}
+    one = [(side.withColumn("session", F.col(key)), key) for side, key in ((left, "recording_id"), (right, "clip"))]
+    alone = alignment.align_above(one[0][0], one[1][0], 0.5, 1.0, "session")
+    assert "CartesianProduct" not in alone._jdf.queryExecution().sparkPlan().toString()
+    assert pairs(alone.collect()) == {k: v for k, v in every.items() if k[0] == k[1] and abs(v[0]) >= 0.5}
+
+
+def test_short_series_are_multiplied_lag_by_lag(monkeypatch):
+    rng = np.random.default_rng(3)
+    series = [np.cumsum(rng.normal(size=int(n))) for n in rng.integers(1, alignment.SHORT + 1, 40)] + [np.sin(np.arange(60)), -np.sin(np.arange(60)), np.ones(20), np.zeros(1)]
+    ns, ys = np.array([len(x) for x in series]), np.concatenate(series)
+    monkeypatch.setattr(np.fft, "irfft", None)
+    found = list(alignment.best_lags(ns, ys, ns[::-1], np.concatenate(series[::-1]), np.ones((len(ns), len(ns)), bool)))
+    monkeypatch.undo()
+    i, j, r, lag = (np.concatenate(c).tolist() for c in zip(*found))
+    assert len(i) == len(series) ** 2
+    for a, b, c, k in zip(i, j, r, lag):
+        want, at = s.correlate_lags(series[a], series[::-1][b])
+        assert abs(c - want) < 1e-9 and (k == at or abs(want) < 1e-9), (a, b)
+
+
 def test_legs_are_stitched_at_the_seed(spark):
     legs = spark.createDataFrame(
         [("c", "forward", t, t, 0.0) for t in (2.0, 3.0)] + [("c", "backward", t, 9.0 - t, 1.0) for t in (0.0, 1.0, 2.0)]
