@@ -438,3 +438,47 @@ def test_substring_short_lines_cost_no_pairs(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, name, value)
     got = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in substring_dedup.find(frame(spark, texts)).collect()}
     assert got == {(k, k + 1) for k in range(0, 20, 2)} and made[0] < 500
+
+
+def found_and_chains(spark, monkeypatch, texts):
+    made, write = [], substring_dedup.table
+
+    def table(df, name):
+        out = write(df, name)
+        if name == "chains":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "table", table)
+    return {tuple(sorted((r["doc_id"], r["other_id"]))) for r in substring_dedup.find(frame(spark, texts)).collect()}, made[0]
+
+
+def test_substring_runs_of_one_word_cost_no_pairs(spark, monkeypatch):
+    """100 texts that have a word 20 to 48 times in a row make no chains of all with all; those that go on alike, at once or behind a few edits, before it or behind it, are found."""
+    rng = random.Random(48)
+    run = lambda w, n: " ".join([w] * n)
+    texts = {k: " ".join([run(f"a{k}", 30), run("the", rng.randint(20, 48)), run(f"b{k}", 30)]) for k in range(100)}
+    for p in range(4):
+        for k, (n, m) in enumerate(((46, 31), (43, 40))):
+            texts[100 + 6 * p + k] = " ".join([run(f"c{p}k{k}", 20), run("the", n), run(f"d{p}", m), f"e{p}k{k}"])
+            texts[102 + 6 * p + k] = " ".join([f"f{p}k{k}", run(f"g{p}", m), run("the", n), run(f"h{p}k{k}", 20)])
+            texts[104 + 6 * p + k] = " ".join([run("the", n), f"i{p}k{k} " * (k + 2), run(f"j{p}", m)])
+    for k in range(2):
+        texts[124 + k] = " ".join([run("the", 9), f"l{k}", run("the", 8 + k), f"m{k}", run("n", 30 + k), f"o{k}", run("the", 12)])
+    got, chains = found_and_chains(spark, monkeypatch, texts)
+    assert got == {(k, k + 1) for k in range(100, 126, 2)} and chains < 5000
+
+
+def test_substring_lines_at_ends_of_texts_cost_no_pairs(spark, monkeypatch):
+    """What two texts have behind their ends is no common run; pieces that are met in several ways give a pair once."""
+    rng = random.Random(49)
+    line = sentence(rng, 13)
+    texts = {k: " ".join([sentence(rng, 40), line] if k % 2 else [line, sentence(rng, 40)]) for k in range(160)}
+    for name, value in (("SAMPLED", 1), ("LINE", 64)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    got, chains = found_and_chains(spark, monkeypatch, texts)
+    assert got == set() and chains < 100
+    words = np.arange(1, 245, dtype="<u2")[None, :].repeat(2, axis=0)
+    words[1, [110, 130]] = 999
+    pairs = list(substring_dedup._elsewhere(np.array([0]), np.array([2]), np.arange(2), words, 21))
+    assert [len(i) for i, _ in pairs] == [1]
