@@ -7,11 +7,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barlake.llm import byte_bpe, exact_topk, jaccard_join, katz_lm, pii, quality_rules, queries, source_mix, substring_dedup, suffix_dedup, url_filters
+from barlake.llm import byte_bpe, common, exact_topk, jaccard_join, katz_lm, pii, quality_rules, queries, source_mix, substring_dedup, suffix_dedup, url_filters
 
 from .test_llm import jaccard_truth, sentence, topk_truth, windows_truth, words
 
@@ -482,3 +483,22 @@ def test_substring_lines_at_ends_of_texts_cost_no_pairs(spark, monkeypatch):
     words[1, [110, 130]] = 999
     pairs = list(substring_dedup._elsewhere(np.array([0]), np.array([2]), np.arange(2), words, 21))
     assert [len(i) for i, _ in pairs] == [1]
+
+
+def test_substring_keys_go_in_turns():
+    """A turn sends the keys of its own buckets only, lines and runs of one word too, and all turns send what one would."""
+    rng = random.Random(50)
+    line = sentence(rng, 13)
+    texts = [" ".join([sentence(rng, 200), line, " ".join(["the"] * (5 + k)), sentence(rng, 50)]) for k in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], ["doc_id", "text"])
+    lines = np.sort(substring_dedup._text_keys(*common.joined_words([line.encode()]))[2])
+
+    def sent(turn, turns):
+        out = Counter()
+        for b in substring_dedup._keys(8, {int(lines[0]): 3}, 4, 50, lines, 120, turn, turns)(iter([batch])):
+            out.update(zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()))
+        return out
+
+    every, turns = sent(0, 1), [sent(k, 2) for k in range(2)]
+    assert {b // 8 for b, _ in every} == {0, 1, 2}
+    assert all(b % 2 == k for k in range(2) for b, _ in turns[k]) and turns[0] + turns[1] == every
