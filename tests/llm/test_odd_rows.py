@@ -470,6 +470,15 @@ def test_substring_runs_of_one_word_cost_no_pairs(spark, monkeypatch):
     assert got == {(k, k + 1) for k in range(100, 126, 2)} and chains < 5000
 
 
+def test_substring_runs_of_one_word_go_on(spark):
+    """Two texts whose runs of one word are followed by the same words are listed, though a third one has 50 of that word too."""
+    run = lambda w, n: " ".join([w] * n)
+    texts = {0: run("the", 60), 1: f"a {run('the', 80)} {run('it', 70)}", 2: f"b {run('the', 70)} {run('it', 60)} c", 3: f"d {run('the', 55)} e"}
+    rows = substring_dedup.find(frame(spark, texts)).collect()
+    assert any({r["doc_id"], r["other_id"]} == {1, 2} and r["end"] - r["start"] >= 130 for r in rows)
+    assert {0, 1, 2, 3} == {k for r in rows for k in (r["doc_id"], r["other_id"])}
+
+
 def test_substring_lines_at_ends_of_texts_cost_no_pairs(spark, monkeypatch):
     """What two texts have behind their ends is no common run; pieces that are met in several ways give a pair once."""
     rng = random.Random(49)
